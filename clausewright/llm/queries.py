@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepieces
+from . import sentencepieces, simhash, vectors
 from .stage import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +18,40 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"op7_sentencepiece": op7_sentencepiece}
+    return {"op4_vector_dedup": op4_vector_dedup, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash}
+
+
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+         label IS NOT NULL AND embedding IS NOT NULL
+         AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda c: c IS NULL OR NOT isfinite(c))) = 0
+         AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda c: c <> 0)) > 0 AS ok
+  FROM embeddings),
+link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE a.ok AND b.ok AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(id, r) AS (
+  SELECT vec_id, vec_id FROM v
+  UNION
+  SELECT reach.id, link.b FROM reach JOIN link ON link.a = reach.r),
+comp AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, comp.component_id, v.vec_id = comp.component_id AS kept
+FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_vector_dedup": OP4_SQL}
