@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sentencepieces, simhash, vectors
-from .stage import table
+from . import quality, sentencepieces, simhash, vectors
+from .stage import fold, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,8 +27,15 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feats = stage(quality.features(table(spark, sf_dir, "documents")), "quality-features")
+    model = quality.fit(feats, table(spark, sf_dir, "labels"))
+    scored = quality.score(feats, model)
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op4_vector_dedup": op4_vector_dedup, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash}
+    return {"op4_vector_dedup": op4_vector_dedup, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op10_quality": op10_quality}
 
 
 OP4_SQL = """
