@@ -7,17 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, sentencepieces, simhash, vectors
+from . import language, quality, sentencepieces, simhash, toxicity, vectors
 from .stage import fold, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lang_col="lang")
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = sentencepieces.encode(table(spark, sf_dir, "documents"), outputs=("packed", "decoded"))
     return coded.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs))
+    return found.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -35,7 +48,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op4_vector_dedup": op4_vector_dedup, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op10_quality": op10_quality}
+    return {"op2_language": op2_language, "op4_vector_dedup": op4_vector_dedup, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op10_quality": op10_quality}
 
 
 OP4_SQL = """
@@ -61,4 +74,4 @@ FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vector_dedup": OP4_SQL}
+    return {"op2_language": op2_language, "op4_vector_dedup": OP4_SQL}
