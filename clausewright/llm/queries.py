@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality, sentencepieces, simhash, suffixes, toxicity, vectors
+from . import decontaminate, language, quality, sentencepieces, simhash, suffixes, toxicity, vectors
 from .stage import fold, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs))
@@ -54,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_language": op2_language, "op4_vector_dedup": op4_vector_dedup, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op9_repeats": op9_repeats, "op10_quality": op10_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op2_language": op2_language, "op4_vector_dedup": op4_vector_dedup, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op9_repeats": op9_repeats, "op10_quality": op10_quality}
 
 
 OP4_SQL = """
@@ -80,4 +84,4 @@ FROM v JOIN comp ON comp.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_language": op2_language, "op4_vector_dedup": OP4_SQL}
+    return {"op1_decontaminate": op1_decontaminate, "op2_language": op2_language, "op4_vector_dedup": OP4_SQL}
