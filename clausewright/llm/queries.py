@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, quality, sentencepieces, simhash, suffixes, toxicity, vectors
+from . import decontaminate, language, licences, quality, secrets, sentencepieces, simhash, suffixes, toxicity, vectors
 from .stage import fold, stage, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.findings(table(spark, sf_dir, "documents"), path=F.col("source"))
+    return found.select("doc_id", "path", "ordinal", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "score", "is_secret")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lang_col="lang")
@@ -35,6 +40,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), path=F.concat_ws("/", "source", "doc_id"))
+
+
 def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
@@ -58,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_language": op2_language, "op4_vector_dedup": op4_vector_dedup, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op9_repeats": op9_repeats, "op10_quality": op10_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op2_language": op2_language, "op3_licences": op3_licences, "op4_vector_dedup": op4_vector_dedup, "op5_secrets": op5_secrets, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op9_repeats": op9_repeats, "op10_quality": op10_quality}
 
 
 OP4_SQL = """
