@@ -18,8 +18,8 @@ LEXICON = {
 
 def markers(text: Column) -> Column:
     """``array<struct<category, marker>>`` in order of category, marker and place."""
-    found = [F.transform(F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(0)), lambda m, c=c: F.struct(F.lit(c).alias("category"), m.alias("marker"))) for c, patterns in LEXICON.items() for p in patterns]
-    return F.concat(*found)
+    named = lambda c: lambda m: F.struct(F.lit(c).alias("category"), m.alias("marker"))
+    return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(0)), named(c)) for c, patterns in LEXICON.items() for p in patterns])
 
 
 def flags(clauses: DataFrame) -> DataFrame:

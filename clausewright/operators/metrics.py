@@ -70,7 +70,7 @@ def observed(*tables: DataFrame) -> DataFrame:
 
 
 def format_table(rows: DataFrame) -> DataFrame:
-    """Fixed-width lines, one a rung."""
+    """Fixed-width lines, one a rung; scores of four digits are shown with three, halves up."""
     return rows.select("rung", F.format_string("%-22s%7d%5d%5d%5d%8.3f%8.3f%8.3f", "rung", "predicted_positive", "tp", "fp", "fn", "precision", "recall", "f1").alias("line"))
 
 

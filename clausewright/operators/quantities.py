@@ -43,12 +43,10 @@ def normalise(value: Column, unit: Column, kind: Column, strict: bool = False) -
 
 def _candidates(text: Column) -> Column:
     """Matches of all patterns, in order of pattern and place."""
-    per_kind = []
-    for pattern, unit, kind in PATTERNS:
-        groups = (1, unit) if unit else (1, 1)
-        second = (lambda h: h["g1"]) if unit else (lambda h: F.lit(""))
-        per_kind.append(F.transform(spans(text, pattern, *groups), lambda h, k=kind, s=second: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["raw"].alias("raw"), F.lit(k).alias("kind"), h["g0"].alias("a"), s(h).alias("b"))))
-    return F.concat(*per_kind)
+    def shaped(kind: str, has_unit: int):
+        return lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["raw"].alias("raw"), F.lit(kind).alias("kind"), h["g0"].alias("a"), (h["g1"] if has_unit else F.lit("")).alias("b"))
+
+    return F.concat(*[F.transform(spans(text, p, 1, unit or 1), shaped(kind, unit)) for p, unit, kind in PATTERNS])
 
 
 def _without_overlaps(hits: Column) -> Column:

@@ -28,13 +28,17 @@ def _label(kind: str, label: Column, raw: Column) -> Column:
     return F.when(raw != "", raw).otherwise(shown) if kind == "standard" else F.concat(F.lit(kind.capitalize() + " "), shown)
 
 
+def _shaped(kind: str):
+    return lambda h: F.struct(F.lit(kind).alias("target_kind"), _label(kind, h["label"], strip(h["raw"])).alias("target_label"), strip(h["raw"]).alias("raw_text"))
+
+
 def extract(clauses: DataFrame) -> DataFrame:
     """Every reference of every clause, overlapping ones too; ``ord`` keeps their order in the clause."""
     found = []
     for pattern, group, kind in PATTERNS:
         p = F.lit(IGNORE_CASE + pattern)
         pairs = F.arrays_zip(F.regexp_extract_all("text", p, F.lit(0)).alias("raw"), F.regexp_extract_all("text", p, F.lit(group)).alias("label"))
-        found.append(F.transform(pairs, lambda h, k=kind: F.struct(F.lit(k).alias("target_kind"), _label(k, h["label"], strip(h["raw"])).alias("target_label"), strip(h["raw"]).alias("raw_text"))))
+        found.append(F.transform(pairs, _shaped(kind)))
     rows = clauses.select("clause_id", F.posexplode(F.concat(*found)).alias("ord", "r"))
     return rows.select(F.col("clause_id").alias("from_clause"), "ord", "r.*", F.lit(0.9).alias("confidence"))
 

@@ -72,12 +72,16 @@ def page_of(offset: Column, starts: Column) -> Column:
     return F.greatest(F.size(F.filter(starts, lambda s: s <= offset)), F.lit(1))
 
 
+def _shaped(k: int):
+    return lambda h, i: F.struct(F.lit(k).alias("pattern"), i.alias("hit"), h["raw"].alias("raw"), h["number"].alias("number"), h["gap"].alias("gap"))
+
+
 def hits(rows: DataFrame, keys: list[str], patterns: list[str]) -> DataFrame:
     """``keys, pattern, hit, start, raw, number`` of every match of each pattern in ``text``."""
     found = []
     for k, p in enumerate(patterns):
         zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("raw"), F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("number"), F.split("text", p, -1).alias("gap"))
-        found.append(F.transform(zipped, lambda h, i, k=k: F.struct(F.lit(k).alias("pattern"), i.alias("hit"), h["raw"].alias("raw"), h["number"].alias("number"), h["gap"].alias("gap"))))
+        found.append(F.transform(zipped, _shaped(k)))
     exploded = rows.select(*keys, F.explode(F.flatten(F.array(*found))).alias("h")).select(*keys, "h.*")
     so_far = Window.partitionBy(*keys, "pattern").orderBy("hit")
     placed = exploded.withColumn("start", (F.sum(F.length("gap") + F.coalesce(F.length("raw"), F.lit(0))).over(so_far) - F.length("raw")).cast("int"))

@@ -43,7 +43,7 @@ def candidate_flags(asked: DataFrame, replies: DataFrame) -> DataFrame:
     """A row for every eligible clause: the rule's decision for those with a reply
     (clause_id, commitments), an unflagged audit row for all others, failed calls among them."""
     answer = replies.select("clause_id", rules.normalise_commitments(F.col("commitments")).alias("commitments"))
-    rows = asked.join(answer, "clause_id", "left")
+    rows = asked.drop("commitments").join(answer, "clause_id", "left")
     scored = F.col("is_obligation") & F.col("commitments").isNotNull()
     rule = rules.evaluate_flag(F.col("commitments"))
     return rows.select(
