@@ -45,23 +45,45 @@ def window_around(text: Column, start: Column, end: Column, reach: int = 80) ->
     return collapse(F.substring(text, begin + 1, F.least(end + reach, F.length(text)) - begin))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once a row, even inside lambdas,
+    which otherwise compute again what they capture for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans(text: Column, pattern: str, *groups: int) -> Column:
     """Every match in order: ``array<struct<start, end, raw, g0, g1, ...>>``.
 
     Offsets follow from the stretches between matches, so no Python is needed.
     An optional group that took no part is the empty string.
     """
-    p = F.lit(pattern)
-    raw = F.regexp_extract_all(text, p, F.lit(0))
-    between = F.split(text, pattern, -1)
     length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, s: n + F.length(s))
-    zipped = F.arrays_zip(raw.alias("raw"), *[F.regexp_extract_all(text, p, F.lit(g)).alias(f"g{k}") for k, g in enumerate(groups)])
 
-    def place(hit: Column, i: Column) -> Column:
-        start = length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(raw, F.lit(1), i))
-        return F.struct(start.alias("start"), (start + F.length(hit["raw"])).alias("end"), hit["raw"].alias("raw"), *[hit[f"g{k}"].alias(f"g{k}") for k in range(len(groups))])
+    def placed(both: Column) -> Column:
+        def place(hit: Column, i: Column) -> Column:
+            start = length(F.slice(both["between"], F.lit(1), i + 1)) + length(F.slice(both["raw"], F.lit(1), i))
+            # a match holds its groups wherever it stands, as long as the pattern looks at nothing outside
+            return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("raw"), *[F.regexp_extract(hit, pattern, g).alias(f"g{k}") for k, g in enumerate(groups)])
+
+        return F.transform(both["raw"], place)
+
+    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raw"), F.split(text, pattern, -1).alias("between")), placed)
+
 
-    return F.transform(zipped, place)
+def folded(text: Column) -> Column:
+    """Lower case for plain searches that go before case-insensitive patterns."""
+    return F.translate(F.lower(text), "ſ", "s")
+
+
+def guarded(low: Column, needles: tuple[str, ...], found: Column) -> Column:
+    """``found`` only where the folded text holds one of the needles, else null: a
+    plain search costs a fraction of a pattern."""
+    if not needles:
+        return found
+    may = low.contains(needles[0])
+    for n in needles[1:]:
+        may = may | low.contains(n)
+    return F.when(may, found)
 
 
 def splitlines(text: Column) -> Column:
@@ -74,3 +96,8 @@ def in_definitions(path: Column, text: Column) -> Column:
     """Whether a clause sits in, or opens like, a definitions section."""
     title, opening = F.lower(F.array_join(path, " > ")), F.lower(F.substring(text, 1, 200))
     return F.coalesce(title.rlike("definition|glossary|interpretation"), F.lit(False)) | opening.rlike("definition|interpretation")
+
+
+def joined(*arrays: Column) -> Column:
+    """One array of all elements; null arrays add nothing."""
+    return F.flatten(F.filter(F.array(*arrays), lambda a: a.isNotNull()))

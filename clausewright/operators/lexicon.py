@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clausewright.functions.text import folded, guarded, joined, let
+
 #: The markers of each category.
 LEXICON = {
     "subjectivity": [r"\breasonable\b", r"\breasonably\b", r"\badequate\b", r"\badequately\b", r"\bsuitable\b", r"\bappropriate\b", r"\bappropriately\b", r"\bsufficient\b", r"\bsufficiently\b", r"\bsatisfactory\b", r"\bproper\b", r"\bproperly\b"],
@@ -16,10 +20,17 @@ LEXICON = {
 }
 
 
+def needle(pattern: str) -> tuple[str, ...]:
+    """The longest word that every match of a marker's pattern holds."""
+    fixed = re.sub(r"\((?:[^()]|\([^()]*\))*\)\??|\\[a-z][+*]?|[a-z]\?", " ", pattern)
+    words = re.findall("[a-z]+", fixed)
+    return (max(words, key=len),) if words else ()
+
+
 def markers(text: Column) -> Column:
     """``array<struct<category, marker>>`` in order of category, marker and place."""
     named = lambda c: lambda m: F.struct(F.lit(c).alias("category"), m.alias("marker"))
-    return F.concat(*[F.transform(F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(0)), named(c)) for c, patterns in LEXICON.items() for p in patterns])
+    return let(folded(text), lambda low: joined(*[guarded(low, needle(p), F.transform(F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(0)), named(c))) for c, patterns in LEXICON.items() for p in patterns]))
 
 
 def flags(clauses: DataFrame) -> DataFrame:

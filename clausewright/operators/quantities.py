@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import IGNORE_CASE, UNICODE, spans, strip, window_around
+from clausewright.functions.text import IGNORE_CASE, UNICODE, folded, guarded, joined, let, spans, strip, window_around
 
 #: Patterns with value and unit groups (0: none), and their kinds.
 PATTERNS = [
@@ -21,6 +21,8 @@ PATTERNS = [
     (IGNORE_CASE + r"\b([\d]+)\s*(?:times?\s+)?(?:per|/)\s*(day|week|month|year)\b", 2, "frequency"),
     (UNICODE + r"\b([\d]+)\s*:\s*([\d]+)\b", 2, "ratio"),
 ]
+#: Of each pattern, words one of which is in every match.
+NEEDLES = [("rs", "inr", "₹"), ("lakh", "crore", "cr", "lac"), ("usd",), ("±", "+"), ("%", "cent"), ("day", "wk", "week", "mo", "yr", "year", "hour", "hr", "min"), ("m", "ft", "in"), ("per", "/"), (":",)]
 #: Labels that a quantity can refer to.
 REFERENTS = ["defect_liability_period", "completion_period", "mobilisation_advance_pct", "mobilisation_advance_amount", "performance_security_pct", "liquidated_damages_pct", "liquidated_damages_cap", "earnest_money_deposit_amount", "tender_fee_amount", "contract_value_estimate", "validity_of_bid", "advance_payment_pct", "retention_money_pct", "price_adjustment_threshold", "concrete_grade", "steel_grade", "cube_test_frequency", "compaction_density_pct", "slump_value_mm", "tolerance_mm", "minimum_thickness_mm", "maximum_settlement_mm", "noise_limit_db", "particulate_matter_limit", "cement_quantity_per_cum", "boq_item_quantity", "completion_milestone_pct", "warranty_period", "notice_period", "interest_rate_pct", "vat_or_gst_rate_pct", "manpower_count", "tender_processing_fee", "minimum_turnover_amount"]
 
@@ -46,12 +48,12 @@ def _candidates(text: Column) -> Column:
     def shaped(kind: str, has_unit: int):
         return lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["raw"].alias("raw"), F.lit(kind).alias("kind"), h["g0"].alias("a"), (h["g1"] if has_unit else F.lit("")).alias("b"))
 
-    return F.concat(*[F.transform(spans(text, p, 1, unit or 1), shaped(kind, unit)) for p, unit, kind in PATTERNS])
+    return let(folded(text), lambda low: joined(*[guarded(low, words, F.transform(spans(text, p, 1, unit or 1), shaped(kind, unit))) for (p, unit, kind), words in zip(PATTERNS, NEEDLES, strict=True)]))
 
 
 def _without_overlaps(hits: Column) -> Column:
     """Earlier matches reserve their span, even those that turn out not to be numbers."""
-    none = F.filter(hits, lambda h: F.lit(False))
+    none = F.array().cast("array<struct<start: int, end: int, raw: string, kind: string, a: string, b: string>>")
     clear = lambda kept, h: F.when(F.exists(kept, lambda k: ~((h["end"] <= k["start"]) | (h["start"] >= k["end"]))), kept).otherwise(F.concat(kept, F.array(h)))
     return F.aggregate(hits, none, clear)
 

@@ -546,12 +546,11 @@ def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", key.alias("cache_key"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT doc_id AS id, left(sha256(text), 16) AS content_hash FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def vectors_to_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insert-if-absent: ids that no stored vector has."""
-    new = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("text"))
-    stored = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    return sinks.upsert_vectors(new, stored, lambda df: df).select(F.col("id").alias("c_custkey"))
+    """Insert-if-absent: documents that no stored vector has."""
+    new, stored = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    return sinks.upsert_vectors(new, stored, lambda df: df).select("id", "content_hash")
 
 
 @query()
