@@ -61,7 +61,7 @@ def severity_tier(composite: Column) -> Column:
 
 
 def sentinel_class(value: Column) -> Column:
-    return F.when(value == UNKNOWN, "cannot").when(value == "IN_CONTRACT", "contract").otherwise("set")
+    return F.when(value == UNKNOWN, "cannot").when(value == "CONTRACT_DEFINED", "contract").otherwise("set")
 
 
 def coerce(value: Column, allowed: tuple[str, ...], fallback: str) -> Column:

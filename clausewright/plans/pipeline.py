@@ -38,24 +38,28 @@ class Options:
 
 
 def run(pages: DataFrame, table_rows: DataFrame | None = None, given: Providers | None = None, options: Options | None = None) -> dict[str, DataFrame]:
-    """Tables by name. Everything is lazy: materialise at the sinks that are wanted."""
+    """Tables by name. Everything is lazy: materialise at the sinks that are wanted.
+
+    Tables that several later ones read are persisted (memory and disk); blocks
+    of a lost executor are computed again from their lineage.
+    """
     given, options = given or Providers(), options or Options()
     out: dict[str, DataFrame] = {"clauses": segment.clauses(pages)}
     if options.tables and table_rows is not None:
         first = out["clauses"].groupBy("doc_id").agg(F.count("*").cast("int").alias("first_index"))
         out["clauses"] = out["clauses"].unionByName(segment.table_clauses(table_rows, first))
-    clauses = out["clauses"]
+    clauses = out["clauses"] = out["clauses"].persist()
     out["lexicon_flags"] = lexicon.flags(clauses)
     if options.extract_definitions:
-        out["definitions"] = definitions.extract(clauses)
+        out["definitions"] = definitions.extract(clauses).persist()
     if options.extract_quantities:
-        out["quantities"] = quantities.extract(clauses)
+        out["quantities"] = quantities.extract(clauses).persist()
     if options.extract_references:
-        out["references"] = references.resolve(references.extract(clauses), clauses)
+        out["references"] = references.resolve(references.extract(clauses), clauses).persist()
         out["nodes"], out["edges"] = references.nodes(out["references"], clauses), references.edges(out["references"])
     chosen = stages.eligible(clauses, most=options.max_clauses)
     asked = stages.obligations(chosen, None if options.skip_obligation_filter else given.obligations(chosen))
-    out["candidate_flags"] = stages.candidate_flags(asked, given.commitments(asked.filter("is_obligation")))
+    out["candidate_flags"] = stages.candidate_flags(asked, given.commitments(asked.filter("is_obligation"))).persist()
     flagged = out["candidate_flags"].filter("flagged")
     text = flagged.select("flag_id", retrieve.query_text(F.col("clause_text"), F.col("commitments")).alias("text"))
     routes = {"R1_dense": retrieve.dense(flagged, given.embed(text).select("flag_id", "vector"), given.embed(clauses.select("clause_id", "text")).select("clause_id", "vector"), options.top_k_route)}
@@ -66,10 +70,10 @@ def run(pages: DataFrame, table_rows: DataFrame | None = None, given: Providers
     out["hybrid_hits"] = retrieve.with_metadata(retrieve.fuse(routes, top=options.top_k_fused), clauses)
     if given.verdicts is None:
         return out
-    out["verdicts"] = stages.verdicts(out["candidate_flags"], given.verdicts(flagged))
+    out["verdicts"] = stages.verdicts(out["candidate_flags"], given.verdicts(flagged)).persist()
     if given.critiques is None or given.severities is None:
         return out
     real = stages.real(out["verdicts"])
-    out["confirmed"] = stages.confirmed(out["verdicts"], out["candidate_flags"], given.critiques(real), given.severities(real))
+    out["confirmed"] = stages.confirmed(out["verdicts"], out["candidate_flags"], given.critiques(real), given.severities(real)).persist()
     out["rewrite_candidates"] = stages.rewrite_candidates(out["confirmed"], out["candidate_flags"])
     return out

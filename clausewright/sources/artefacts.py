@@ -53,7 +53,7 @@ def id_list(spark: SparkSession, path: str) -> DataFrame:
     """Ids of a JSON list or of lines of text."""
     whole = spark.read.text(path, wholetext=True)
     listed = whole.select(F.when(F.btrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.split("value", "\n")).alias("v"))
-    return listed.select(F.btrim(F.explode("v")).alias("clause_id")).filter("clause_id <> ''").distinct()
+    return listed.select(F.explode(F.transform("v", lambda v: F.btrim(v))).alias("clause_id")).filter("clause_id <> ''").distinct()
 
 
 def vocabulary(spark: SparkSession, path: str | None = None) -> DataFrame:
