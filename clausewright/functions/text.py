@@ -59,15 +59,16 @@ def spans(text: Column, pattern: str, *groups: int) -> Column:
     """
     length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, s: n + F.length(s))
 
-    def placed(both: Column) -> Column:
+    def placed(raw: Column, between: Column) -> Column:
         def place(hit: Column, i: Column) -> Column:
-            start = length(F.slice(both["between"], F.lit(1), i + 1)) + length(F.slice(both["raw"], F.lit(1), i))
+            start = length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(raw, F.lit(1), i))
             # a match holds its groups wherever it stands, as long as the pattern looks at nothing outside
             return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("raw"), *[F.regexp_extract(hit, pattern, g).alias(f"g{k}") for k, g in enumerate(groups)])
 
-        return F.transform(both["raw"], place)
+        return F.transform(raw, place)
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("raw"), F.split(text, pattern, -1).alias("between")), placed)
+    # without a match the text is not split at all
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda raw: let(F.when(F.size(raw) > 0, F.split(text, pattern, -1)), lambda between: placed(raw, between)))
 
 
 def folded(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import IGNORE_CASE, collapse, strip
+from clausewright.functions.text import IGNORE_CASE, collapse, folded, guarded, joined, let, strip
 
 #: Patterns with the group of the label (0: the match itself), and their kinds.
 PATTERNS = [
@@ -21,6 +21,8 @@ PATTERNS = [
     (r"\bCPWD\s+(\d{4}|GS|Specifications?|Works?\s+Manual)?", 1, "standard"),
     (r"\bNBC\s*(\d{4})?", 1, "standard"),
 ]
+#: Of each pattern, the word that every match holds.
+NEEDLES = ("clause", "section", "annex", "appendix", "schedule", "drawing", "is", "irc", "morth", "cpwd", "nbc")
 
 
 def _label(kind: str, label: Column, raw: Column) -> Column:
@@ -28,18 +30,16 @@ def _label(kind: str, label: Column, raw: Column) -> Column:
     return F.when(raw != "", raw).otherwise(shown) if kind == "standard" else F.concat(F.lit(kind.capitalize() + " "), shown)
 
 
-def _shaped(kind: str):
-    return lambda h: F.struct(F.lit(kind).alias("target_kind"), _label(kind, h["label"], strip(h["raw"])).alias("target_label"), strip(h["raw"]).alias("raw_text"))
+def _shaped(pattern: str, group: int, kind: str):
+    label = lambda h: F.regexp_extract(h, IGNORE_CASE + pattern, group)
+    return lambda h: F.struct(F.lit(kind).alias("target_kind"), _label(kind, label(h), strip(h)).alias("target_label"), strip(h).alias("raw_text"))
 
 
 def extract(clauses: DataFrame) -> DataFrame:
     """Every reference of every clause, overlapping ones too; ``ord`` keeps their order in the clause."""
-    found = []
-    for pattern, group, kind in PATTERNS:
-        p = F.lit(IGNORE_CASE + pattern)
-        pairs = F.arrays_zip(F.regexp_extract_all("text", p, F.lit(0)).alias("raw"), F.regexp_extract_all("text", p, F.lit(group)).alias("label"))
-        found.append(F.transform(pairs, _shaped(kind)))
-    rows = clauses.select("clause_id", F.posexplode(F.concat(*found)).alias("ord", "r"))
+    text = F.col("text")
+    of = lambda low: joined(*[guarded(low, (word,), F.transform(F.regexp_extract_all(text, F.lit(IGNORE_CASE + p), F.lit(0)), _shaped(p, group, kind))) for (p, group, kind), word in zip(PATTERNS, NEEDLES, strict=True)])
+    rows = clauses.select("clause_id", F.posexplode(let(folded(text), of)).alias("ord", "r"))
     return rows.select(F.col("clause_id").alias("from_clause"), "ord", "r.*", F.lit(0.9).alias("confidence"))
 
 
