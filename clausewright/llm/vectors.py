@@ -45,6 +45,8 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def near_pairs(x: np.ndarray, y: np.ndarray, least: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs with cosine of at least ``least``; with ``same``, x is y and i < j."""
+    if not len(x) or not len(y):  # hashing may leave a tile empty
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     (q, s, n, e), (p, t, m, f) = quantise(x), quantise(y)
     dot = np.zeros((len(x), len(y)), np.float32 if x.shape[1] <= _EXACT else np.float64)
     for k in range(0, x.shape[1], _EXACT):

@@ -57,5 +57,12 @@ def test_bounds_hold():
         assert set(zip(i, j, strict=True)) == set(zip(brute_i, brute_j, strict=True))
 
 
+def test_tiles_of_one_row_and_none(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 1)
+    rows = [(k, [1.0, 0.01 * k], 0) for k in range(7)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == brute(rows, 0.93)
+
+
 def test_empty_table(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).collect() == []
