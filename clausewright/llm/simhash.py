@@ -139,7 +139,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     Of several rows with that id the one with the smallest text stays; rows without an id stay.
     """
-    groups = near_duplicates(docs, id_col=id_col, text_col=text_col, words=words).filter(F.col(id_col).isNotNull())
+    return keep_smallest(docs, near_duplicates(docs, id_col=id_col, text_col=text_col, words=words), id_col=id_col, text_col=text_col)
+
+
+def keep_smallest(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is its own ``component_id`` in ``groups``, as :func:`keep_one` has them."""
+    groups = groups.filter(F.col(id_col).isNotNull())
     chosen = groups.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"))
     joined = docs.join(chosen, docs[id_col] == F.col("__id"))
     row = F.struct(*[docs[c] for c in docs.columns])
