@@ -59,7 +59,10 @@ TEMPLATES = [
 ]
 #: Licence vocabulary; a header starts at one of these words and runs on.
 KEYWORD = r"[LlSsFfPpHhRr](?i:icen[cs]e|pdx|ree\s+software|ublic\s+domain|ereby\s+granted|edistribution\s+and\s+use)"
-_HEADER = KEYWORD + r"[^\s]{0,60}(?:\s{1,4}[^\s]{1,60}){0,40}"
+#: Takes no more than the licence word, so that headers overlap.
+_HEADER = rf"(?=({KEYWORD}[^\s]{{0,60}}(?:\s{{1,4}}[^\s]{{1,60}}){{0,40}})){KEYWORD}"
+#: Licence words looked back over for the words before another: more than fit in them.
+_BACK = 100
 #: Words before and after that a header is compared with: as a short notice and with what stands further around it.
 AROUND = ((1, 7), (3, 9), (10, 41))
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)s?([-_.].*)?$"
@@ -79,8 +82,18 @@ def _weights() -> tuple[list[tuple[str, dict[str, float]]], dict[str, float]]:
 
 def _headers(text: Column) -> Column:
     """Stretches of AROUND words about every licence word."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(_HEADER), F.lit(0)).alias("hit"), F.transform(F.split(text, _HEADER, -1), lambda s: F.split(F.right(s, F.lit(400)), r"\s+")).alias("before"))
-    pairs = F.transform(F.filter(found, lambda h: h["hit"].isNotNull()), lambda h: F.struct(F.split(h["hit"], r"\s+").alias("hit"), h["before"].alias("before")))
+    hits, pieces = F.regexp_extract_all(text, F.lit(_HEADER), F.lit(1)), F.split(text, KEYWORD, -1)
+    tails = F.transform(pieces, lambda s: F.right(s, F.lit(400)))
+    # a licence word may stand in the words before another one
+    joined = F.zip_with(tails, F.regexp_extract_all(text, F.lit(f"({KEYWORD})"), F.lit(1)), lambda s, h: F.concat(s, F.coalesce(h, F.lit(""))))
+
+    def before(k: Column) -> Column:
+        """The words before the hit at this place, counted from zero."""
+        held = F.least(k, F.lit(_BACK))
+        earlier = F.array_join(F.slice(joined, k - held + 1, held), "")
+        return F.split(F.right(F.concat(earlier, F.get(tails, k)), F.lit(400)), r"\s+")
+
+    pairs = F.transform(hits, lambda h, k: F.struct(F.split(h, r"\s+").alias("hit"), before(k).alias("before")))
 
     def stretch(h: Column, before: int, after: int) -> Column:
         last = F.slice(h["before"], F.greatest(F.size(h["before"]) - before, F.lit(1)), F.lit(before + 1))
