@@ -19,6 +19,8 @@ ROUTES = ("R1_dense", "R2_defined_term", "R3_referent")
 RRF_K = 60
 #: Vectors of one block of the dense search, in rows.
 BLOCK = 4096
+#: Four roundings of a double.
+EPSILON = 2.0**-50
 _ROUTE = "flag_id string, clause_id string, score double, rank int"
 
 
@@ -39,7 +41,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
 
     ``queries``: (query_id, vector); ``vectors``: (id, vector). The queries are cut
     into blocks of bounded size, every block meets every part of the vectors, and each
-    part keeps its own k best per query, so the final ranking sees k rows a part.
+    part keeps its own k best per query, equal scores by id, so the final ranking sees k rows a part.
     """
     q = queries.select(F.col("query_id"), F.col("vector").cast("array<double>").alias("q"))
     blocks = q.select(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-q.count() // BLOCK)))).alias("block"), "query_id", "q").groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("held"))
@@ -53,15 +55,22 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
                 held, rows = pair["held"], pair["rows"]
                 a, b = np.array([h["q"] for h in held]), np.array([r["v"] for r in rows])
                 square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-                most = min(k + 8, len(rows))  # some more than k, so that rounding in the product loses nobody
-                near = np.argpartition(square, most - 1, axis=1)[:, :most]
+                # what rounding may add to the product, and to scores that tie
+                off = EPSILON * (a.shape[1] + 16) * (1 + (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :])
+                square = np.where(np.isnan(square), np.inf, square)
+                most = min(k, len(rows))
+                bound = np.partition(square + off, most - 1, axis=1)[:, most - 1]
+                names = [r["id"] for r in rows]
+                place = np.empty(len(rows), int)
+                place[sorted(range(len(rows)), key=lambda j: (names[j] is not None, names[j]))] = np.arange(len(rows))
                 out_q, out_i, out_d = [], [], []
                 for n, h in enumerate(held):
-                    d = np.sqrt(((b[near[n]] - a[n]) ** 2).sum(1))
-                    for j, x in zip(near[n], d, strict=True):
+                    near = np.nonzero(square[n] - off[n] <= bound[n])[0]
+                    d = np.sqrt(((b[near] - a[n]) ** 2).sum(1))
+                    for j in np.lexsort((place[near], -1 / (1 + d)))[:most]:
                         out_q.append(h["query_id"])
-                        out_i.append(rows[j]["id"])
-                        out_d.append(x)
+                        out_i.append(names[near[j]])
+                        out_d.append(d[j])
                 yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(out_i), pa.array(out_d, pa.float64())], ["query_id", "id", "distance"])
 
     pairs = blocks.crossJoin(parts).select("held", "rows")  # blocks of the query set against blocks of all rows
