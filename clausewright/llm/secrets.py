@@ -1,7 +1,7 @@
 """Secret scans: candidate strings, and a random forest that removes false positives.
 
-Candidates are long runs of token characters with a digit, key blocks and values
-assigned to secret-like names. Features are lengths and class transitions, bigram and
+Candidates are long runs of token characters with a digit, runs that begin as known
+tokens do, key blocks and values assigned to secret-like names in any case. Features are lengths and class transitions, bigram and
 dictionary coverage, the words before the candidate and the path. The forest
 is trained from labelled findings (a caller's, or the built-in ones, which are
 generated from formats and carry no real secret). Everything on the way from
@@ -26,10 +26,13 @@ from pyspark.sql import functions as F
 #: Probability from which a candidate is taken for a secret; trees and their depth.
 THRESHOLD, TREES, DEPTH = 0.5, 24, 7
 _CHARS = r"A-Za-z0-9_+/=.\-"
+_KNOWN = r"(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|rk_live_|AIza|eyJ|npm_)"
+_NAMES = r"(?:token|secret|passw(?:or)?d|api.?key|access.?key|auth|bearer|credential|private|client.?id)"
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,8000}"
-    rf"|(?<![{_CHARS}])(?=[A-Za-z_+/=.\-]{{0,60}}[0-9])[{_CHARS}]{{16,}}"
-    r"|(?<=(?:password|passwd|secret|PASSWORD|PASSWD|SECRET)\s{0,2}[:=]\s{0,2}[\"']?)[^\s\"',;]{8,}"
+    rf"|(?<![{_CHARS}])(?=[A-Za-z_+/=.\-]{{0,60}}[0-9]|{_KNOWN})[{_CHARS}]{{16,}}"
+    # the single character is tried before the name, which is dear
+    rf"|(?:(?<=[:=\s\"'])(?<=[:=]\s{{0,2}}[\"']?)(?<=(?i:{_NAMES}[\w\-]{{0,16}})[\"']?\s{{0,2}}[:=]\s{{0,2}}[\"']?)|(?<=\s)(?<=(?i:bearer)\s{{1,2}}))[^\s\"',;]{{8,}}"
 )
 _SECRET_WORDS = r"(?i)(token|secret|passw(or)?d|api.?key|access.?key|auth|bearer|credential|private|client.?id)"
 _OTHER_WORDS = r"(?i)(sha-?\d*|commit|checksum|hash|digest|md5|uuid|guid|etag|version|build|revision|integrity|example|sample|url|href|src|file|path|mail|phone|tel|iban|card|account|order)"
@@ -84,6 +87,15 @@ def labelled_findings(spark: SparkSession, each: int = 60, seed: int = 5) -> Dat
             found.append((value, rng.choice(neutral + named[:2]), rng.choice(away), 0))
         for value in ("your_" + name("_") + "_here_123", "x" * rng.randint(14, 24) + "1234", "EXAMPLE" + name("").upper() + "0123", "changeme" + "0" * rng.randint(8, 16), "<" + name("_") + "_1>", "1234567890" * 2, "abcdef" + "0123456789" * 2):
             found.append((value, rng.choice(named), rng.choice(away), 0))
+    # without digits, or short: letters at random behind a name, and words in the same place
+    letters, later = string.ascii_letters, named + ["Password: ", "Token=", "API_KEY=", "Secret = '", "credentials: \""]
+    for _ in range(each):
+        for value in (some(letters, rng.randint(16, 40)), some(letters, rng.randint(20, 32)), some(alnum, rng.randint(8, 15)), some(letters, rng.randint(10, 15)), some(alnum, 7) + rng.choice("!#$%&*") + some(alnum, 4)):
+            found.append((value, rng.choice(later), rng.choice(code), 1))
+        for value in ("AKIA" + some(string.ascii_uppercase, 16), "ghp_" + some(letters, 36)):
+            found.append((value, rng.choice(later + neutral), rng.choice(code), 1))
+        for value in (rng.choice(words) + rng.choice(["", "s", "ed", "ing"]) + rng.choice(["", "."]) + rng.choice(words), rng.choice(words) + rng.choice("_-.") + rng.choice(words), rng.choice(words) + "()." + rng.choice(words), "sk-" + "-".join(rng.choice(words) for _ in range(3))):
+            found.append((value, rng.choice(later), rng.choice(away), 0))
     return spark.createDataFrame(found, "value string, before string, path string, label int")
 
 
@@ -102,10 +114,7 @@ def fit(findings: DataFrame, *, trees: int = TREES, depth: int = DEPTH) -> Rando
 
 def _may_hold(text: Column) -> Column:
     """What every text with a candidate has; far cheaper to test than the pattern."""
-    may = text.rlike("[0-9]")
-    for word in ("-----BEGIN", "passw", "PASSW", "secret", "SECRET"):
-        may = may | text.contains(word)
-    return may
+    return text.rlike("[0-9]") | text.contains("-----BEGIN") | text.rlike(_KNOWN) | text.rlike(f"(?i){_NAMES}")
 
 
 def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None) -> DataFrame:
