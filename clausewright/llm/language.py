@@ -3,24 +3,29 @@
 A text's features are the counts of its byte n-grams inside words, word borders
 included, hashed to BUCKETS. Their embeddings are averaged and a linear softmax
 scores the languages. Both layers are trained by stochastic gradient descent in
-numpy on a bounded sample; a temperature and a rejection threshold are fitted
-on a part of the sample that training does not see.
-
-Defined results: a null text and one without a letter give ``und`` with score 0;
-without any labelled text every prediction is ``und`` with score 0; repeated
-rows are predicted alike; null languages are not learned; other columns are
-ignored. Texts are read whole. ``rejected`` marks predictions below the
-calibrated threshold and never changes the prediction.
+numpy on a bounded sample; features have unit length and gradients a bounded
+norm, so no sample can make the steps diverge, and a model with a weight that is
+not finite is an error. Temperature and rejection threshold are fitted on a part
+of the sample that training does not see: its whole texts, short pieces of them,
+and pieces with shuffled letters, which no language should claim.
+
+Defined results: a null text and one without a letter (Unicode category L) give
+``und`` with score 0; without any labelled text, as in an empty table, every
+prediction is ``und`` with score 0; ties of probability go to the
+alphabetically first language; repeated rows are predicted alike; null languages
+are not learned; other columns are ignored. Texts are read whole, however long;
+only the training sample leaves out texts over ``max_chars``. ``rejected`` marks
+predictions below the calibrated threshold and never changes the prediction.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +36,17 @@ BUCKETS, DIM = 1 << 12, 16
 GRAMS = (2, 3, 4)
 #: The bound of the training sample in documents, and of a text that is taken into it in characters.
 MAX_TRAIN, MAX_TRAIN_CHARS = 4000, 100_000
-EPOCHS, BATCH, RATE = 12, 64, 0.7
+EPOCHS, BATCH, RATE = 30, 32, 2.0
+#: Largest norm of a step's gradient in any layer.
+CLIP = 1.0
+#: One text in so many of the sample calibrates.
+HELD = 5
+#: Words of the pieces that calibration adds to each whole text.
+PIECES = (2, 4, 8, 16)
 #: Share of right predictions that those not rejected keep on the calibration part.
 ACCEPTED_ACCURACY = 0.99
 _ROWS = 128
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
 _FOLD[128:] = np.arange(128, 256)
@@ -71,9 +82,16 @@ class LanguageModel:
     temperature: float
     threshold: float
 
+    def logits(self, counts: np.ndarray) -> np.ndarray:
+        return _unit(counts) @ self.table + self.bias
+
     def probabilities(self, counts: np.ndarray) -> np.ndarray:
-        mean = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-        return _softmax((mean @ self.table + self.bias) / self.temperature)
+        return _softmax(self.logits(counts) / self.temperature)
+
+
+def _unit(counts: np.ndarray) -> np.ndarray:
+    """Rows of unit length: the direction of the average is that of the sum."""
+    return counts / np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1e-12)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -81,31 +99,62 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _train(x: np.ndarray, y: np.ndarray, languages: list[str]) -> LanguageModel:
-    rng = np.random.default_rng(2)
-    x = x / np.maximum(x.sum(1, keepdims=True), 1)
-    held = rng.random(len(x)) < 0.2
-    use = np.nonzero(~held)[0] if held.any() and not held.all() else np.arange(len(x))
-    emb, out, bias = rng.normal(0, 1, (BUCKETS, DIM)), np.zeros((DIM, len(languages))), np.zeros(len(languages))
-    target = np.eye(len(languages))[y]
+def _clipped(grad: np.ndarray) -> np.ndarray:
+    return grad * min(1.0, CLIP / max(float(np.sqrt((grad * grad).sum())), 1e-12))
+
+
+def _descend(x: np.ndarray, y: np.ndarray, classes: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Embeddings folded into the softmax layer, and its bias."""
+    emb, out, bias = rng.normal(0, DIM**-0.5, (BUCKETS, DIM)), np.zeros((DIM, classes)), np.zeros(classes)
+    target = np.eye(classes)[y]
     for epoch in range(EPOCHS):
         rate = RATE * (1 - epoch / EPOCHS)
-        for part in np.array_split(rng.permutation(use), max(1, len(use) // BATCH)):
+        for part in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
             mean = x[part] @ emb
             grad = (_softmax(mean @ out + bias) - target[part]) / len(part)
-            back = grad @ out.T
-            out -= rate * 20 * mean.T @ grad
-            bias -= rate * grad.sum(0)
-            emb -= rate * 2000 * x[part].T @ back
-    rest = np.nonzero(held)[0] if held.any() and not held.all() else use
-    logits = x[rest] @ emb @ out + bias
-    temperature = min((float(t) for t in np.geomspace(0.1, 10, 41)), key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(rest)), y[rest]] + 1e-12).sum())
+            back = _clipped(x[part].T @ (grad @ out.T))
+            out -= rate * _clipped(mean.T @ grad)
+            bias -= rate * 0.1 * grad.sum(0)
+            emb -= rate * back
+    table = emb @ out
+    if not (np.isfinite(table).all() and np.isfinite(bias).all()):
+        raise ArithmeticError("training of the language model did not stay finite")
+    return table, bias
+
+
+def _train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray, whole: np.ndarray, noise: np.ndarray) -> LanguageModel:
+    """``held`` rows calibrate; among them are pieces of texts, which are not ``whole``, and ``noise`` of no language."""
+    rng = np.random.default_rng(2)
+    x = _unit(x)
+    if held[whole].all() or not held.any():
+        held = np.zeros(len(x), bool)
+    use = np.nonzero(whole & ~held)[0]
+    table, bias = _descend(x[use], y[use], len(languages), rng)
+    rest = held if held.any() else np.ones(len(x), bool)
+    logits, truth = x[rest] @ table + bias, np.where(noise[rest], -1, y[rest])
+    known = truth >= 0
+    temperature = min((float(t) for t in np.geomspace(0.02, 10, 61)), key=lambda t: -np.log(_softmax(logits[known] / t)[np.arange(known.sum()), truth[known]] + 1e-12).sum())
     best = _softmax(logits / temperature)
-    order = np.argsort(-best.max(1))
-    right = np.cumsum((best.argmax(1) == y[rest])[order]) / np.arange(1, len(rest) + 1)
+    order = np.argsort(-best.max(1), kind="stable")
+    right = np.cumsum((best.argmax(1) == truth)[order]) / np.arange(1, len(order) + 1)
     enough = np.nonzero(right >= ACCEPTED_ACCURACY)[0]
     threshold = float(best.max(1)[order][enough[-1]]) if len(enough) else 1.0
-    return LanguageModel(languages, emb @ out, bias, temperature, threshold)
+    return LanguageModel(languages, table, bias, temperature, threshold)
+
+
+def pieces(text: bytes, rng: np.random.Generator) -> list[tuple[bytes, bool]]:
+    """Pieces of PIECES words from anywhere in a text, and the last one again with its characters shuffled (True)."""
+    words, out = text.decode("utf-8", "replace").split(), []
+    for n in PIECES:
+        if len(words) > n:
+            at = int(rng.integers(0, len(words) - n + 1))
+            out.append((" ".join(words[at : at + n]).encode(), False))
+    if out:
+        whole = out[-1][0].decode()
+        letters = [c for c in whole if not c.isspace()]
+        mixed = iter(rng.permutation(len(letters)))
+        out.append(("".join(c if c.isspace() else letters[next(mixed)] for c in whole).encode(), True))
+    return out
 
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS) -> LanguageModel | None:
@@ -117,21 +166,30 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     sample = usable.filter(F.length("text") <= max_chars).join(F.broadcast(ids), "id").select("lang", "text").limit(max_train)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             for start, texts in blocks(batch.column(1)):
-                for k in range(0, len(texts), _ROWS):
-                    counts = gram_counts(texts[k : k + _ROWS])
+                for k, text in enumerate(texts, start):
+                    digest = xxhash.xxh64_intdigest(text)
+                    held = digest % HELD == 0  # equal texts are held together
+                    some = [(text, False), *(pieces(text, np.random.default_rng(digest)) if held else [])]
+                    counts = gram_counts([t for t, _ in some])
                     packed = [(np.nonzero(c)[0].astype("<u2").tobytes(), c[c > 0].astype("<f4").tobytes()) for c in counts]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(start + k, len(packed)), pa.array([a for a, _ in packed]), pa.array([b for _, b in packed])], ["lang", "at", "n"])
+                    lang = batch.column(0)[k].as_py()
+                    rows = [(lang, digest - (1 << 63), i, n, held, *p) for i, ((_, n), p) in enumerate(zip(some, packed, strict=True))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "text", "piece", "noise", "held", "at", "n"])
 
-    rows = sample.mapInArrow(run, "lang string, at binary, n binary").collect()
+    rows = sample.mapInArrow(run, "lang string, text bigint, piece bigint, noise boolean, held boolean, at binary, n binary").collect()
     if not rows:
         return None
+    rows.sort(key=lambda r: (r["text"], r["lang"], r["piece"]))  # the same model whatever the order of the tasks
     languages = sorted({r["lang"] for r in rows})
     x = np.zeros((len(rows), BUCKETS), np.float32)
     for k, r in enumerate(rows):
         x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    return _train(x, np.array([languages.index(r["lang"]) for r in rows]), languages)
+    flags = [np.array([r[c] for r in rows], bool) for c in ("held", "noise")]
+    return _train(x, np.array([languages.index(r["lang"]) for r in rows]), languages, flags[0], np.array([not r["piece"] for r in rows]), flags[1])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

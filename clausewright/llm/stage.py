@@ -49,3 +49,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def fold(id_col: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, modulo three; fold 1 is held out of training."""
     return F.crc32(F.col(id_col).cast("string").cast("binary") if isinstance(id_col, str) else id_col.cast("string").cast("binary")) % 3
+
+
+def held_out(id_col: str = "doc_id") -> Column:
+    """Whether the row belongs to fold 1; a row without an id does not."""
+    return F.coalesce(fold(id_col) == 1, F.lit(False)).alias("held_out")
