@@ -18,6 +18,15 @@ from pyspark.sql import functions as F
 from .stage import drop_stage, stage
 
 _EDGE = "node bigint, root bigint"
+#: A value with more rows than both LEAST_HOT and its table's rows over MOST_HOT is hot: at most MOST_HOT values are.
+LEAST_HOT, MOST_HOT = 256, 100_000
+
+
+def hot_values(staged: DataFrame, col: str) -> DataFrame:
+    """``(col, salts)`` of the hot values of a staged table, at most MOST_HOT rows and so fit to be
+    broadcast; dealt to ``salts`` keys each, no key is hot any more."""
+    least = max(LEAST_HOT, staged.count() // MOST_HOT)
+    return staged.groupBy(col).count().filter(F.col("count") > least).select(col, F.ceil(F.col("count") / least).cast("int").alias("salts"))
 
 
 def star_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,9 +61,13 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(edges: DataFrame) -> DataFrame:
+    # a centre may hold a third of all nodes: its rows are dealt to several keys
+    hot = F.broadcast(hot_values(edges, "root").withColumnRenamed("root", "u"))
     both = edges.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(edges.select(F.col("root").alias("u"), F.col("node").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    large = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    dealt = both.filter("v > u").join(hot, "u", "left").withColumn("salt", F.pmod(F.xxhash64("v"), F.coalesce("salts", F.lit(1))))
+    spread = least.join(hot, "u", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1)))
+    large = dealt.join(spread.drop("salts"), ["u", "salt"]).select(F.col("v").alias("a"), F.col("m").alias("b"))
     low = large.groupBy("a").agg(F.min("b").alias("m"))
     up = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("node"), F.col("m").alias("root")), F.struct(F.col("a").alias("node"), F.col("m").alias("root")))).alias("e"))
     return up.select("e.*").filter("node <> root").distinct()

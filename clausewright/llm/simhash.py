@@ -4,19 +4,30 @@ A 64-bit fingerprint is a ring of four 16-bit segments. With at most two
 differing bits, the strong pigeonring principle promises a start whose chains
 of one, two and three consecutive segments differ in at most 0, 1 and 1 bits
 (the proportional budgets 0.5, 1 and 1.5, rounded down). Such a start's segment
-is equal and so is one of the next two, which gives the six equi-join keys; the
-chain budgets prune the candidates and the full Hamming distance decides.
+is equal and so is one of the next two, which gives six equi-join keys. Pairs
+that meet there go on only if some start keeps all its chains within budget, and
+the full Hamming distance is taken of what is left.
 
 Distinct fingerprints are joined, never documents, so groups of copies meet
-once. Defined results: null and wordless texts have fingerprint zero and link
-like any other; repeated rows share a fingerprint; a null id keeps its
-fingerprint and takes no part in links (its component is null); other columns
-are ignored by :func:`near_duplicates` and kept by :func:`keep_one`.
+once. A key with more than HOT fingerprints is split without loss: of the 32 bits that
+are left of it, two quarters of 8 bits are equal again, and of the 16 bits left
+then two quarters of 4 bits, so a last key has at most 256 fingerprints.
+
+Defined results: null and wordless texts have fingerprint zero and link
+like any other; long texts are hashed whole, in blocks; repeated rows share a
+fingerprint; a bit set in exactly half the hashes is 0; a null id keeps its
+fingerprint and takes no part in links (its component is null); an empty table
+gives an empty table; other columns are ignored by :func:`near_duplicates` and
+kept by :func:`keep_one`.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from itertools import combinations
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -85,51 +96,70 @@ def _segment(x: Column, k: int) -> Column:
     return F.shiftrightunsigned(x, _WIDTH * (k % _SEGMENTS)).bitwiseAND(F.lit(0xFFFF))
 
 
-def _chain(x: Column) -> Column:
-    """Whether some start of the ring keeps all its prefix chains within budget."""
+#: Links have at most this many differing bits; the join keys below rest on it.
+MAX_BITS = 2
+#: Bits that chains of 1, 2, ... consecutive segments may differ in.
+BUDGETS = [MAX_BITS * length // _SEGMENTS for length in range(1, _SEGMENTS)]
+#: Fingerprints of a key that are compared with each other as they are.
+HOT = 2000
+
+
+def chains_fit(x: Column) -> Column:
+    """Whether some start of the ring keeps the chains from it within their budgets; x holds the differing bits."""
     differs = [F.bit_count(_segment(x, k)) for k in range(_SEGMENTS)]
-    ring = lambda start, length: sum((differs[(start + j) % _SEGMENTS] for j in range(1, length)), differs[start])
-    budget = [max_bits * length // _SEGMENTS for max_bits in (MAX_BITS,) for length in range(1, _SEGMENTS + 1)]
-    any_start = None
-    for start in range(_SEGMENTS):
-        fits = F.lit(True)
-        for length, most in enumerate(budget, 1):
-            fits = fits & (ring(start, length) <= most)
-        any_start = fits if any_start is None else any_start | fits
-    return any_start
 
+    def fits(start: int) -> Column:
+        held = differs[start] <= BUDGETS[0]
+        for length in range(2, _SEGMENTS):
+            held = held & (sum((differs[(start + j) % _SEGMENTS] for j in range(1, length)), differs[start]) <= BUDGETS[length - 1])
+        return held
 
-#: Links have at most this many differing bits; the join keys below rest on it.
-MAX_BITS = 2
+    return reduce(or_, (fits(start) for start in range(_SEGMENTS)))
+
+
+def _two_quarters(value: Column, width: int, key: Column) -> Column:
+    """Every choice of two of the four parts of ``value``, as ``key`` with these parts added, and the other two."""
+    part = lambda k: F.shiftrightunsigned(value, width * k).bitwiseAND(F.lit((1 << width) - 1))
+    both = lambda p, q: F.shiftleft(part(p), width).bitwiseOR(part(q))
+    out = []
+    for n, (p, q) in enumerate(combinations(range(4), 2)):
+        r, s = sorted({0, 1, 2, 3} - {p, q})
+        out.append(F.struct(F.concat(key, F.array(F.lit(n << 2 * width).bitwiseOR(both(p, q)))).alias("key"), both(r, s).alias("rest")))
+    return F.array(*out)
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of the distinct values of ``fingerprint`` within MAX_BITS, each once."""
-    pairs = [(p, q) for p in range(_SEGMENTS) for q in range(p + 1, _SEGMENTS)]
-    fp = F.col("fingerprint")
-    keys = [F.lit(n << 32).bitwiseOR(F.shiftleft(_segment(fp, p), _WIDTH)).bitwiseOR(_segment(fp, q)) for n, (p, q) in enumerate(pairs)]
-    keyed = prints.select("fingerprint").distinct().select("fingerprint", F.explode(F.array(*[k.cast("bigint") for k in keys])).alias("key"))
-    a, b = (keyed.select("key", F.col("fingerprint").alias(n)) for n in ("a", "b"))
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    # a pair that agrees in more segments than two is taken at its first two alone
-    first = F.lit(False)
-    for n, (p, q) in enumerate(pairs):
-        others = [_segment(x, k) != 0 for k in range(q) if k != p]
-        here = F.shiftrightunsigned("key", 32) == n
-        for o in others:
-            here = here & o
-        first = first | here
-    near = (F.col("a") < F.col("b")) & (F.bit_count(x) <= MAX_BITS) & _chain(x) & first
-    return a.join(b, "key").where(near).select("a", "b")
+def meetings(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(a, b)`` structs, ``a.fingerprint < b.fingerprint``, of rows with a common key; a pair may come several times.
+
+    ``prints`` has one row a ``fingerprint``; other columns are carried along.
+    """
+    now = prints.select(F.struct(*prints.columns).alias("row"), F.col("fingerprint").alias("rest"), F.expr("cast(array() as array<bigint>)").alias("key"))
+    out = None
+    for width in (16, 8, 4):
+        now = now.select("row", F.explode(_two_quarters(F.col("rest"), width, F.col("key"))).alias("k")).select("row", "k.key", "k.rest")
+        shared = stage(now.groupBy("key").count().filter("count > 1"), "simhash-keys")
+        few = shared if width == 4 else shared.filter(F.col("count") <= hot)
+        held = now.join(few, "key").select("key", "row")
+        pairs = held.select("key", F.col("row").alias("a")).join(held.select("key", F.col("row").alias("b")), "key").where("a.fingerprint < b.fingerprint").select("a", "b")
+        out = pairs if out is None else out.unionByName(pairs)
+        many = shared.filter(F.col("count") > hot).select("key")
+        if width == 4 or many.isEmpty():
+            break
+        now = now.join(many, "key", "left_semi")
+    return out
+
+
+def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
+    """``(a, b)`` structs of the rows of ``prints`` whose fingerprints are within MAX_BITS, each pair once."""
+    x = F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))
+    return meetings(prints, hot).filter(chains_fit(x)).filter(F.bit_count(x) <= MAX_BITS).distinct()
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """``(id_col, fingerprint, component_id)`` for every row; component_id is the smallest id reachable."""
     prints = stage(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "simhash")
     classes = stage(prints.filter(F.col(id_col).isNotNull()).groupBy("fingerprint").agg(F.min(id_col).cast("bigint").alias("rep")), "simhash-classes")
-    rep = lambda n: classes.select(F.col("fingerprint").alias(n), F.col("rep").alias(f"rep_{n}"))
-    edges = links(classes).join(rep("a"), "a").join(rep("b"), "b").select("rep_a", "rep_b")
-    roots = components(edges)
+    roots = components(links(classes).select("a.rep", F.col("b.rep").alias("other")))
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fingerprint", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(named, "fingerprint", "left").select(id_col, "fingerprint", F.when(F.col(id_col).isNotNull(), F.col("component_id")).alias("component_id"))
 
@@ -144,10 +174,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_smallest(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is its own ``component_id`` in ``groups``, as :func:`keep_one` has them."""
-    groups = groups.filter(F.col(id_col).isNotNull())
-    chosen = groups.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__rows"))
-    joined = docs.join(chosen, docs[id_col] == F.col("__id"))
-    row = F.struct(*[docs[c] for c in docs.columns])
-    several = joined.filter("__rows > 1").select("__id", F.col(text_col).alias("__text"), row.alias("__row"))
-    single = several.groupBy("__id").agg(F.min_by("__row", F.coalesce("__text", F.lit(""))).alias("__row")).select("__row.*")
-    return joined.filter("__rows = 1").select(*[docs[c] for c in docs.columns]).unionByName(single).unionByName(docs.filter(F.col(id_col).isNull()))
+    groups = groups.filter(F.col(id_col).isNotNull() & (F.col(id_col) == F.col("component_id")))
+    ids, rows, row, text = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "rows", "row", "text"))
+    chosen = stage(groups.groupBy(F.col(id_col).alias(ids)).agg(F.count("*").alias(rows)), "simhash-kept")
+    once, several = chosen.filter(F.col(rows) == 1), chosen.filter(F.col(rows) > 1)
+    out = docs.join(once, docs[id_col] == once[ids], "left_semi").unionByName(docs.filter(docs[id_col].isNull()))
+    if several.isEmpty():  # texts are dealt by id once only
+        return out
+    held = docs.join(several, docs[id_col] == several[ids]).select(F.col(ids), docs[text_col].alias(text), F.struct(*[docs[c] for c in docs.columns]).alias(row))
+    return out.unionByName(held.groupBy(ids).agg(F.min_by(row, F.coalesce(text, F.lit(""))).alias(row)).select(f"{row}.*"))

@@ -13,7 +13,7 @@ def tables(spark, prose, at, extra=()):
         text = prose(i, 80)
         rows.append((i, " ".join(w + "%%%" for w in text.split()) if poor else text))
         labels.append((i, int(not poor), 0))
-    rows += [(200, rows[1][1]), (201, prose(77, 40) + " " + item + " " + prose(78, 40)), (202, prose(79, 80) + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), *extra]
+    rows += [(200, rows[1][1]), (201, prose(77, 40) + " " + item + " " + prose(78, 40)), (202, prose(279, 80) + ' token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'), *extra]
     rng.shuffle(rows)
     spark.createDataFrame([(*r, "en", "src1", len(r[1] or "")) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{at}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{at}/labels.parquet")

@@ -3,6 +3,7 @@ import re
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from clausewright.llm import graph, simhash
 
@@ -53,8 +54,34 @@ def test_links_lose_nothing(spark):
     values |= {0, 1, (1 << 64) - 1, 1 << 63}
     signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
     brute = {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 2}
-    got = [(r["a"], r["b"]) for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "fingerprint bigint")).collect()]
-    assert set(got) == brute and len(got) == len(brute)
+    frame = spark.createDataFrame([(v,) for v in signed], "fingerprint bigint")
+    for hot in (2000, 4, 1):  # with 4 and 1 keys are split into finer ones
+        got = [(r["a"][0], r["b"][0]) for r in simhash.links(frame, hot).collect()]
+        assert set(got) == brute and len(got) == len(brute)
+
+
+def test_chains_prune_before_the_full_distance(spark):
+    """Of pairs that share two segments the chain budgets drop most that are too far, and none that is near."""
+    rng = random.Random(4)
+    values = set()
+    for _ in range(20):
+        v = rng.getrandbits(64)
+        values |= {v} | {v ^ rng.getrandbits(32) << rng.choice([0, 16, 32]) & (1 << 64) - 1 for _ in range(20)} | {v ^ (1 << rng.randrange(64)) for _ in range(5)}
+    frame = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fingerprint bigint")
+    x = F.col("a.fingerprint").bitwiseXOR(F.col("b.fingerprint"))
+    met = simhash.meetings(frame).distinct().select(simhash.chains_fit(x).alias("fits"), (F.bit_count(x) <= 2).alias("near")).collect()
+    far = [r for r in met if not r["near"]]
+    assert all(r["fits"] for r in met if r["near"]) and len(far) > 1000
+    assert sum(not r["fits"] for r in far) > 0.9 * len(far)
+
+
+def test_dense_keys_are_split(spark):
+    """A key that all fingerprints share makes no more than its neighbours' pairs."""
+    frame = spark.range(6000).select((F.col("id") * 7919 % (1 << 16) + (F.lit(5) * (1 << 40))).cast("bigint").alias("fingerprint")).distinct()
+    values = sorted(r[0] for r in frame.collect())
+    held = set(values)
+    near = {(min(v, w), max(v, w)) for v in values for i in range(16) for j in range(i, 16) if (w := v ^ (1 << i) ^ ((1 << j) if i != j else 0)) in held}
+    assert {(r["a"][0], r["b"][0]) for r in simhash.links(frame, 500).collect()} == near
 
 
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(5, 4), (4, 3), (3, 2), (2, 1), (9, 8)], [(k, k + 1) for k in range(60)] + [(100, 30), (200, 201)], [(0, k) for k in range(1, 200)]])
@@ -78,6 +105,18 @@ def test_keep_one(docs, odd, prose):
     assert sorted(map(str, ids)) == sorted(["1", "4", "None", "6", "8", "9"])
 
 
+def test_columns_that_clash_inside(spark):
+    frame = spark.createDataFrame([(1, "a b c", 5, 6), (1, "a b", 7, 8), (2, "a b c", 9, 9)], "doc_id bigint, text string, __id int, __rows int")
+    assert sorted(tuple(r) for r in simhash.keep_one(frame).collect()) == [(1, "a b", 7, 8)]
+
+
+@pytest.mark.parametrize("edges", [[(0, k) for k in range(1, 900)] + [(5, 1000), (1000, 1001)], [(k, k % 3) for k in range(3, 1200)] + [(1, 0), (2, 1)]])
+def test_hot_centres_are_dealt_out(spark, edges, monkeypatch):
+    monkeypatch.setattr(graph, "LEAST_HOT", 16)
+    got = {r["node"]: r["root"] for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect()}
+    assert got == {n: 0 for e in edges for n in e if n}
+
+
 def test_empty_table(docs):
     assert simhash.near_duplicates(docs([])).collect() == []
     assert simhash.keep_one(docs([])).collect() == []
