@@ -1,6 +1,8 @@
 import re
 
 import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from clausewright.llm import licences, secrets
 
@@ -15,9 +17,11 @@ def forest(spark):
 
 def test_forest_tells_secrets_from_lookalikes(spark, forest):
     held_out = secrets.labelled_findings(spark, each=20, seed=77)
-    score = secrets.vector_to_array("probability")[1]
-    got = forest.transform(secrets._assembled(held_out)).select("label", (score >= secrets.THRESHOLD).cast("int").alias("p")).collect()
-    assert sum(r["label"] == r["p"] for r in got) / len(got) > 0.95
+    table = forest.transform(secrets._assembled(held_out))
+    x, path = F.array(*secrets.features(*(F.col(c) for c in ("value", "before", "after")), F.col("path"))), vector_to_array("probability")[1]
+    got = table.select("label", path.alias("of_model"), secrets.unrolled(forest).score(x).alias("score")).collect()
+    assert sum(r["label"] == (r["score"] >= secrets.THRESHOLD) for r in got) / len(got) > 0.95
+    assert all(r["score"] == pytest.approx(r["of_model"], abs=1e-9) for r in got)
 
 
 def test_findings_on_odd_rows(docs, odd, forest):

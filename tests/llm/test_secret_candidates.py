@@ -33,3 +33,45 @@ def test_named_values_and_known_prefixes_are_candidates(docs, forest):
 def test_words_behind_names_are_left_to_the_forest(docs, forest):
     rows = [(1, "token: required"), (2, "password = getpassword()"), (3, "the bearer certificates of the company"), (4, "auth: enabled_by_default")]
     assert not any(r["is_secret"] for r in secrets.findings(docs(rows), forest).collect())
+
+
+BODY = "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(20_000))
+LINES = "\n".join(BODY[k : k + 64] for k in range(0, len(BODY), 64))
+LONG = "".join(rng.choice(string.ascii_letters) for _ in range(65))
+#: Text, and what has to be gone from it.
+WHOLE = [
+    (f'token = "{LONG}99xQ" x', LONG[:20]), (f"see {LONG}{LONG}7aQ9 x", LONG[:20]),
+    (f"-----BEGIN RSA PRIVATE KEY-----\n{LINES}\n-----END RSA PRIVATE KEY-----\nafter", LINES[-60:]),
+    (f"-----BEGIN A VERY LONG KIND OF ENCRYPTED PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{LINES}\n-----END A VERY LONG KIND OF ENCRYPTED PRIVATE KEY-----", LINES[-60:]),
+    (f"-----BEGIN PRIVATE KEY-----\n{LINES}", LINES[-60:]), (f"service_password_of_the_primary_database_replica = '{LETTERS[3]}'", LETTERS[3]), (f"secret      =      {LETTERS[2]}", LETTERS[2]),
+    (f'Password: {LETTERS[0]}', LETTERS[0]), (f'url = "https://x.example.net/a?api_key={LETTERS[3]}"', LETTERS[3]),
+]
+
+
+def test_no_length_lets_a_secret_through(docs, forest):
+    frame = docs(list(enumerate(t for t, _ in WHOLE)))
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(frame, forest).collect()}
+    left = [k for k, (_, gone) in enumerate(WHOLE) if gone in got[k]]
+    assert left == []
+    assert got[2].endswith("\nafter") and got[2].startswith("[SECRET]")
+
+
+def test_odd_texts_do_not_overflow(docs, forest):
+    """Long runs, many unclosed key blocks, many names: linear work and no deep recursion."""
+    rows = [(1, "a" * 300_000), (2, "-----BEGIN RSA PRIVATE KEY-----\n" * 3000), (3, "token: " * 20_000), (4, "x-" * 100_000 + "1"), (5, "password=" * 5000), (6, " " * 200_000 + ":")]
+    assert secrets.redact(docs(rows), forest).count() == 6
+
+
+def test_planted_secrets_of_the_documents(spark, forest):
+    """All 40-digit tokens behind ``token =`` are found, and little else."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    planted = {(r["doc_id"], r["v"]) for r in docs.selectExpr("doc_id", r"""explode(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1)) as v""").collect()}
+    got = secrets.findings(docs, forest, path=docs["source"]).filter("is_secret").collect()
+    found = {(r["doc_id"], r["value"]) for r in got}
+    assert len(planted) > 5 and planted <= found
+    assert len(found - planted) <= 0.1 * len(planted)
+
+
+def test_columns_that_clash_inside(spark, forest):
+    frame = spark.createDataFrame([(1, f'token = "{LETTERS[1]}9"', "s", 3)], "doc_id bigint, text string, __secrets string, __id int")
+    assert secrets.redact(frame, forest).collect()[0][1:] == ('token = "[SECRET]"', "s", 3)
