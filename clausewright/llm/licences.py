@@ -1,15 +1,19 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance along directories.
 
-Headers are the words around licence vocabulary anywhere in a text; licence
-files (by their name) are compared as a whole. Only template vocabulary counts,
-weighted by its rarity among templates. A file without a licence of its own takes
-that of the nearest directory above it which holds a licence file.
+Headers are stretches of words of several widths about every licence word of a
+text; licence files (by their name) are compared in overlapping stretches of the
+whole file as well. Words are weighted by their rarity among the templates; a word
+that no template has is as rare as can be and counts in a stretch's norm. A file
+without a licence of its own takes that of the nearest directory above it which
+holds a licence file.
 
 Defined results: every row gives one row; null and empty texts have no licence
-of their own but may inherit; a null path lies in the root, whose directory
-is the empty string, and repeated rows repeat; ties of cosine go to the
-alphabetically last licence, ties of licence files in one directory to the
-higher cosine and then the last name; other columns are ignored.
+of their own but may inherit; very long texts are searched whole; a null path
+lies in the root, whose directory is the empty string, and repeated rows repeat; a
+licence that another one's text contains (GENERIC) gives way to it, ties of cosine
+go to the alphabetically last licence, ties of licence files in one directory to
+the higher cosine and then the last name; an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +31,26 @@ from .stage import stage
 COSINE, WORDS = 0.6, 3
 #: Tasks that the files of one directory are dealt to.
 SALTS = 64
-#: Short notices and characteristic passages of public licences.
+#: Titles, short notices and characteristic passages of public licences.
 TEMPLATES = [
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-1.0", "GNU GENERAL PUBLIC LICENSE Version 1, February 1989"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("LGPL-2.0", "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("MPL-1.1", "MOZILLA PUBLIC LICENSE Version 1.1"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Artistic-1.0", "The \"Artistic License\" Preamble The intent of this document is to state the conditions under which a Package may be copied"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("EPL-2.0", "Eclipse Public License - v 2.0"),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("ISC", "ISC License"),
+    ("MIT", "The MIT License (MIT)"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
@@ -43,7 +65,8 @@ TEMPLATES = [
     ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -57,14 +80,15 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0"),
 ]
-#: Licence vocabulary; a header starts at one of these words and runs on.
-KEYWORD = r"[LlSsFfPpHhRr](?i:icen[cs]e|pdx|ree\s+software|ublic\s+domain|ereby\s+granted|edistribution\s+and\s+use)"
-#: Takes no more than the licence word, so that headers overlap.
-_HEADER = rf"(?=({KEYWORD}[^\s]{{0,60}}(?:\s{{1,4}}[^\s]{{1,60}}){{0,40}})){KEYWORD}"
-#: Licence words looked back over for the words before another: more than fit in them.
-_BACK = 100
-#: Words before and after that a header is compared with: as a short notice and with what stands further around it.
-AROUND = ((1, 7), (3, 9), (10, 41))
+#: Licences whose passages are part of others.
+GENERIC = {"BSD-2-Clause"}
+#: What every text with a header has, and the words that headers stand about.
+KEYWORD = r"(?i:licen[cs]e|spdx|public\s+domain|hereby\s+granted|redistribution\s+and\s+use|neither\s+the\s+name|legal\s+code\s+cc0)"
+_LICENCE_WORD = r"^(?:(?:un)?licen[cs].*|spdx|redistribution|hereby|neither|unencumbered|cc0)$"
+#: Words before a licence word, and words from it on, of the stretches compared: titles, short notices and passages.
+AROUND = ((0, 5), (1, 3), (1, 7), (2, 3), (3, 5), (3, 6), (4, 3), (4, 5), (4, 8), (0, 24), (0, 30), (10, 41))
+#: Words of the stretches of a licence file, and of the steps between them.
+TILE, STEP = 40, 20
 LICENCE_FILE = r"(?i)^(un)?(licen[cs]e|copying|notice)s?([-_.].*)?$"
 _TOKEN = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -80,35 +104,33 @@ def _weights() -> tuple[list[tuple[str, dict[str, float]]], dict[str, float]]:
     return out, idf
 
 
-def _headers(text: Column) -> Column:
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
+
+
+def _headers(words: Column) -> Column:
     """Stretches of AROUND words about every licence word."""
-    hits, pieces = F.regexp_extract_all(text, F.lit(_HEADER), F.lit(1)), F.split(text, KEYWORD, -1)
-    tails = F.transform(pieces, lambda s: F.right(s, F.lit(400)))
-    # a licence word may stand in the words before another one
-    joined = F.zip_with(tails, F.regexp_extract_all(text, F.lit(f"({KEYWORD})"), F.lit(1)), lambda s, h: F.concat(s, F.coalesce(h, F.lit(""))))
+    hits = F.filter(F.transform(words, lambda w, k: F.when(w.rlike(_LICENCE_WORD), k + 1)), lambda k: k.isNotNull())
 
-    def before(k: Column) -> Column:
-        """The words before the hit at this place, counted from zero."""
-        held = F.least(k, F.lit(_BACK))
-        earlier = F.array_join(F.slice(joined, k - held + 1, held), "")
-        return F.split(F.right(F.concat(earlier, F.get(tails, k)), F.lit(400)), r"\s+")
+    def stretch(k: Column, before: int, after: int) -> Column:
+        start = F.greatest(k - before, F.lit(1))
+        return F.slice(words, start, k - start + after)
 
-    pairs = F.transform(hits, lambda h, k: F.struct(F.split(h, r"\s+").alias("hit"), before(k).alias("before")))
+    return F.flatten(F.transform(hits, lambda k: F.array(*[stretch(k, *n) for n in AROUND])))
 
-    def stretch(h: Column, before: int, after: int) -> Column:
-        last = F.slice(h["before"], F.greatest(F.size(h["before"]) - before, F.lit(1)), F.lit(before + 1))
-        return F.concat(F.array_join(last, " "), F.array_join(F.slice(h["hit"], 1, after), " "))
 
-    return F.flatten(F.transform(pairs, lambda h: F.array(*[stretch(h, *n) for n in AROUND])))
+def _tiles(words: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)), F.lit(STEP)), lambda k: F.slice(words, k, TILE))
 
 
 def scanned(files: DataFrame) -> DataFrame:
-    """One pass over the texts: ``(row, id, path, is_file, parts)``, where parts are
-    the whole text of a licence file and the headers of another."""
+    """One pass over the texts: ``(row, id, path, is_file, parts)``, where parts are the
+    words of each different header and, of a licence file, of its tiles."""
     is_file = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False))
-    headers = F.when(F.col("text").rlike(KEYWORD), _headers(F.col("text")))
-    parts = F.when(is_file, F.array("text")).otherwise(headers)
-    return stage(files.select(F.monotonically_increasing_id().alias("row"), "id", "path", is_file.alias("is_file"), parts.alias("parts")), "licence-headers")
+    parts = lambda words: F.when(is_file, F.concat(_headers(words), _tiles(words))).otherwise(_headers(words))
+    bound = F.transform(F.array(_words(F.col("text"))), parts)[0]  # the words are cut once
+    held = F.when(F.col("text").isNotNull() & (is_file | F.col("text").rlike(KEYWORD)), F.array_distinct(bound))
+    return stage(files.select(F.monotonically_increasing_id().alias("row"), "id", "path", is_file.alias("is_file"), held.alias("parts")), "licence-headers")
 
 
 def own_licences(parts: DataFrame) -> DataFrame:
@@ -119,13 +141,16 @@ def own_licences(parts: DataFrame) -> DataFrame:
     """
     templates, idf = _weights()
     vocabulary = F.broadcast(parts.sparkSession.createDataFrame([(w, x, [t.get(w, 0.0) for _, t in templates]) for w, x in idf.items()], "word string, idf double, weights array<double>"))
-    words = parts.select("row", F.posexplode("parts").alias("part", "text")).select("row", "part", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_TOKEN), F.lit(0))).alias("word"))
-    bags = words.join(vocabulary, "word").groupBy("row", "part", "word").agg(F.count("*").alias("n"), F.first("idf").alias("idf"), F.first("weights").alias("weights"))
-    x = F.col("n") * F.col("idf")
+    words = parts.select("row", F.posexplode("parts").alias("part", "words")).select("row", "part", F.explode("words").alias("word"))
+    bags = words.groupBy("row", "part", "word").agg(F.count("*").alias("n")).join(vocabulary, "word", "left")
+    x = F.col("n") * F.coalesce("idf", F.lit(math.log(1 + len(templates))))
     dots = [F.sum(x * F.col("weights")[k]).alias(f"d{k}") for k in range(len(templates))]
-    sums = bags.groupBy("row", "part").agg(F.sqrt(F.sum(x * x)).alias("norm"), F.count("*").alias("words"), *dots)
-    best = F.array_max(F.array(*[F.struct((F.col(f"d{k}") / F.col("norm")).alias("cosine"), F.lit(name).alias("licence")) for k, (name, _) in enumerate(templates)]))
-    return sums.filter(F.col("words") >= WORDS).select("row", best.alias("own")).filter(F.col("own.cosine") >= COSINE).groupBy("row").agg(F.max("own").alias("own"))
+    sums = bags.groupBy("row", "part").agg(F.sqrt(F.sum(x * x)).alias("norm"), F.count("idf").alias("words"), *dots)
+    found = [F.struct((F.col(f"d{k}") / F.col("norm")).alias("cosine"), F.lit(name).alias("licence")) for k, (name, _) in enumerate(templates)]
+    special = lambda c: F.struct((~c["licence"].isin(*GENERIC)).alias("special"), c["cosine"].alias("cosine"), c["licence"].alias("licence"))
+    best = F.array_max(F.transform(F.filter(F.array(*found), lambda c: c["cosine"] >= COSINE), special))
+    best = sums.filter(F.col("words") >= WORDS).select("row", best.alias("own")).filter("own is not null").groupBy("row").agg(F.max("own").alias("own"))
+    return best.select("row", F.struct("own.cosine", "own.licence").alias("own"))
 
 
 def scan(files: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: Column | None = None) -> DataFrame:

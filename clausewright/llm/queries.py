@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import decontaminate, language, licences, quality, secrets, sentencepieces, simhash, suffixes, toxicity, vectors
 from .stage import held_out, stage, table
 
+#: Characters up to which a document with a licence word is taken for a licence file.
+NOTICE = 120
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -41,7 +43,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licences.scan(table(spark, sf_dir, "documents"), path=F.concat_ws("/", "source", "doc_id"))
+    # the table has no file names: a short text that names a licence stands for the licence file of its directory
+    notice = (F.length("text") <= NOTICE) & F.col("text").rlike(licences.KEYWORD)
+    name = F.when(notice, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
+    folder = F.when(notice, F.lit(None)).otherwise(F.floor(F.col("doc_id") / 1000).cast("string"))
+    return licences.scan(table(spark, sf_dir, "documents"), path=F.concat_ws("/", "source", folder, name))
 
 
 def op4_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
