@@ -27,11 +27,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/clausewright/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    leave_nothing(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
 
 
+def leave_nothing(spark: SparkSession, path: str) -> None:
+    """Have the files deleted when the session's JVM ends, if nobody has done so before."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def drop_stage(df: DataFrame) -> None:
     """Delete the files behind a frame returned by :func:`stage`."""
     path = getattr(df, "_staged_path", None)
