@@ -37,9 +37,10 @@ def blocks(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, list[byt
         yield start, held
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], starts_of: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words (runs of letters and digits) of lower-cased
-    texts, one after the other, and the number of words of each text."""
+    texts, one after the other, and the number of words of each text; for each
+    number of bytes in ``starts_of`` also the hashes of the words' beginnings."""
     buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
     inside = np.zeros(len(buf) + 2, np.int8)
@@ -48,9 +49,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = np.nonzero(step == 1)[0], np.nonzero(step == -1)[0]
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, ends_of_texts))))
     if not len(starts):
-        return np.zeros(0, np.uint64), counts
+        return np.zeros(0, np.uint64), counts, *(np.zeros(0, np.uint64) for _ in starts_of)
     at = np.nonzero(inside[1:-1])[0]
     lengths = ends - starts
     firsts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     offset = np.arange(len(at)) - np.repeat(firsts, lengths)
-    return mix(np.add.reduceat(_TABLE[offset & (_SPAN - 1), buf[at]], firsts) + lengths.astype(np.uint64)), counts
+    values = _TABLE[offset & (_SPAN - 1), buf[at]]
+    begun = [mix(np.add.reduceat(np.where(offset < n, values, np.uint64(0)), firsts) + np.uint64(n)) for n in starts_of]
+    return mix(np.add.reduceat(values, firsts) + lengths.astype(np.uint64)), counts, *begun
