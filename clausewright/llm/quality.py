@@ -6,13 +6,16 @@ a system of fixed size. Isotonic regression over score bins, counted on all
 training rows, turns ridge scores into probabilities.
 
 Defined results: null and empty texts have the statistics of an empty text and
-are scored; labels that are null, other than 0 or 1, or of unknown ids are not
-learned; an id labelled or listed several times counts each time; without any
-label every score is 0.5 (nothing is rejected); other columns are ignored.
+are scored; very long texts are read whole; labels that are null, other than 0 or
+1, or of unknown ids are not learned; an id labelled or listed several times
+counts each time; without any label every score is 0.5 (nothing is rejected); tied
+ridge scores share a score, and one of exactly the least is kept; an empty table
+gives an empty table; other columns are ignored, and kept by :func:`keep`.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .stage import fold
+from .stage import fold, stage
 
 #: Fourier features, kernel width (in standard deviations of a statistic), ridge penalty a row, score bins.
 FEATURES, WIDTH, RIDGE, BINS = 192, 4.0, 1e-3, 1000
@@ -163,3 +166,25 @@ def scorer(model: QualityModel):
         return pa.array(model.score(np.array([statistics(t.as_py()) for t in texts])) if len(texts) else [], pa.float64())
 
     return quality_score
+
+
+def keep(docs: DataFrame, labels: DataFrame, *, least: float = 0.5, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more, all columns kept.
+
+    Every text's statistics are taken once and written beside it; the model is
+    learned from them and applied to them, so no text is joined or shuffled.
+    """
+
+    @F.arrow_udf("array<double>")
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.array([statistics(t.as_py()) for t in texts], pa.list_(pa.float64()))
+
+    x = f"x_{uuid.uuid4().hex}"
+    held = stage(docs.withColumn(x, measured(text_col)), "quality-texts")
+    model = fit(held.select(id_col, F.col(x).alias("x")), labels, label_col=label_col, id_col=id_col)
+
+    @F.arrow_udf("double")
+    def scored(rows: pa.Array) -> pa.Array:
+        return pa.array(model.score(rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), STATISTICS)) if len(rows) else [], pa.float64())
+
+    return held.filter(scored(x) >= least).drop(x)

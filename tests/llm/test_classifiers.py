@@ -109,6 +109,9 @@ def test_quality(spark, docs, odd):
     assert (np.diff(model.values) >= 0).all() and (np.diff(model.knots) > 0).all()
     inline = {r["doc_id"]: r["s"] for r in frame.select("doc_id", quality.scorer(model)("text").alias("s")).collect()}
     assert inline == pytest.approx(got)
+    kept = quality.keep(frame, marks)
+    assert kept.columns == frame.columns
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in frame.select("doc_id", quality.scorer(model)("text").alias("s")).filter("s >= 0.5").collect())
 
 
 def test_normal_equations_equal_a_plain_fit(spark, docs):
