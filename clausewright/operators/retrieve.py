@@ -1,27 +1,32 @@
 """Hybrid retrieval for all flags at once: vectors, shared terms, shared referents, fusion.
 
 Every route gives ``(flag_id, clause_id, score, rank)``; the rank is what counts later.
+Retrieval stays within a tender: where both inputs of a route have ``tender_id``, only
+rows of equal tenders meet (null and empty ones are one tender).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from clausewright.functions.rules import distance, similarity
 
 ROUTES = ("R1_dense", "R2_defined_term", "R3_referent")
 #: Reciprocal ranks are 1 / (RRF_K + rank).
 RRF_K = 60
-#: Vectors of one block of the dense search, in rows.
-BLOCK = 4096
+#: Numbers in the vectors of one block of the dense search, on average.
+BLOCK = 1 << 20
 #: Four roundings of a double.
 EPSILON = 2.0**-50
-_ROUTE = "flag_id string, clause_id string, score double, rank int"
+
+
+def scope(df: DataFrame, *others: DataFrame) -> Column:
+    """The tender that a row is searched in, one for all where an input has none."""
+    return F.coalesce("tender_id", F.lit("")) if all("tender_id" in d.columns for d in (df, *others)) else F.lit("")
 
 
 def query_text(text: Column, commitments: Column, separator: str = "\n") -> Column:
@@ -36,83 +41,117 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.concat_arrays([c.flatten() for c in column.chunks]) if column.num_chunks else pa.array([], pa.float64())
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _cell(k: int, schema: pa.Schema):
+    """The k best of a block of vectors for each of a block of queries, ties by id."""
+
+    def run(held: pa.Table, rows: pa.Table) -> pa.Table:
+        if not held.num_rows or not rows.num_rows:  # hashing may leave a block empty
+            return schema.empty_table()
+        a, b = _matrix(held.column("q")), _matrix(rows.column("v"))
+        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        # what rounding may add to the product, and to scores that tie
+        off = EPSILON * (a.shape[1] + 16) * (1 + (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :])
+        square = np.where(np.isnan(square), np.inf, square)
+        most = min(k, len(b))
+        bound = np.partition(square + off, most - 1, axis=1)[:, most - 1]
+        names = rows.column("id").to_pylist()
+        place = np.empty(len(b), int)
+        place[sorted(range(len(b)), key=lambda j: (names[j] is not None, names[j]))] = np.arange(len(b))
+        out_q, out_i, out_d = [], [], []
+        for n in range(len(a)):
+            near = np.nonzero(square[n] - off[n] <= bound[n])[0]
+            d = np.sqrt(((b[near] - a[n]) ** 2).sum(1))
+            best = np.lexsort((place[near], -1 / (1 + d)))[:most]
+            out_q.append(np.full(len(best), n))
+            out_i.append(near[best])
+            out_d.append(d[best])
+        at_q, at_i, d = (np.concatenate(x) for x in (out_q, out_i, out_d))
+        return pa.Table.from_arrays([held.column("query_id").take(pa.array(at_q)), rows.column("id").take(pa.array(at_i)), pa.array(d, pa.float64())], schema=schema)
+
+    return run
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
     """``(query_id, id, score, rank)``: the k nearest vectors, with similarity 1 / (1 + distance).
 
-    ``queries``: (query_id, vector); ``vectors``: (id, vector). The queries are cut
-    into blocks of bounded size, every block meets every part of the vectors, and each
-    part keeps its own k best per query, equal scores by id, so the final ranking sees k rows a part.
+    ``queries``: (query_id, vector); ``vectors``: (id, vector); both with ``tender_id`` or neither. The
+    vectors of either side in a tender are dealt to blocks of bounded size, every pair of blocks is a
+    task's cell, which keeps its own k best per query, and the final ranking sees k rows a cell.
     """
-    q = queries.select(F.col("query_id"), F.col("vector").cast("array<double>").alias("q"))
-    blocks = q.select(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-q.count() // BLOCK)))).alias("block"), "query_id", "q").groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("held"))
-    parts = vectors.select("id", F.col("vector").cast("array<double>").alias("v"))
-    parts = parts.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-parts.count() // BLOCK))))).groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias("rows"))
-    id_type, query_type = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for pair in batch.to_pylist():
-                held, rows = pair["held"], pair["rows"]
-                a, b = np.array([h["q"] for h in held]), np.array([r["v"] for r in rows])
-                square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-                # what rounding may add to the product, and to scores that tie
-                off = EPSILON * (a.shape[1] + 16) * (1 + (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :])
-                square = np.where(np.isnan(square), np.inf, square)
-                most = min(k, len(rows))
-                bound = np.partition(square + off, most - 1, axis=1)[:, most - 1]
-                names = [r["id"] for r in rows]
-                place = np.empty(len(rows), int)
-                place[sorted(range(len(rows)), key=lambda j: (names[j] is not None, names[j]))] = np.arange(len(rows))
-                out_q, out_i, out_d = [], [], []
-                for n, h in enumerate(held):
-                    near = np.nonzero(square[n] - off[n] <= bound[n])[0]
-                    d = np.sqrt(((b[near] - a[n]) ** 2).sum(1))
-                    for j in np.lexsort((place[near], -1 / (1 + d)))[:most]:
-                        out_q.append(h["query_id"])
-                        out_i.append(names[near[j]])
-                        out_d.append(d[j])
-                yield pa.RecordBatch.from_arrays([pa.array(out_q), pa.array(out_i), pa.array(out_d, pa.float64())], ["query_id", "id", "distance"])
-
-    pairs = blocks.crossJoin(parts).select("held", "rows")  # blocks of the query set against blocks of all rows
-    near = pairs.mapInArrow(run, f"query_id {query_type}, id {id_type}, distance double").withColumn("score", similarity(F.col("distance")))
+    told = scope(queries, vectors), scope(vectors, queries)
+    q = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"), told[0].alias("scope"))
+    v = vectors.select("id", F.col("vector").cast("array<double>").alias("v"), told[1].alias("scope"))
+    blocks = lambda df, c, n: df.groupBy("scope").agg(F.greatest(F.ceil(F.sum(F.size(c)) / BLOCK), F.lit(1)).cast("int").alias(n))
+    # a row for each tender, apart for either side as both meet again
+    sizes = lambda: blocks(q, "q", "q_blocks").join(blocks(v, "v", "v_blocks"), "scope")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    held = q.join(sizes(), "scope").withColumn("q_block", F.pmod(F.xxhash64("query_id"), "q_blocks").cast("int")).withColumn("v_block", each("v_blocks"))
+    rows = v.join(sizes(), "scope").withColumn("v_block", F.pmod(F.xxhash64("id"), "v_blocks").cast("int")).withColumn("q_block", each("q_blocks"))
+    cell = ["scope", "q_block", "v_block"]
+    ids = [f"{n} {d.schema[n].dataType.simpleString()}" for n, d in (("query_id", queries), ("id", vectors))]
+    types = [to_arrow_type(d.schema[n].dataType) for n, d in (("query_id", queries), ("id", vectors))]
+    schema = pa.schema([("query_id", types[0]), ("id", types[1]), ("distance", pa.float64())])
+    met = held.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(_cell(k, schema), f"{ids[0]}, {ids[1]}, distance double")
+    near = met.withColumn("score", similarity(F.col("distance")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")
 
 
 def dense(flags: DataFrame, flag_vectors: DataFrame, clause_vectors: DataFrame, k: int = 8) -> DataFrame:
     """Route 1. A flag's own clause is taken out after the top k, so k - 1 may remain."""
-    found = nearest(flag_vectors.select(F.col("flag_id").alias("query_id"), "vector"), clause_vectors.select(F.col("clause_id").alias("id"), "vector"), k)
+    tender = ["tender_id"] if "tender_id" in flags.columns and "tender_id" in clause_vectors.columns else []
+    asked = flag_vectors.select("flag_id", "vector").join(flags.select("flag_id", *tender), "flag_id")
+    found = nearest(asked.select(F.col("flag_id").alias("query_id"), "vector", *tender), clause_vectors.select(F.col("clause_id").alias("id"), "vector", *tender), k)
     rows = found.select(F.col("query_id").alias("flag_id"), F.col("id").alias("clause_id"), "score", "rank").join(flags.select("flag_id", F.col("clause_id").alias("own")), "flag_id")
     order = Window.partitionBy("flag_id").orderBy("rank")
     return rows.filter("clause_id <> own").withColumn("rank", F.row_number().over(order)).select("flag_id", "clause_id", "score", "rank")
 
 
 def terms_in_clauses(clauses: DataFrame, definitions: DataFrame) -> DataFrame:
-    """``(clause_id, term)``: clauses that contain a defined term anywhere, whatever its case.
+    """``(clause_id, term)``: clauses that contain a defined term of their tender anywhere, whatever its case.
+
+    Containment is no equality: the distinct terms of a tender (a package defines
+    tens) are one row, which its clauses join, and each clause is searched for each of them.
+    """
+    terms = definitions.filter("canonical_form <> ''").groupBy(scope(definitions, clauses).alias("scope")).agg(F.collect_set("canonical_form").alias("terms"))
+    rows = clauses.select("clause_id", F.lower("text").alias("text"), scope(clauses, definitions).alias("scope")).join(terms, "scope")
+    held = F.transform(F.array("text"), lambda text: F.filter("terms", lambda t: F.contains(text, F.lower(t))))[0]
+    return rows.select("clause_id", F.explode(held).alias("term"))
+
+
+def _by_profile(flags: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """Clauses of a flag's tender by the weight of the keys they share with the flag's clause, its own left out.
 
-    Containment is no equality, so this is a nested loop over the terms. They are
-    distinct and few (a package defines tens); Spark broadcasts them while they are small.
+    ``items``: (clause_id, key, weight, scope), one row each. Flags whose clauses
+    have the same set of keys have the same ranking but for their own clauses, so
+    each different set of a tender is ranked once and k + 1 of its clauses meet the flags.
     """
-    terms = definitions.filter("canonical_form <> ''").select(F.col("canonical_form").alias("term")).distinct()
-    return clauses.select("clause_id", F.lower("text").alias("text")).join(terms, F.contains("text", F.lower("term"))).select("clause_id", "term")
+    sets = items.groupBy(F.col("clause_id").alias("own"), "scope").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    asked = flags.select("flag_id", F.col("clause_id").alias("own")).join(sets, "own")
+    keys = asked.select("scope", "keys").distinct().select("scope", "keys", F.explode("keys").alias("key"))
+    scored = keys.join(items, ["scope", "key"]).groupBy("scope", "keys", "clause_id").agg(F.sum("weight").cast("double").alias("score"))
+    first = Window.partitionBy("scope", "keys").orderBy(F.col("score").desc(), "clause_id")
+    best = scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1).drop("rank")
+    return _top(asked.join(best, ["scope", "keys"]).filter("clause_id <> own").select("flag_id", "clause_id", "score"), k)
 
 
 def shared_terms(flags: DataFrame, clauses: DataFrame, definitions: DataFrame, k: int = 8) -> DataFrame:
     """Route 2: clauses by the number of distinct terms shared with the flag's clause."""
-    found = terms_in_clauses(clauses, definitions)
-    own = flags.select("flag_id", F.col("clause_id").alias("own")).join(found.withColumnRenamed("clause_id", "own"), "own")
-    pairs = own.join(found, "term").filter("clause_id <> own")
-    return _top(pairs.groupBy("flag_id", "clause_id").agg(F.countDistinct("term").cast("double").alias("score")), k)
+    found = terms_in_clauses(clauses, definitions).withColumnRenamed("term", "key").distinct()
+    tenders = clauses.select("clause_id", scope(clauses, definitions).alias("scope")).distinct()
+    return _by_profile(flags, found.join(tenders, "clause_id").withColumn("weight", F.lit(1)), k)
 
 
 def shared_referents(flags: DataFrame, quantities: DataFrame, clauses: DataFrame, k: int = 8) -> DataFrame:
     """Route 3: clauses by their quantities on any referent of the flag's clause.
     A clause that is missing still takes its place in the ranking."""
-    known = quantities.filter("referent <> 'UNCLASSIFIED' and referent <> ''").groupBy("clause_id", "referent").agg(F.count("*").alias("n"))
-    own = flags.select("flag_id", F.col("clause_id").alias("own")).join(known.select(F.col("clause_id").alias("own"), "referent"), "own")
-    pairs = own.join(known, "referent").filter("clause_id <> own")
-    ranked = _top(pairs.groupBy("flag_id", "clause_id").agg(F.sum("n").cast("double").alias("score")), k)
-    return ranked.join(clauses.select("clause_id"), "clause_id", "left_semi").select("flag_id", "clause_id", "score", "rank")
+    known = quantities.filter("referent <> 'UNCLASSIFIED' and referent <> ''").groupBy("clause_id", F.col("referent").alias("key"), scope(quantities).alias("scope")).agg(F.count("*").alias("weight"))
+    return _by_profile(flags, known, k).join(clauses.select("clause_id"), "clause_id", "left_semi").select("flag_id", "clause_id", "score", "rank")
 
 
 def fuse(routes: dict[str, DataFrame], k: int = RRF_K, top: int = 12) -> DataFrame:
@@ -132,9 +171,12 @@ def fuse(routes: dict[str, DataFrame], k: int = RRF_K, top: int = 12) -> DataFra
 
 
 def with_metadata(hits: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Adds each hit's text and the metadata that vector stores keep."""
-    c = clauses.select("clause_id", "text", metadata().alias("metadata"))
-    return hits.join(c, "clause_id")
+    """Adds each hit's text and the metadata that vector stores keep; of several rows of
+    a clause those of the longest text, of equally long ones the first."""
+    row = F.struct("text", metadata().alias("metadata"))
+    place = F.col("ord").cast("string") if "ord" in clauses.columns else F.lit("")
+    longest = clauses.groupBy("clause_id").agg(F.min_by(row, F.struct(-F.length("text"), place, "text")).alias("__c"))
+    return hits.join(longest, "clause_id").select(*hits.columns, "__c.text", "__c.metadata")
 
 
 def metadata() -> Column:

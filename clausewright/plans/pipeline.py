@@ -62,7 +62,7 @@ def run(pages: DataFrame, table_rows: DataFrame | None = None, given: Providers
     out["candidate_flags"] = stages.candidate_flags(asked, given.commitments(asked.filter("is_obligation"))).persist()
     flagged = out["candidate_flags"].filter("flagged")
     text = flagged.select("flag_id", retrieve.query_text(F.col("clause_text"), F.col("commitments")).alias("text"))
-    routes = {"R1_dense": retrieve.dense(flagged, given.embed(text).select("flag_id", "vector"), given.embed(clauses.select("clause_id", "text")).select("clause_id", "vector"), options.top_k_route)}
+    routes = {"R1_dense": retrieve.dense(flagged, given.embed(text).select("flag_id", "vector"), given.embed(clauses.select("clause_id", "tender_id", "text")).select("clause_id", "tender_id", "vector"), options.top_k_route)}
     if "definitions" in out:
         routes["R2_defined_term"] = retrieve.shared_terms(flagged, clauses, out["definitions"], options.top_k_route)
     if "quantities" in out:

@@ -337,28 +337,56 @@ def cosine_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(rules.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
-_TERMS = "(SELECT r_name AS term FROM region UNION SELECT n_name FROM nation)"
-_MENTIONS = f"(SELECT p_partkey, lower(p_name || ' for ' || n_name || ' and ' || r_name) AS t FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = p_partkey % 5)"
+# the terms of tender 0 are all names, those of tender 1 the regions' alone
+_TERMS = "(SELECT r_name AS term, 0 AS t FROM region UNION SELECT n_name, 0 FROM nation UNION SELECT r_name, 1 FROM region)"
+_MENTIONS = f"(SELECT p_partkey, p_partkey % 2 AS t, lower(p_name || ' for ' || n_name || ' and ' || r_name) AS text FROM part JOIN nation ON n_nationkey = p_partkey % 25 JOIN region ON r_regionkey = p_partkey % 5)"
+_FOUND = f"(SELECT DISTINCT 'p' || CAST(p_partkey AS VARCHAR) AS clause_id, m.t, p_partkey, term FROM {_MENTIONS} AS m JOIN {_TERMS} AS d ON m.t = d.t AND contains(m.text, lower(d.term)))"
 
 
-@query(f"SELECT CAST(p_partkey AS VARCHAR) AS clause_id, term FROM {_MENTIONS} AS m JOIN {_TERMS} AS t ON contains(m.t, lower(t.term))")
+def _mentions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    region, nation = _table(spark, sf_dir, "region").select(F.col("r_name").alias("canonical_form"), "r_regionkey"), _table(spark, sf_dir, "nation").select(F.col("n_name").alias("canonical_form"), "n_nationkey")
+    named = lambda df, t: df.select("canonical_form", F.lit(t).alias("tender_id"))
+    terms = named(region, "0").unionByName(named(nation, "0")).unionByName(named(region, "1"))
+    part = _table(spark, sf_dir, "part").join(nation.withColumnRenamed("canonical_form", "n"), F.col("n_nationkey") == F.col("p_partkey") % 25).join(region.withColumnRenamed("canonical_form", "r"), F.col("r_regionkey") == F.col("p_partkey") % 5)
+    return part.select("p_partkey", F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("clause_id"), (F.col("p_partkey") % 2).cast("string").alias("tender_id"), F.concat("p_name", F.lit(" for "), "n", F.lit(" and "), "r").alias("text")), terms
+
+
+@query(f"SELECT clause_id, term FROM {_FOUND} AS f")
 def terms_in_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region, nation = _table(spark, sf_dir, "region"), _table(spark, sf_dir, "nation")
-    terms = region.select(F.col("r_name").alias("canonical_form")).unionByName(nation.select(F.col("n_name").alias("canonical_form")))
-    part = _table(spark, sf_dir, "part").join(nation, F.col("n_nationkey") == F.col("p_partkey") % 25).join(region, F.col("r_regionkey") == F.col("p_partkey") % 5)
-    rows = part.select(F.col("p_partkey").cast("string").alias("clause_id"), F.concat("p_name", F.lit(" for "), "n_name", F.lit(" and "), "r_name").alias("text"))
+    rows, terms = _mentions(spark, sf_dir)
     return retrieve.terms_in_clauses(rows, terms)
 
 
-_REFS = "(SELECT 'c' || CAST(l_suppkey AS VARCHAR) AS clause_id, 'ref_' || CAST(l_partkey % 40 AS VARCHAR) AS referent FROM lineitem)"
+@query(f"""SELECT flag_id, clause_id, CAST(count(*) AS DOUBLE) AS score, row_number() OVER (PARTITION BY flag_id ORDER BY count(*) DESC, clause_id) AS rank FROM (SELECT 'f' || a.clause_id AS flag_id, b.clause_id FROM {_FOUND} AS a JOIN {_FOUND} AS b ON a.term = b.term AND a.t = b.t AND a.clause_id <> b.clause_id WHERE a.p_partkey % 20 = 0 OR a.p_partkey % 20 = 7) AS p GROUP BY flag_id, clause_id QUALIFY rank <= 8""")
+def shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole second route over two tenders; flags are the stated sets of parts."""
+    rows, terms = _mentions(spark, sf_dir)
+    flags = rows.filter("p_partkey % 20 in (0, 7)").select(F.concat(F.lit("f"), "clause_id").alias("flag_id"), "clause_id", "tender_id")
+    return retrieve.shared_terms(flags, rows, terms).select("flag_id", "clause_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("""SELECT 'f' || CAST(query_id AS VARCHAR) AS flag_id, CAST(id AS VARCHAR) AS clause_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, CAST(id AS VARCHAR)) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, CAST(id AS VARCHAR)) AS place FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, 1 / (1 + sqrt(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS s
+  FROM embeddings q JOIN embeddings v ON coalesce(q.label, -1) % 3 = coalesce(v.label, -1) % 3 WHERE q.vec_id % 20 = 0) AS n) AS r WHERE place <= 8 AND id <> query_id""")
+def dense_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first route within three tenders: eight nearest, the flag's own clause then left out."""
+    v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("clause_id"), "vec_id", (F.coalesce("label", F.lit(-1)) % 3).cast("string").alias("tender_id"), F.col("embedding").alias("vector"))
+    flags = v.filter("vec_id % 20 = 0").select(F.concat(F.lit("f"), "clause_id").alias("flag_id"), "clause_id", "tender_id", "vector")
+    found = retrieve.dense(flags.drop("vector"), flags.select("flag_id", "vector"), v)
+    return found.select("flag_id", "clause_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+# a clause is a supplier, its tender the nation, a quantity a line item
+_REFS = "(SELECT 'c' || CAST(l_suppkey AS VARCHAR) AS clause_id, 'ref_' || CAST(l_partkey % 40 AS VARCHAR) AS referent, s_nationkey % 4 AS t FROM lineitem JOIN supplier ON s_suppkey = l_suppkey)"
 _R3 = f"""(SELECT flag_id, clause_id, CAST(sum(n) AS DOUBLE) AS score, row_number() OVER (PARTITION BY flag_id ORDER BY sum(n) DESC, clause_id) AS rank FROM (SELECT f.flag_id, q.clause_id, q.n FROM
- (SELECT DISTINCT 'f' || substr(clause_id, 2) AS flag_id, clause_id AS own, referent FROM {_REFS} AS r WHERE CAST(substr(clause_id, 2) AS BIGINT) % 20 = 0 AND referent <> 'ref_0') AS f JOIN (SELECT clause_id, referent, count(*) AS n FROM {_REFS} AS r GROUP BY ALL) AS q ON q.referent = f.referent AND q.clause_id <> f.own) AS p GROUP BY flag_id, clause_id QUALIFY rank <= 8)"""
+ (SELECT DISTINCT 'f' || substr(clause_id, 2) AS flag_id, clause_id AS own, referent, t FROM {_REFS} AS r WHERE CAST(substr(clause_id, 2) AS BIGINT) % 20 = 0 AND referent <> 'ref_0') AS f JOIN (SELECT clause_id, referent, t, count(*) AS n FROM {_REFS} AS r GROUP BY ALL) AS q ON q.referent = f.referent AND q.t = f.t AND q.clause_id <> f.own) AS p GROUP BY flag_id, clause_id QUALIFY rank <= 8)"""
 
 
 def _referents(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q = _table(spark, sf_dir, "lineitem").selectExpr("concat('c', l_suppkey) as clause_id", "case l_partkey % 40 when 0 then 'UNCLASSIFIED' else concat('ref_', l_partkey % 40) end as referent")
-    c = _table(spark, sf_dir, "supplier").selectExpr("concat('c', s_suppkey) as clause_id")
-    flags = _table(spark, sf_dir, "supplier").filter("s_suppkey % 20 = 0").selectExpr("concat('f', s_suppkey) as flag_id", "concat('c', s_suppkey) as clause_id")
+    s = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "cast(s_nationkey % 4 as string) as tender_id")
+    q = _table(spark, sf_dir, "lineitem").join(s, F.col("l_suppkey") == F.col("s_suppkey")).selectExpr("concat('c', l_suppkey) as clause_id", "tender_id", "case l_partkey % 40 when 0 then 'UNCLASSIFIED' else concat('ref_', l_partkey % 40) end as referent")
+    c = s.selectExpr("concat('c', s_suppkey) as clause_id", "tender_id")
+    flags = s.filter("s_suppkey % 20 = 0").selectExpr("concat('f', s_suppkey) as flag_id", "concat('c', s_suppkey) as clause_id", "tender_id")
     return flags, q, c
 
 
