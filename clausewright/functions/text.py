@@ -10,14 +10,32 @@ IGNORE_CASE = "(?iU)"
 UNICODE = "(?U)"
 
 
+#: Stands around matches in ASCII texts, where it cannot occur.
+_MARK = "\ufdd0"
+
+
+def ascii_only(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
+def plain(pattern: str) -> str:
+    """The pattern without Unicode classes, which match the same in ASCII texts and are much slower."""
+    return pattern.replace(IGNORE_CASE, "(?i)").replace(UNICODE, "")
+
+
+def _by_kind(text: Column, use) -> Column:
+    """``use(text, how)`` with plain patterns for ASCII texts and Unicode classes for others."""
+    return F.when(ascii_only(text), use(text, plain)).otherwise(use(text, lambda p: p))
+
+
 def collapse(text: Column) -> Column:
     """White space runs to one space, trimmed."""
-    return F.btrim(F.regexp_replace(text, UNICODE + r"\s+", " "))
+    return F.btrim(_by_kind(text, lambda t, how: F.regexp_replace(t, how(UNICODE + r"\s+"), " ")))
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, UNICODE + r"^\s+|\s+$", "")
+    return _by_kind(text, lambda t, how: F.regexp_replace(t, how(UNICODE + r"^\s+|\s+$"), ""))
 
 
 def word_count(text: Column) -> Column:
@@ -52,23 +70,30 @@ def let(value: Column, use) -> Column:
 
 
 def spans(text: Column, pattern: str, *groups: int) -> Column:
-    """Every match in order: ``array<struct<start, end, raw, g0, g1, ...>>``.
+    """Every match in order: ``array<struct<start, end, raw, g0, g1, ...>>``, null or empty without one.
 
-    Offsets follow from the stretches between matches, so no Python is needed.
-    An optional group that took no part is the empty string.
+    Texts are cut at the matches and one pass over the stretches adds up their
+    lengths, so no Python is needed. An optional group that took no part is the empty string.
+    ASCII texts are searched once, with plain classes; others are searched and split.
     """
-    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, s: n + F.length(s))
-
-    def placed(raw: Column, between: Column) -> Column:
-        def place(hit: Column, i: Column) -> Column:
-            start = length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(raw, F.lit(1), i))
-            # a match holds its groups wherever it stands, as long as the pattern looks at nothing outside
-            return F.struct(start.alias("start"), (start + F.length(hit)).alias("end"), hit.alias("raw"), *[F.regexp_extract(hit, pattern, g).alias(f"g{k}") for k, g in enumerate(groups)])
-
-        return F.transform(raw, place)
-
-    # without a match the text is not split at all
-    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda raw: let(F.when(F.size(raw) > 0, F.split(text, pattern, -1)), lambda between: placed(raw, between)))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.array().cast("array<struct<start: int, end: int, raw: string>>").alias("found"))
+
+    def placed(pieces: Column, p: str) -> Column:
+        """``pieces``: stretches between matches and matches in turn."""
+        def add(acc: Column, piece: Column) -> Column:
+            end = acc["at"] + F.length(piece)
+            one = F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("raw"))
+            return F.struct(end.alias("at"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+
+        found = F.aggregate(pieces, start, add, lambda acc: acc["found"])
+        # a match holds its groups wherever it stands, as long as the pattern looks at nothing outside
+        return F.transform(found, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["raw"].alias("raw"), *[F.regexp_extract(h["raw"], p, g).alias(f"g{k}") for k, g in enumerate(groups)]))
+
+    quick = plain(pattern)
+    marked = F.split(F.regexp_replace(text, quick, f"{_MARK}$0{_MARK}"), _MARK, -1)
+    between = lambda raw: F.split(text, pattern, -1)
+    slow = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda raw: F.when(F.size(raw) > 0, F.flatten(F.zip_with(between(raw), raw, lambda s, h: F.when(h.isNull(), F.array(s)).otherwise(F.array(s, h))))))
+    return F.when(ascii_only(text), placed(marked, quick)).otherwise(placed(slow, pattern))
 
 
 def folded(text: Column) -> Column:

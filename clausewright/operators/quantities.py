@@ -27,10 +27,14 @@ NEEDLES = [("rs", "inr", "₹"), ("lakh", "crore", "cr", "lac"), ("usd",), ("±"
 REFERENTS = ["defect_liability_period", "completion_period", "mobilisation_advance_pct", "mobilisation_advance_amount", "performance_security_pct", "liquidated_damages_pct", "liquidated_damages_cap", "earnest_money_deposit_amount", "tender_fee_amount", "contract_value_estimate", "validity_of_bid", "advance_payment_pct", "retention_money_pct", "price_adjustment_threshold", "concrete_grade", "steel_grade", "cube_test_frequency", "compaction_density_pct", "slump_value_mm", "tolerance_mm", "minimum_thickness_mm", "maximum_settlement_mm", "noise_limit_db", "particulate_matter_limit", "cement_quantity_per_cum", "boq_item_quantity", "completion_milestone_pct", "warranty_period", "notice_period", "interest_rate_pct", "vat_or_gst_rate_pct", "manpower_count", "tender_processing_fee", "minimum_turnover_amount"]
 
 
+def folded_unit(unit: Column) -> Column:
+    return F.lower(strip(F.coalesce(unit, F.lit(""))))
+
+
 def normalise(value: Column, unit: Column, kind: Column, strict: bool = False) -> Column:
-    """``struct<value_norm, unit_norm>``. A million USD counts 84 lakh here, and
+    """``struct<value_norm, unit_norm>`` of a :func:`folded_unit`. A million USD counts 84 lakh here, and
     bare dollars as rupees; ``strict`` converts both by 84 rupees a dollar."""
-    u = F.lower(strip(F.coalesce(unit, F.lit(""))))
+    u = unit
     pick = lambda *cases, other: reduce(lambda acc, c: F.when(c[0], c[1]).otherwise(acc), reversed(cases), other)
     starts = lambda *p: u.rlike("^(" + "|".join(p) + ")")
     days = pick((starts("hour") | u.isin("hr", "hrs"), value / 24), (starts("min"), value / (24 * 60)), (starts("day"), value), (starts("wk", "week"), value * 7), (starts("mo"), value * 30), (starts("yr", "year"), value * 365), other=value)
@@ -70,7 +74,8 @@ def extract(clauses: DataFrame, strict: bool = False) -> DataFrame:
 
     kept = F.filter(F.transform(_without_overlaps(_candidates(F.col("text"))), measured), lambda q: q["value"].isNotNull())
     rows = clauses.select("clause_id", "doc_id", "tender_id", "page", "text", F.posexplode(kept).alias("ord", "q"))
-    norm = normalise(F.col("q.value"), F.col("q.unit"), F.col("q.kind"), strict)
+    rows = rows.withColumn("folded", folded_unit(F.col("q.unit")))  # once, for all the cases that look at it
+    norm = normalise(F.col("q.value"), F.col("folded"), F.col("q.kind"), strict)
     return rows.select(
         F.concat("clause_id", F.lit("::q"), F.lpad(F.col("ord").cast("string"), 3, "0")).alias("quantity_id"), "clause_id", "doc_id", "tender_id", strip(F.col("q.raw")).alias("raw_text"),
         window_around(F.col("text"), F.col("q.start"), F.col("q.end")).alias("surrounding_text"), "q.kind", "q.value", "q.unit", norm["value_norm"].alias("value_norm"), norm["unit_norm"].alias("unit_norm"),
