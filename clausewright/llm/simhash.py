@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import marks
 from .graph import components
 from .stage import stage
 
@@ -174,12 +175,14 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_smallest(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is its own ``component_id`` in ``groups``, as :func:`keep_one` has them."""
-    groups = groups.filter(F.col(id_col).isNotNull() & (F.col(id_col) == F.col("component_id")))
-    ids, rows, row, text = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "rows", "row", "text"))
-    chosen = stage(groups.groupBy(F.col(id_col).alias(ids)).agg(F.count("*").alias(rows)), "simhash-kept")
-    once, several = chosen.filter(F.col(rows) == 1), chosen.filter(F.col(rows) > 1)
-    out = docs.join(once, docs[id_col] == once[ids], "left_semi").unionByName(docs.filter(docs[id_col].isNull()))
-    if several.isEmpty():  # texts are dealt by id once only
+    ids, root, rows, row, text = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "root", "rows", "row", "text"))
+    told = groups.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias(ids)).agg(F.min("component_id").alias(root), F.count("*").alias(rows))
+    # ids to drop and ids with several rows; rows of all others stay where they are
+    marked = stage(told.filter((F.col(root) != F.col(ids)) | (F.col(rows) > 1)), "simhash-marked")
+    apart, maybe = marks.split(docs, marked.select(ids), [docs[id_col]])
+    out = apart.unionByName(maybe.join(marked, maybe[id_col] == marked[ids], "left_anti"))
+    several = marked.filter(F.col(root) == F.col(ids))
+    if several.isEmpty():
         return out
-    held = docs.join(several, docs[id_col] == several[ids]).select(F.col(ids), docs[text_col].alias(text), F.struct(*[docs[c] for c in docs.columns]).alias(row))
+    held = maybe.join(several, maybe[id_col] == several[ids]).select(F.col(ids), maybe[text_col].alias(text), F.struct(*[maybe[c] for c in docs.columns]).alias(row))
     return out.unionByName(held.groupBy(ids).agg(F.min_by(row, F.coalesce(text, F.lit(""))).alias(row)).select(f"{row}.*"))

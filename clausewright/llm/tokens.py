@@ -14,6 +14,9 @@ _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, (_SPAN, 256), np.u
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = True
 _IS_WORD[128:] = True
+#: Every byte but ASCII white space.
+NO_SPACE = np.ones(256, bool)
+NO_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -37,14 +40,14 @@ def blocks(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, list[byt
         yield start, held
 
 
-def word_hashes(texts: list[bytes], starts_of: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
-    """64-bit hashes of the words (runs of letters and digits) of lower-cased
+def word_hashes(texts: list[bytes], starts_of: tuple[int, ...] = (), is_word: np.ndarray = _IS_WORD) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the words (runs of letters and digits, or of the bytes of ``is_word``) of lower-cased
     texts, one after the other, and the number of words of each text; for each
     number of bytes in ``starts_of`` also the hashes of the words' beginnings."""
     buf = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
     ends_of_texts = np.cumsum([len(t) + 1 for t in texts])
     inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = _IS_WORD[buf]
+    inside[1:-1] = is_word[buf]
     step = np.diff(inside)
     starts, ends = np.nonzero(step == 1)[0], np.nonzero(step == -1)[0]
     counts = np.diff(np.concatenate(([0], np.searchsorted(starts, ends_of_texts))))

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from clausewright.llm import graph, simhash
+from clausewright.llm import graph, marks, simhash, stage
 
 
 def brute_fingerprint(text):
@@ -110,6 +110,19 @@ def test_columns_that_clash_inside(spark):
     assert sorted(tuple(r) for r in simhash.keep_one(frame).collect()) == [(1, "a b", 7, 8)]
 
 
+@pytest.mark.parametrize("most", [1 << 15, 1 << 28])
+def test_marked_rows_are_split_without_loss(spark, most, monkeypatch):
+    """All rows with a marked key are among the rest, few others are, and no row is lost."""
+    monkeypatch.setattr(marks, "MOST_BITS", most)
+    rows = spark.createDataFrame([(None if k == 7 else k, f"t{k}", k % 3) for k in range(5000)], "id bigint, __page string, __at int")
+    keys = stage.stage(spark.range(0, 5000, 9).select("id", (F.col("id") % 3).cast("int").alias("m")).withColumnRenamed("id", "k"), "t")
+    apart, maybe = marks.split(rows, keys, [rows["id"], rows["__at"]])
+    assert apart.columns == rows.columns
+    one, two = {r["__page"] for r in apart.collect()}, {r["__page"] for r in maybe.collect()}
+    assert {f"t{k}" for k in range(0, 5000, 9)} <= two and len(one) + len(two) == 5000 and not one & two and "t7" in one
+    assert len(two) < 1200
+
+
 @pytest.mark.parametrize("edges", [[(0, k) for k in range(1, 900)] + [(5, 1000), (1000, 1001)], [(k, k % 3) for k in range(3, 1200)] + [(1, 0), (2, 1)]])
 def test_hot_centres_are_dealt_out(spark, edges, monkeypatch):
     monkeypatch.setattr(graph, "LEAST_HOT", 16)
