@@ -50,10 +50,11 @@ def verify(citations: DataFrame, entries: DataFrame, strict: bool = False) -> Da
     chunk of the code will do. Each step is an equi-join on a derived key: a
     code's prefixes are few, so registry rows are exploded by them once.
     """
-    c = citations.select("*", naming.code_id(F.col("code"), F.col("version")).alias("full"), F.xxhash64("id", "code", F.coalesce("version", F.lit("")), F.coalesce("section", F.lit(""))).alias("__c"))
+    c = citations.select("*", naming.code_id(F.col("code"), F.col("version")).alias("full"), F.struct("code", F.coalesce("version", F.lit("")).alias("version"), F.coalesce("section", F.lit("")).alias("section")).alias("__c"))
     r = entries.select("code_id", "section", "chunk_id", F.col("ord").alias("place"))
     attempt = F.posexplode(F.array("full", F.regexp_replace(F.btrim("code"), r"\s+", " "))).alias("attempt", "key")
-    tries = c.select("__c", F.col("section").alias("wanted"), "code", "version", attempt).withColumn("key", F.when(F.col("attempt") == 0, F.col("key")).otherwise(F.col("code")))
+    # each different citation is looked up once, however many texts have it
+    tries = c.select("__c", "section", "code", "version", "full").distinct().select("__c", F.col("section").alias("wanted"), "code", "version", attempt).withColumn("key", F.when(F.col("attempt") == 0, F.col("key")).otherwise(F.col("code")))
     with_section, without = tries.filter("wanted is not null"), tries.filter("wanted is null")
     out = lambda df, rank: df.select("__c", (F.col("attempt") * 10 + rank).alias("rank"), "place", "chunk_id")
     exact = out(with_section.join(r.withColumnRenamed("code_id", "key").withColumn("wanted", F.col("section")).drop("section"), ["key", "wanted"]), 0)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.operators import definitions, lexicon, quantities, references, retrieve, segment, stages
-from clausewright.plans import providers
+from clausewright.functions import rules
+from clausewright.operators import citations, definitions, lexicon, quantities, references, retrieve, segment, stages
+from clausewright.plans import prompts, providers
+from clausewright.sources.staging import stage
 
 
 @dataclass
@@ -18,9 +21,12 @@ class Providers:
     obligations: providers.Provider = providers.stub_obligations
     commitments: providers.Provider = providers.stub_commitments
     embed: providers.Provider = field(default_factory=providers.stub_embedding)
+    #: Of flags with ``block``, what was retrieved for them; critiques see the verdict's ``rationale`` as well.
     verdicts: providers.Provider | None = None
     critiques: providers.Provider | None = None
     severities: providers.Provider | None = None
+    #: Of ``(flag_id, prompt)`` rows and a temperature, or None for the usual one.
+    rewrites: Callable[[DataFrame, float | None], DataFrame] | None = None
 
 
 @dataclass(frozen=True)
@@ -35,31 +41,44 @@ class Options:
     top_k_route: int = 8
     top_k_fused: int = 8
     max_clauses: int | None = None
+    rewrite: bool = True
+    top_k_codes: int = 5
+    max_rewrites: int | None = None
 
 
-def run(pages: DataFrame, table_rows: DataFrame | None = None, given: Providers | None = None, options: Options | None = None) -> dict[str, DataFrame]:
-    """Tables by name. Everything is lazy: materialise at the sinks that are wanted.
+def code_context(flags: DataFrame, codes: DataFrame, embed: providers.Provider, k: int = 5) -> DataFrame:
+    """``(flag_id, chunks)``: the code sections nearest to each flag's clause, the best first."""
+    asked = embed(flags.select("flag_id", F.col("clause_text").alias("text"))).select(F.col("flag_id").alias("query_id"), "vector")
+    found = retrieve.nearest(asked, embed(codes.select("chunk_id", "text")).select(F.col("chunk_id").alias("id"), "vector"), k)
+    row = F.struct("rank", F.struct("code_id", "section", "page", "text").alias("chunk"))
+    held = found.join(codes.select(F.col("chunk_id").alias("id"), "code_id", "section", "page", "text"), "id").groupBy(F.col("query_id").alias("flag_id"))
+    return held.agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["chunk"]).alias("chunks"))
 
-    Tables that several later ones read are persisted (memory and disk); blocks
-    of a lost executor are computed again from their lineage.
+
+def run(pages: DataFrame, table_rows: DataFrame | None = None, given: Providers | None = None, options: Options | None = None, codes: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Tables by name. ``codes``: chunks of the code library, for rewrites.
+
+    Tables that later ones read, the models' replies among them, are written to the shared
+    folder as the run reaches them: a model is asked once, a lost executor costs no
+    call, and no plan holds more than one stage. The others are lazy.
     """
     given, options = given or Providers(), options or Options()
     out: dict[str, DataFrame] = {"clauses": segment.clauses(pages)}
     if options.tables and table_rows is not None:
         first = out["clauses"].groupBy("doc_id").agg(F.count("*").cast("int").alias("first_index"))
         out["clauses"] = out["clauses"].unionByName(segment.table_clauses(table_rows, first))
-    clauses = out["clauses"] = out["clauses"].persist()
+    clauses = out["clauses"] = stage(out["clauses"], "clauses")
     out["lexicon_flags"] = lexicon.flags(clauses)
     if options.extract_definitions:
-        out["definitions"] = definitions.extract(clauses).persist()
+        out["definitions"] = stage(definitions.extract(clauses), "definitions")
     if options.extract_quantities:
-        out["quantities"] = quantities.extract(clauses).persist()
+        out["quantities"] = stage(quantities.extract(clauses), "quantities")
     if options.extract_references:
-        out["references"] = references.resolve(references.extract(clauses), clauses).persist()
+        out["references"] = stage(references.resolve(references.extract(clauses), clauses), "references")
         out["nodes"], out["edges"] = references.nodes(out["references"], clauses), references.edges(out["references"])
     chosen = stages.eligible(clauses, most=options.max_clauses)
-    asked = stages.obligations(chosen, None if options.skip_obligation_filter else given.obligations(chosen))
-    out["candidate_flags"] = stages.candidate_flags(asked, given.commitments(asked.filter("is_obligation"))).persist()
+    asked = stage(stages.obligations(chosen, None if options.skip_obligation_filter else given.obligations(chosen)), "asked")
+    out["candidate_flags"] = stage(stages.candidate_flags(asked, given.commitments(asked.filter("is_obligation"))), "candidate-flags")
     flagged = out["candidate_flags"].filter("flagged")
     text = flagged.select("flag_id", retrieve.query_text(F.col("clause_text"), F.col("commitments")).alias("text"))
     routes = {"R1_dense": retrieve.dense(flagged, given.embed(text).select("flag_id", "vector"), given.embed(clauses.select("clause_id", "tender_id", "text")).select("clause_id", "tender_id", "vector"), options.top_k_route)}
@@ -67,13 +86,23 @@ def run(pages: DataFrame, table_rows: DataFrame | None = None, given: Providers
         routes["R2_defined_term"] = retrieve.shared_terms(flagged, clauses, out["definitions"], options.top_k_route)
     if "quantities" in out:
         routes["R3_referent"] = retrieve.shared_referents(flagged, out["quantities"], clauses, options.top_k_route)
-    out["hybrid_hits"] = retrieve.with_metadata(retrieve.fuse(routes, top=options.top_k_fused), clauses)
+    out["hybrid_hits"] = stage(retrieve.with_metadata(retrieve.fuse(routes, top=options.top_k_fused), clauses), "hits")
     if given.verdicts is None:
         return out
-    out["verdicts"] = stages.verdicts(out["candidate_flags"], given.verdicts(flagged)).persist()
+    evidence = stage(prompts.with_evidence(flagged, out["hybrid_hits"]), "evidence")
+    out["verdicts"] = stage(stages.verdicts(out["candidate_flags"], given.verdicts(evidence)), "verdicts")
     if given.critiques is None or given.severities is None:
         return out
-    real = stages.real(out["verdicts"])
-    out["confirmed"] = stages.confirmed(out["verdicts"], out["candidate_flags"], given.critiques(real), given.severities(real)).persist()
-    out["rewrite_candidates"] = stages.rewrite_candidates(out["confirmed"], out["candidate_flags"])
+    real = evidence.join(stages.real(out["verdicts"]).select("flag_id", "rationale"), "flag_id")
+    critiques = stage(given.critiques(real), "critiques")
+    confirmed = evidence.join(critiques.filter(rules.coerce(F.col("verdict"), stages.CRITIQUES, "CONFIRMED") == "CONFIRMED").select("flag_id"), "flag_id", "left_semi")
+    out["confirmed"] = stages.confirmed(out["verdicts"], out["candidate_flags"], critiques, given.severities(confirmed))
+    out["confirmed"] = stage(out["confirmed"], "confirmed")
+    out["rewrite_candidates"] = stages.rewrite_candidates(out["confirmed"], out["candidate_flags"], most=options.max_rewrites)
+    if options.rewrite and given.rewrites is not None and codes is not None:
+        from clausewright.plans import rewrite
+
+        registry = citations.registry(codes if "ord" in codes.columns else codes.withColumn("ord", F.col("chunk_id")))
+        context = stage(code_context(out["rewrite_candidates"], codes, given.embed, options.top_k_codes), "code-context")
+        out["rewrites"], out["rewrite_attempts"] = rewrite.loop(out["rewrite_candidates"], out["candidate_flags"], given, context, registry)
     return out

@@ -24,3 +24,17 @@ def batch_prompt(rows: DataFrame, key: str, text_col: str, head: str, limit: int
     item = F.struct(F.col(key).alias("id"), F.concat(F.lit("["), F.col(key), F.lit("] "), truncate(F.regexp_replace(text_col, "\n", " "), limit)).alias("line"))
     held = rows.groupBy("batch").agg(F.array_sort(F.collect_list(item)).alias("items"))
     return held.select("batch", F.col("items.id").alias("ids"), F.concat(F.lit(head + "\n"), F.array_join("items.line", "\n")).alias("prompt"))
+
+
+def hits_block(hits: DataFrame, limit: int = 500) -> DataFrame:
+    """``(flag_id, n_hits, block)``: retrieved clauses as prompt lines, in order of rank."""
+    where = F.format_string("  [%2d] %s  page %s  clause %s  routes=%s  rrf=%.4f", "rank", "clause_id", F.coalesce(F.col("metadata.page").cast("string"), F.lit("?")), F.coalesce(F.nullif("metadata.clause_number", F.lit("")), F.lit("-")), F.array_join("sources", "+"), "rrf_score")
+    text = truncate(F.btrim(F.regexp_replace("text", "\n", " ")), limit, " ...")
+    line = F.struct("rank", F.concat(where, F.lit("\n       "), text).alias("line"))
+    return hits.groupBy("flag_id").agg(F.count("*").cast("int").alias("n_hits"), F.array_join(F.transform(F.array_sort(F.collect_list(line)), lambda h: h["line"]), "\n").alias("block"))
+
+
+def with_evidence(flags: DataFrame, hits: DataFrame) -> DataFrame:
+    """``flags`` with ``n_hits`` and ``block`` of what was retrieved for each."""
+    found = flags.join(hits_block(hits), "flag_id", "left")
+    return found.withColumn("block", F.coalesce("block", F.lit("  (no clauses retrieved)"))).withColumn("n_hits", F.coalesce("n_hits", F.lit(0)))
