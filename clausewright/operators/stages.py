@@ -203,9 +203,9 @@ def questions(flags: DataFrame, rows: DataFrame) -> DataFrame:
     return first.orderBy("rank").select("q.*")
 
 
-def telemetry(calls: DataFrame) -> DataFrame:
-    """Calls, hits and misses of the cache, tokens and cost; a hit costs nothing in ``billed_usd``."""
-    return calls.agg(F.count("*").alias("api_calls"), F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("cached")).alias("cache_misses"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost_usd").alias("cost_usd"), F.sum(F.when(~F.col("cached"), F.col("cost_usd")).otherwise(0.0)).alias("billed_usd"))
+def telemetry(calls: DataFrame, *per: str) -> DataFrame:
+    """Calls, hits and misses of the cache, tokens and cost, of each value of ``per``; a hit costs nothing in ``billed_usd``."""
+    return calls.groupBy(*per).agg(F.count("*").alias("api_calls"), F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("cached")).alias("cache_misses"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.sum("cost_usd").alias("cost_usd"), F.sum(F.when(~F.col("cached"), F.col("cost_usd")).otherwise(0.0)).alias("billed_usd"))
 
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import naming, rules, text
-from clausewright.operators import citations, definitions, lexicon, metrics, quantities, references, retrieve, segment, stages
+from clausewright.operators import citations, definitions, lexicon, metrics, quantities, references, retrieve, rollups, segment, stages
 from clausewright.plans import corpus
 from clausewright.sources import artefacts, sinks
 
@@ -301,7 +301,7 @@ def open_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT flag_reason, count(*) AS flags FROM (SELECT CASE WHEN NOT scored THEN 'not an obligation' WHEN trig IS NULL THEN 'all commitments specify quantity, method, and standard' ELSE trig END AS flag_reason FROM {_FLAGS} AS f) AS r GROUP BY 1 ORDER BY flags DESC, flag_reason LIMIT 5")
 def top_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A top-k report."""
-    return _flags(spark, sf_dir).groupBy("flag_reason").agg(F.count("*").alias("flags")).orderBy(F.desc("flags"), "flag_reason").limit(5)
+    return rollups.most_common(_flags(spark, sf_dir), "flag_reason", 5).withColumnRenamed("rows", "flags")
 
 
 @query(f"""SELECT status, count(r.flag_id) AS rewrites, count(*) FILTER (WHERE g1) AS g1_passed, count(*) FILTER (WHERE g2) AS g2_passed FROM (VALUES {', '.join(f"('{s}')" for s in stages.STATUSES)}) AS d(s) LEFT JOIN (
@@ -317,6 +317,60 @@ def rewrite_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.status_counts(stages.rewrite_status(stages.guardrails(rows))).select("status", "rewrites", "g1_passed", "g2_passed")
 
 
+@query("""SELECT count(*) FILTER (WHERE status = 'ACCEPTED') AS accepted, round_even(avg(attempts) FILTER (WHERE status = 'ACCEPTED'), 2) AS avg_attempts, round_even(avg(intent_cosine) FILTER (WHERE status = 'ACCEPTED'), 3) AS avg_intent_cosine FROM (SELECT CASE WHEN event_type = 'view' THEN 'ACCEPTED' ELSE 'ERROR' END AS status, user_id % 3 + 1 AS attempts, CASE WHEN user_id % 5 = 0 THEN 0.0::DOUBLE ELSE (user_id % 8) / 8 END AS intent_cosine FROM events) AS e""")
+def accepted_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events")
+    rows = e.selectExpr("case when event_type = 'view' then 'ACCEPTED' else 'ERROR' end as status", "user_id % 3 + 1 as attempts", "case when user_id % 5 <> 0 then (user_id % 8) / 8 end as intent_cosine")
+    return rollups.status_rollup(rows)
+
+
+@query(f"SELECT (SELECT count(DISTINCT doc_id) FROM {_PAGES} AS p) AS documents_parsed, (SELECT count(*) FILTER (WHERE ocr_was_used) FROM {_PAGES} AS p) AS ocr_pages_total, count(*) AS total_clauses, count(*) FILTER (WHERE table_origin) AS table_clauses FROM {_CLAUSES} AS c")
+def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.parse_summary(corpus.clauses(spark, sf_dir), corpus.pages(spark, sf_dir))
+
+
+def _extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = corpus.clauses(spark, sf_dir)
+    found = references.resolve(references.extract(c), c)
+    return rollups.extract_summary(c, definitions.extract(c), quantities.extract(c), found, None, references.edges(found))
+
+
+@query(f"SELECT (SELECT count(*) FROM {_CLAUSES} AS c) AS clauses_loaded, (SELECT count(*) FROM ({ORACLES['definitions_extracted']}) AS d) AS definitions_extracted, (SELECT count(*) FROM ({_quantity_sql()}) AS q) AS quantities_extracted, 0 AS quantities_referent_classified, count(*) AS references_extracted, count(*) FILTER (WHERE target_id IS NOT NULL) AS references_resolved_internal, (SELECT count(*) FROM ({ORACLES['reference_edges']}) AS e) AS graph_edges FROM {_RESOLVED} AS r")
+def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extracts(spark, sf_dir)
+
+
+@query(f"""SELECT (SELECT count(*) FROM {_CLAUSES} AS c) AS parse_clauses, (SELECT count(*) FILTER (WHERE table_origin) FROM {_CLAUSES} AS c) AS parse_table_clauses, CAST(NULL AS BIGINT) AS extract_definitions, CAST(NULL AS BIGINT) AS extract_quantities, CAST(NULL AS BIGINT) AS extract_references,
+ (SELECT count(*) FILTER (WHERE ok) FROM {_RULED} AS r) AS score_eligible, (SELECT count(*) FILTER (WHERE scored AND trig IS NOT NULL) FROM {_FLAGS} AS f) AS score_flagged, (SELECT count(*) FILTER (WHERE verdict = 'REAL') FROM {_VERDICTS} AS v) AS critique_real, (SELECT count(*) FILTER (WHERE verdict = 'APPARENT') FROM {_VERDICTS} AS v) AS critique_apparent,
+ (SELECT count(*) FILTER (WHERE verdict = 'WEAK') FROM {_VERDICTS} AS v) AS critique_weak, count(*) FILTER (WHERE critique_verdict = 'CONFIRMED') AS confirm_confirmed, count(*) FILTER (WHERE critique_verdict = 'REJECTED') AS confirm_rejected, count(*) FILTER (WHERE critique_verdict = 'WEAK') AS confirm_weak FROM {_CONFIRMED} AS c""")
+def pipeline_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main figures of a run whose extractors were off."""
+    c, flags = corpus.committed(spark, sf_dir), _flags(spark, sf_dir)
+    score = rollups._one_row([stages.eligibility_counts(c, min_chars=110).select("eligible"), stages.stage1_summary(flags).select("flagged")])
+    parsed = rollups.parse_summary(corpus.clauses(spark, sf_dir), corpus.pages(spark, sf_dir))
+    return rollups.pipeline_rollup({"parse": parsed, "score": score, "critique": stages.verdict_counts(_verdicts(flags, c)), "confirm": stages.stage3_summary(_confirmed(spark, sf_dir))})
+
+
+@query(f"""SELECT (SELECT count(*) FROM {_COMMITTED} AS c WHERE page BETWEEN 1 AND 2) AS clauses, (SELECT count(*) FILTER (WHERE scored AND trig IS NOT NULL) FROM {_FLAGS} AS f WHERE page BETWEEN 1 AND 2) AS flagged, (SELECT count(*) FILTER (WHERE scored) FROM {_FLAGS} AS f WHERE page BETWEEN 1 AND 2) AS obligations,
+ count(*) FILTER (WHERE verdict = 'REAL') AS verdict_real, count(*) FILTER (WHERE verdict = 'APPARENT') AS verdict_apparent, count(*) FILTER (WHERE verdict = 'WEAK') AS verdict_weak, count(*) FILTER (WHERE critique_verdict = 'CONFIRMED') AS confirmed FROM {_CONFIRMED} AS c WHERE page BETWEEN 1 AND 2""")
+def scope_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of the clauses on the first two pages of every document."""
+    c, flags = corpus.committed(spark, sf_dir), _flags(spark, sf_dir)
+    return rollups.scope_totals(c.filter("page between 1 and 2"), flags, _verdicts(flags, c), _confirmed(spark, sf_dir))
+
+
+@query("SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS tender_id, c_name AS filename, c_custkey % 4 AS sequence, row_number() OVER (ORDER BY 'n' || CAST(c_nationkey AS VARCHAR), c_custkey % 4, c_name) AS place FROM customer WHERE c_mktsegment = 'BUILDING'")
+def corrigenda_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _table(spark, sf_dir, "customer").selectExpr("concat('n', c_nationkey) as tender_id", "c_name as filename", "case c_mktsegment when 'BUILDING' then 'corrigendum' else 'other' end as role", "c_custkey % 4 as sequence")
+    held = rollups.corrigenda(m).agg(F.collect_list(F.struct("tender_id", "filename", "sequence")).alias("d"))  # one tender list: the order itself is compared
+    return held.select(F.posexplode("d").alias("at", "d")).select("d.tender_id", "d.filename", "d.sequence", (F.col("at") + 1).cast("bigint").alias("place"))
+
+
+@query(f"SELECT flag_id FROM {_CONFIRMED} AS c WHERE critique_verdict = 'CONFIRMED' AND severity_tier = 'high'")
+def inspected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.inspect(_confirmed(spark, sf_dir), critique_verdict="confirmed", severity_tier="HIGH", stage2_verdict=None).select("flag_id")
+
+
 # Retrieval
 
 _NEAR = "SELECT q.vec_id AS query_id, v.vec_id AS id, 1 / (1 + sqrt(list_sum(list_transform(list_zip(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) AS s FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0"
@@ -537,13 +591,21 @@ def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "conversations")
     model = F.when(F.col("role") == "user", "models/gemini-2.5-flash-preview").otherwise("gemini-2.5-pro")
     calls = c.select("role", (F.col("conv_id") % 3 == 0).alias("cached"), F.length("text").alias("tokens_in"), F.col("turn").alias("tokens_out"), rules.cost_usd(model, F.length("text"), F.col("turn")).alias("cost_usd"))
-    return calls.groupBy("role").agg(F.count("*").alias("api_calls"), F.count_if("cached").alias("cache_hits"), F.count_if(~F.col("cached")).alias("cache_misses"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"), F.round(F.sum("cost_usd") * rules.INR_PER_USD, 6).alias("cost_inr"), F.round(F.sum(F.when(~F.col("cached"), F.col("cost_usd")).otherwise(0.0)), 8).alias("billed_usd"))
+    told = stages.telemetry(calls, "role")
+    return told.select("role", "api_calls", "cache_hits", "cache_misses", "tokens_in", "tokens_out", F.round(F.col("cost_usd") * rules.INR_PER_USD, 6).alias("cost_inr"), F.round("billed_usd", 8).alias("billed_usd"))
 
 
-@query("SELECT event_type AS stage, count(*) AS runs, round(sum(value), 2) AS cost, max_by(event_id, ts) AS latest FROM events GROUP BY event_type")
+@query("SELECT event_type AS stage, count(*) AS runs, round(sum(value), 2) AS cost, max_by(event_id, (ts, event_id)) AS latest FROM events GROUP BY event_type")
 def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _table(spark, sf_dir, "events")
-    return e.groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("runs"), F.round(F.sum("value"), 2).alias("cost"), F.max_by("event_id", "ts").alias("latest"))
+    runs = _table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), F.col("value").alias("cost_inr"))
+    return rollups.last_runs(runs, per="stage").select("stage", "runs", F.round("cost_inr", 2).alias("cost"), "latest")
+
+
+@query("SELECT event_id AS run_id, event_type AS stage FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
+def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten latest runs: a limit that is the feature."""
+    runs = _table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"))
+    return rollups.last_runs(runs, 10).select("run_id", "stage")
 
 
 @query("SELECT event_id, contains(lower(m), '429') OR contains(lower(m), 'quota') AS quota, contains(lower(m), '429') OR contains(lower(m), '503') OR contains(lower(m), '500') AS transient, CASE WHEN event_type IN ('click', 'view') THEN event_type ELSE 'view' END AS verdict FROM (SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 'HTTP 429: Quota' WHEN 'click' THEN '503 busy' ELSE 'value ' || CAST(user_id % 400 AS VARCHAR) END AS m FROM events) AS e")

@@ -12,6 +12,7 @@ import pyspark
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewright import schemas
 from clausewright.functions.text import content_hash
 from clausewright.sources.artefacts import exists
 
@@ -33,6 +34,31 @@ def summary(row: DataFrame, path: str) -> None:
     row.coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def manifest(documents: DataFrame, path: str, **fields: str) -> None:
+    """A manifest file for each tender of ``documents``: its fields, dates as ISO text, documents by role's
+    file name, nulls kept. Missing columns of the schema are null."""
+    import re
+
+    spec = schemas.TABLES["manifest"]
+    inner = re.search(r"array<struct<(.*)>>", spec)[1]
+    names = [f.strip().split(": ") for f in inner.split(", ")]
+    doc = F.struct(*[(F.col(n) if n in documents.columns else F.lit(None)).cast(t).alias(n) for n, t in names])
+    top = [f.strip().split(" ")[0] for f in spec.split(", documents ")[0].split(",")]
+    held = documents.groupBy("tender_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("filename", doc.alias("d")))), lambda x: x["d"]).alias("documents"))
+    head = [F.lit(fields.get(n)).cast("string").alias(n) for n in top if n != "tender_id"]
+    held.select("tender_id", *head, "documents").coalesce(1).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def upsert_codes(chunks: DataFrame, existing: DataFrame | None, embed: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """``(vectors, registry)`` of a code library: vectors of the chunks that are not stored yet, and
+    the first chunk of every code and section of all chunks."""
+    from clausewright.operators import citations
+
+    fresh = upsert_vectors(chunks.select(F.col("chunk_id").alias("id"), "text", "code_id", "section", "page"), existing, embed)
+    ordered = chunks if "ord" in chunks.columns else chunks.withColumn("ord", F.col("chunk_id"))
+    return fresh, citations.registry(ordered)
+
+
 def document_tree(pages: DataFrame) -> DataFrame:
     """One row a document with its pages nested in order, and totals."""
     size = F.length(F.coalesce("text", F.lit("")))
