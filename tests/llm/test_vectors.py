@@ -57,6 +57,24 @@ def test_bounds_hold():
         assert set(zip(i, j, strict=True)) == set(zip(brute_i, brute_j, strict=True))
 
 
+def test_very_large_and_small_components(spark):
+    rows = [(k, [a * m for a in (1.0, 2.0, 0.5)], "x") for k, m in enumerate((1.0, 1e200, 1e-200, 5e-300, 1e308 / 4))] + [(9, [-1e200, 1.0, 0.0], "x")]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).orderBy("vec_id").collect()
+    assert [(r["n_links"], r["component_id"]) for r in got] == [(4, 0)] * 5 + [(0, 9)]
+
+
+def test_open_pairs_come_back_in_full(spark, monkeypatch):
+    """Pairs about the threshold, which codes cannot decide, over several tiles."""
+    monkeypatch.setattr(vectors, "TILE", 8)
+    rng, rows = random.Random(9), []
+    for k in range(60):
+        angle = math.acos(0.93) * (k % 3) + rng.uniform(-1e-4, 1e-4)
+        rows.append((k, [math.cos(angle), math.sin(angle), rng.uniform(-1e-3, 1e-3)], 0))
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    got = vectors.near_duplicates(df, least=0.93).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == brute(rows, 0.93)
+
+
 def test_tiles_of_one_row_and_none(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TILE", 1)
     rows = [(k, [1.0, 0.01 * k], 0) for k in range(7)]
