@@ -1,52 +1,13 @@
-"""Shared-folder tables used to cut lineage, and small session helpers.
-
-Every table lands under the folder the session names in ``spark.checkpoint.dir``.
-Only a session without that setting (tests, notebooks) gets a folder of its own
-below the SQL warehouse, which executors share as well.
-"""
+"""Shared-folder tables (those of :mod:`clausewright.sources.staging`) and small session helpers."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clausewright.sources.staging import drop_stage, leave_nothing, shared_dir, stage
 
-def shared_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    The files outlive executors, so later stages never recompute what is above.
-    """
-    path = f"{shared_dir(df.sparkSession)}/clausewright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    leave_nothing(df.sparkSession, path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._staged_path = path
-    return out
-
-
-def leave_nothing(spark: SparkSession, path: str) -> None:
-    """Have the files deleted when the session's JVM ends, if nobody has done so before."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-
-
-def drop_stage(df: DataFrame) -> None:
-    """Delete the files behind a frame returned by :func:`stage`."""
-    path = getattr(df, "_staged_path", None)
-    if path is None:
-        return
-    jvm, spark = df.sparkSession._jvm, df.sparkSession
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["drop_stage", "fold", "held_out", "leave_nothing", "shared_dir", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
