@@ -36,3 +36,4 @@ def test_flagship(spark):
 
 def test_oracles_belong_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert all(isinstance(sql, str) and "select" in sql.lower() for sql in entry.oracle_sql().values())
