@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clausewright.operators import citations, definitions, lexicon, metrics, quantities, references, retrieve, rollups, segment, stages
 from clausewright.plans import operations, pipeline, prompts, providers, rewrite
 from clausewright.session import session
-from clausewright.sources import artefacts, report, sinks, synthetic
+from clausewright.sources import artefacts, pdf, report, sinks, synthetic
 from clausewright.sources.staging import stage
 
 #: Tables of a folder's ``parsed``: file and schema.
@@ -32,7 +32,13 @@ class Folder:
         self.spark, self.path = spark, path.rstrip("/")
 
     def pages(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/pages.parquet")
+        """Decoded pages, or those of the folder's PDF files."""
+        if artefacts.exists(self.spark, f"{self.path}/pages.parquet"):
+            return self.spark.read.parquet(f"{self.path}/pages.parquet")
+        return pdf.pages(self.files(), self.path.rsplit("/", 1)[-1])
+
+    def files(self) -> DataFrame:
+        return self.spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(self.path)
 
     def read(self, name: str, **options: object) -> DataFrame:
         """A table as the stages' operators have it."""
@@ -227,7 +233,7 @@ def acquire(at: Folder, args: argparse.Namespace) -> None:
         artefacts.manifest(spark, f"{at.path}/*/manifest.json").transform(stages.manifest_counts).orderBy("tender_id").show(truncate=False)
     elif args.action in ("init", "drop"):
         name = at.path.rsplit("/", 1)[-1]
-        found = artefacts.files(spark, at.path).select(F.lit(name).alias("tender_id"), "filename", "role", "sequence", "file_size_bytes", "sha256") if args.action == "drop" else spark.createDataFrame([(name, None)], "tender_id string, filename string")
+        found = artefacts.files(spark, at.path).select(F.lit(name).alias("tender_id"), "filename", "role", "sequence", "file_size_bytes", "sha256").join(pdf.checked(at.files()).select(F.element_at(F.split("path", "/"), -1).alias("filename"), "page_count"), "filename", "left") if args.action == "drop" else spark.createDataFrame([(name, None)], "tender_id string, filename string")
         sinks.manifest(found, where, project_title=args.title, issuing_authority=args.authority, source_url=args.source_url)
     else:
         listed = artefacts.manifest(spark, where).filter("filename is not null")

@@ -42,8 +42,12 @@ def strip_page_lines(text: Column) -> Column:
     return F.array_join(F.filter(splitlines(text), lambda line: ~strip(line).rlike(PAGE_LINE)), "\n")
 
 
+#: Characters from which a page's text counts as a layer of its own.
+MIN_CHARS = 30
+
+
 def has_text_layer(text: Column) -> Column:
-    return F.length(strip(F.coalesce(text, F.lit("")))) >= 30
+    return F.length(strip(F.coalesce(text, F.lit("")))) >= MIN_CHARS
 
 
 def choose_text(layer: Column, tesseract: Column, vision: Column) -> Column:
