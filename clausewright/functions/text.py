@@ -23,19 +23,14 @@ def plain(pattern: str) -> str:
     return pattern.replace(IGNORE_CASE, "(?i)").replace(UNICODE, "")
 
 
-def _by_kind(text: Column, use) -> Column:
-    """``use(text, how)`` with plain patterns for ASCII texts and Unicode classes for others."""
-    return F.when(ascii_only(text), use(text, plain)).otherwise(use(text, lambda p: p))
-
-
 def collapse(text: Column) -> Column:
     """White space runs to one space, trimmed."""
-    return F.btrim(_by_kind(text, lambda t, how: F.regexp_replace(t, how(UNICODE + r"\s+"), " ")))
+    return F.btrim(F.regexp_replace(text, UNICODE + r"\s+", " "))
 
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return _by_kind(text, lambda t, how: F.regexp_replace(t, how(UNICODE + r"^\s+|\s+$"), ""))
+    return F.regexp_replace(text, UNICODE + r"^\s+|\s+$", "")
 
 
 def word_count(text: Column) -> Column:
@@ -90,10 +85,14 @@ def spans(text: Column, pattern: str, *groups: int) -> Column:
         return F.transform(found, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["raw"].alias("raw"), *[F.regexp_extract(h["raw"], p, g).alias(f"g{k}") for k, g in enumerate(groups)]))
 
     quick = plain(pattern)
-    marked = F.split(F.regexp_replace(text, quick, f"{_MARK}$0{_MARK}"), _MARK, -1)
-    between = lambda raw: F.split(text, pattern, -1)
-    slow = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda raw: F.when(F.size(raw) > 0, F.flatten(F.zip_with(between(raw), raw, lambda s, h: F.when(h.isNull(), F.array(s)).otherwise(F.array(s, h))))))
-    return F.when(ascii_only(text), placed(marked, quick)).otherwise(placed(slow, pattern))
+
+    def search(t: Column) -> Column:
+        marked = F.split(F.regexp_replace(t, quick, f"{_MARK}$0{_MARK}"), _MARK, -1)
+        pieces = lambda raw: F.flatten(F.zip_with(F.split(t, pattern, -1), raw, lambda s, h: F.when(h.isNull(), F.array(s)).otherwise(F.array(s, h))))
+        slow = let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda raw: F.when(F.size(raw) > 0, pieces(raw)))
+        return F.when(ascii_only(t), placed(marked, quick)).otherwise(placed(slow, pattern))
+
+    return let(text, search)  # the text may be an expression of its own: it appears once
 
 
 def folded(text: Column) -> Column:

@@ -210,7 +210,7 @@ def telemetry(calls: DataFrame, *per: str) -> DataFrame:
 
 def sample(rows: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
     """A repeatable sample of n rows, by hash of the key."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")).cast("binary")), key).limit(n)
 
 
 def in_scope(clauses: DataFrame, doc_id: str, first: int, last: int) -> DataFrame:
