@@ -193,7 +193,7 @@ _DOC_LINES = f"""(SELECT doc_id, page, line, row_number() OVER (PARTITION BY doc
 
 
 @query(f"""SELECT doc_id || '::' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS VARCHAR), 5, '0') AS clause_id, doc_id, page, page_end, section, clause_number, text, len(text) AS char_count, len(regexp_split_to_array(text, '[ \n]+')) AS word_count FROM (
- SELECT doc_id, piece, min(ln) AS first, min(page) AS page, max(page) AS page_end, coalesce(min_by(label, ln), CASE WHEN max(any_heading) THEN 'Front Matter' ELSE '(unsectioned)' END) AS section, min_by(coalesce(number, letter), ln) AS clause_number, trim(string_agg(line, chr(10) ORDER BY ln), ' ' || chr(10)) AS text FROM (
+ SELECT doc_id, piece, min(ln) AS first, CAST(min(page) AS BIGINT) AS page, CAST(max(page) AS BIGINT) AS page_end, coalesce(min_by(label, ln), CASE WHEN max(any_heading) THEN 'Front Matter' ELSE '(unsectioned)' END) AS section, min_by(coalesce(number, letter), ln) AS clause_number, trim(string_agg(line, chr(10) ORDER BY ln), ' ' || chr(10)) AS text FROM (
   SELECT *, sum(CASE WHEN coalesce(heading, number, letter) IS NOT NULL OR ln = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS piece, last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ln) AS label, bool_or(heading IS NOT NULL) OVER (PARTITION BY doc_id) AS any_heading FROM {_DOC_LINES} AS l) AS m GROUP BY doc_id, piece) AS g WHERE len(text) >= 30""")
 def clauses_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SQL knows the kinds of lines that these pages have; tests hold other texts against a plain chunker."""
@@ -202,7 +202,7 @@ def clauses_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT doc_id || '::s::' || section || '::' || lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS VARCHAR), 4, '0') AS chunk_id, doc_id AS code_id, section, replace(doc_id, '_', ' ') || ' > ' || split_part(section, '.', 1) || ' > ' || section AS path, page, text FROM (
- SELECT doc_id, piece, min(ln) AS first, min_by(number, ln) AS section, min_by(page, ln) AS page, trim(string_agg(line, chr(10) ORDER BY ln), ' ' || chr(10)) AS text FROM (SELECT *, sum(CASE WHEN number IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS piece FROM {_DOC_LINES} AS l) AS m WHERE piece > 0 GROUP BY doc_id, piece) AS g WHERE len(text) >= 30""")
+ SELECT doc_id, piece, min(ln) AS first, min_by(number, ln) AS section, CAST(min_by(page, ln) AS BIGINT) AS page, trim(string_agg(line, chr(10) ORDER BY ln), ' ' || chr(10)) AS text FROM (SELECT *, sum(CASE WHEN number IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS piece FROM {_DOC_LINES} AS l) AS m WHERE piece > 0 GROUP BY doc_id, piece) AS g WHERE len(text) >= 30""")
 def code_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As above; tests hold other texts against a plain splitter."""
     found = segment.code_sections(corpus.pages(spark, sf_dir), min_chars=30)
@@ -343,7 +343,7 @@ def _extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.extract_summary(c, definitions.extract(c), quantities.extract(c), found, None, references.edges(found))
 
 
-@query(f"SELECT (SELECT count(*) FROM {_CLAUSES} AS c) AS clauses_loaded, (SELECT count(*) FROM ({ORACLES['definitions_extracted']}) AS d) AS definitions_extracted, (SELECT count(*) FROM ({_quantity_sql()}) AS q) AS quantities_extracted, 0 AS quantities_referent_classified, count(*) AS references_extracted, count(*) FILTER (WHERE target_id IS NOT NULL) AS references_resolved_internal, (SELECT count(*) FROM ({ORACLES['reference_edges']}) AS e) AS graph_edges FROM {_RESOLVED} AS r")
+@query(f"SELECT (SELECT count(*) FROM {_CLAUSES} AS c) AS clauses_loaded, (SELECT count(*) FROM ({ORACLES['definitions_extracted']}) AS d) AS definitions_extracted, (SELECT count(*) FROM ({_quantity_sql()}) AS q) AS quantities_extracted, CAST(0 AS BIGINT) AS quantities_referent_classified, count(*) AS references_extracted, count(*) FILTER (WHERE target_id IS NOT NULL) AS references_resolved_internal, (SELECT count(*) FROM ({ORACLES['reference_edges']}) AS e) AS graph_edges FROM {_RESOLVED} AS r")
 def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extracts(spark, sf_dir)
 
