@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at once; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _SPAN = 64
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 64, (_SPAN, 256), np.uint64)
 _IS_WORD = np.zeros(256, bool)
