@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language, licences, quality, secrets, sentencepieces, simhash, suffixes, toxicity, vectors
+from . import decontaminate, language, licences, quality, secrets, sentencepieces, simhash, suffixes, toxicity, transport, vectors
 from .stage import held_out, stage, table
 
 #: Characters up to which a document with a licence word is taken for a licence file.
@@ -72,8 +72,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    src = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_bytes"), transport.samples_of("text").alias("samples"))
+    media = transport.store(src, "samples").select("doc_id", "n_bytes", F.octet_length("media").cast("bigint").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    read = transport.parse(media, outputs=("packets", "streams", "times", "points", "payload"))
+    payload = [F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32")]
+    return read.select("doc_id", "n_bytes", *payload, "media_bytes", "media_sha256", transport.feature().alias("feature"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_language": op2_language, "op3_licences": op3_licences, "op4_vector_dedup": op4_vector_dedup, "op5_secrets": op5_secrets, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op9_repeats": op9_repeats, "op10_quality": op10_quality}
+    return {"op1_decontaminate": op1_decontaminate, "op2_language": op2_language, "op3_licences": op3_licences, "op4_vector_dedup": op4_vector_dedup, "op5_secrets": op5_secrets, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op9_repeats": op9_repeats, "op10_quality": op10_quality, "op11_transport": op11_transport}
 
 
 OP4_SQL = """

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.sources.staging import drop_stage, leave_nothing, shared_dir, stage
 
-__all__ = ["drop_stage", "fold", "held_out", "leave_nothing", "shared_dir", "stage", "table"]
+__all__ = ["drop_stage", "fold", "map_arrow", "held_out", "leave_nothing", "shared_dir", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,3 +24,9 @@ def fold(id_col: str | Column = "doc_id") -> Column:
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether the row belongs to fold 1; a row without an id does not."""
     return F.coalesce(fold(id_col) == 1, F.lit(False)).alias("held_out")
+
+
+def map_arrow(rows: DataFrame, run: Callable, columns: Sequence[tuple[str, str]]) -> DataFrame:
+    """``rows.mapInArrow`` that gives ``(name, type)`` columns in this order, whatever the names on either side hold (dots, repeats)."""
+    plain = rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
+    return plain.mapInArrow(run, ", ".join(f"c{k} {kind}" for k, (_, kind) in enumerate(columns))).toDF(*(name for name, _ in columns))
