@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, language, licences, quality, secrets, sentencepieces, simhash, suffixes, toxicity, transport, vectors
+from . import alignment, decontaminate, language, licences, quality, secrets, sentencepieces, simhash, suffixes, toxicity, transport, vectors, whitening
 from .stage import held_out, stage, table
 
 #: Characters up to which a document with a licence word is taken for a licence file.
@@ -85,8 +85,12 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", whitening.as_long("deviation"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_language": op2_language, "op3_licences": op3_licences, "op4_vector_dedup": op4_vector_dedup, "op5_secrets": op5_secrets, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op9_repeats": op9_repeats, "op10_quality": op10_quality, "op11_transport": op11_transport, "op12_alignment": op12_alignment}
+    return {"op1_decontaminate": op1_decontaminate, "op2_language": op2_language, "op3_licences": op3_licences, "op4_vector_dedup": op4_vector_dedup, "op5_secrets": op5_secrets, "op6_toxicity": op6_toxicity, "op7_sentencepiece": op7_sentencepiece, "op8_simhash": op8_simhash, "op9_repeats": op9_repeats, "op10_quality": op10_quality, "op11_transport": op11_transport, "op12_alignment": op12_alignment, "op13_whitening": op13_whitening}
 
 
 OP4_SQL = """
