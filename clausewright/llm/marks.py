@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stage import quoted
+
 #: Bits for each key, and the most bits of a bitmap (32 MB).
 BITS_A_KEY, MOST_BITS = 16, 1 << 28
 _PAGE = 1 << 15
@@ -29,7 +31,7 @@ def split(rows: DataFrame, keys: DataFrame, on: list[Column]) -> tuple[DataFrame
     known = on[0].isNotNull()
     for c in on[1:]:
         known = known & c.isNotNull()
-    asked = rows.select(F.struct(*[rows[c] for c in rows.columns]).alias("__row"), F.when(known, place(on)).alias("__at"))
+    asked = rows.select(F.struct(*map(quoted, rows.columns)).alias("__row"), F.when(known, place(on)).alias("__at"))
     held = asked.join(F.broadcast(pages), (F.col("__at") / _PAGE).cast("int") == F.col("__page"), "left")
     byte = F.conv(F.hex(F.substring("__map", ((F.col("__at") % _PAGE) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("__at") % 8)), F.lit(2)) == 1, F.lit(False))

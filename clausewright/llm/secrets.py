@@ -29,6 +29,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .stage import quoted
+
 #: Probability from which a candidate is taken for a secret; trees and their depth.
 THRESHOLD, TREES, DEPTH = 0.5, 24, 7
 #: Characters of the text before and after a candidate that its features see.
@@ -216,4 +218,4 @@ def redact(docs: DataFrame, model: RandomForestClassificationModel | None = None
     values = F.array_distinct(F.transform(F.filter(judged, lambda c: c["score"] >= THRESHOLD), lambda c: c["value"]))
     longest_first = F.array_sort(values, lambda a, b: F.length(b) - F.length(a))
     hidden = F.aggregate(longest_first, text, lambda t, s: F.replace(t, s, F.lit(mask)))
-    return docs.select(*[F.coalesce(hidden, text).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    return docs.select(*[F.coalesce(hidden, text).alias(c) if c == text_col else F.col(quoted(c)) for c in docs.columns])

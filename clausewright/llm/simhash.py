@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import marks
 from .graph import components
-from .stage import stage
+from .stage import quoted, stage
 
 SEED = 42
 _SEGMENTS, _WIDTH = 4, 16
@@ -184,5 +184,5 @@ def keep_smallest(docs: DataFrame, groups: DataFrame, *, id_col: str = "doc_id",
     several = marked.filter(F.col(root) == F.col(ids))
     if several.isEmpty():
         return out
-    held = maybe.join(several, maybe[id_col] == several[ids]).select(F.col(ids), maybe[text_col].alias(text), F.struct(*[maybe[c] for c in docs.columns]).alias(row))
+    held = maybe.join(several, maybe[id_col] == several[ids]).select(F.col(ids), maybe[text_col].alias(text), F.struct(*map(quoted, docs.columns)).alias(row))
     return out.unionByName(held.groupBy(ids).agg(F.min_by(row, F.coalesce(text, F.lit(""))).alias(row)).select(f"{row}.*"))

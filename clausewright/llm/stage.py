@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from clausewright.sources.staging import drop_stage, leave_nothing, shared_dir, stage
 
-__all__ = ["drop_stage", "fold", "map_arrow", "held_out", "leave_nothing", "shared_dir", "stage", "table"]
+__all__ = ["drop_stage", "fold", "map_arrow", "quoted", "held_out", "leave_nothing", "shared_dir", "stage", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name for Spark, whatever it holds (dots as well)."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fold(id_col: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, modulo three; fold 1 is held out of training."""
     return F.crc32(F.col(id_col).cast("string").cast("binary") if isinstance(id_col, str) else id_col.cast("string").cast("binary")) % 3

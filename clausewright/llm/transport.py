@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import map_arrow
+from .stage import map_arrow, quoted
 
 #: Bytes of a packet, and its first byte; spacings in use (plain, with an arrival time before each, with a check after each).
 PACKET, SYNC = 188, 0x47
@@ -364,7 +364,7 @@ def parse(rows: DataFrame, media_col: str = "media", *, keep: list[str] | None =
     """
     names = list(outputs)
     others = [c for c in (rows.columns if keep is None else keep) if c != media_col and c not in names]
-    src = rows.select(*("`" + c.replace("`", "``") + "`" for c in others), media_col)
+    src = rows.select(*map(quoted, others), media_col)
     types = [(f.name, f.dataType.simpleString()) for f in src.schema][: len(others)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
