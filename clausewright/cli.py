@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clausewright.operators import citations, definitions, lexicon, metrics, quantities, references, retrieve, rollups, segment, stages
-from clausewright.plans import operations, pipeline, prompts, providers, rewrite
+from clausewright.operators import citations, lexicon, metrics, retrieve, rollups, segment, stages
+from clausewright.plans import extraction, operations, pipeline, prompts, providers, rewrite
 from clausewright.session import session
 from clausewright.sources import artefacts, pdf, report, sinks, synthetic
+from clausewright.sources.observed import figures_of, observed, one_row
 from clausewright.sources.staging import stage
 
 #: Tables of a folder's ``parsed``: file and schema.
@@ -30,6 +31,8 @@ class Folder:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        #: What was counted while tables were written, by name.
+        self.figures: dict[str, dict] = {}
 
     def pages(self) -> DataFrame:
         """Decoded pages, or those of the folder's PDF files."""
@@ -48,13 +51,20 @@ class Folder:
         key = "clause_id" if name in ("clauses", "lexicon") else "flag_id"
         return rows.withColumn("ord", F.col(key)) if key in rows.columns else rows
 
-    def write(self, name: str, rows: DataFrame) -> DataFrame:
-        held = stage(rows, f"cli-{name}")  # what is written may be read from the same folder
+    def write(self, name: str, rows: DataFrame, *figures: Column) -> DataFrame:
+        """The table staged, as what is written may be read from the same folder; ``figures`` are counted as it is."""
+        held, counted = observed(rows, f"cli-{name}", *figures)
         if "commitments" in held.columns and name == "flags":
             held = held.withColumn("bct_output", F.struct("commitments")).drop("commitments")
-        sinks.jsonl(held.drop("ord"), f"{self.path}/parsed/{FILES[name]}.jsonl")
+        where = f"{self.path}/parsed/{FILES[name]}.jsonl"
+        _, written = figures_of(held.drop("ord"), lambda told: sinks.jsonl(told, where))
+        self.figures[name] = counted | written
         return held
 
+    def counted(self, name: str, *names: str) -> DataFrame:
+        """Figures of a table as one row."""
+        return one_row(self.spark, {n: self.figures[name][n] for n in names})
+
     def summary(self, name: str, row: DataFrame) -> None:
         sinks.summary(row, f"{self.path}/parsed/{name}_summary.json")
         row.show(truncate=False)
@@ -105,9 +115,10 @@ def extract(at: Folder, args: argparse.Namespace) -> None:
     elif args.action == "summary":
         at.spark.read.json(f"{at.path}/parsed/extract_summary.json").show(truncate=False)
     else:
-        d, q = at.write("definitions", definitions.extract(clauses)), at.write("quantities", quantities.extract(clauses))
-        r = at.write("references", references.resolve(references.extract(clauses), clauses))
-        at.summary("extract", rollups.extract_summary(clauses, d, q, r, references.nodes(r, clauses), references.edges(r)))
+        held, figures = extraction.tables(clauses)
+        for name in ("definitions", "quantities", "references"):
+            at.write(name, held[name])
+        at.summary("extract", one_row(at.spark, {"clauses_loaded": clauses.count()} | figures))
 
 
 def score(at: Folder, args: argparse.Namespace) -> None:
@@ -118,7 +129,8 @@ def score(at: Folder, args: argparse.Namespace) -> None:
     given = models(at.spark, args.replies)
     chosen = stages.eligible(at.read("clauses"), skip_tables=not args.include_tables, most=args.max)
     asked = stage(stages.obligations(chosen, None if args.skip_filter else given.obligations(chosen)), "cli-asked")
-    at.summary("stage1", stages.stage1_summary(at.write("flags", stages.candidate_flags(asked, given.commitments(asked.filter("is_obligation"))))))
+    flags = at.write("flags", stages.candidate_flags(asked, given.commitments(asked.filter("is_obligation"))), *stages.stage1_figures())
+    at.summary("stage1", at.counted("flags", *stages.stage1_summary(flags).columns))
 
 
 def critique(at: Folder, args: argparse.Namespace) -> None:
@@ -128,8 +140,8 @@ def critique(at: Folder, args: argparse.Namespace) -> None:
     flags, given = at.read("flags"), models(at.spark, args.replies)
     flagged = flags.filter("flagged")
     flagged = flagged if args.max is None else flagged.orderBy("ord").limit(args.max)
-    found = at.write("verdicts", stages.verdicts(flagged, given.verdicts(_evidence(at, flagged, given, args.top_k))))
-    at.summary("stage2", stages.verdict_counts(found))
+    found = at.write("verdicts", stages.verdicts(flagged, given.verdicts(_evidence(at, flagged, given, args.top_k))), *stages.verdict_figures())
+    at.summary("stage2", at.counted("verdicts", *stages.verdict_counts(found).columns))
 
 
 def confirm(at: Folder, args: argparse.Namespace) -> None:
@@ -194,7 +206,8 @@ def whole(at: Folder, args: argparse.Namespace) -> None:
                 step(at, args)
         for f in FILES.values():
             if artefacts.exists(at.spark, f"{at.path}/parsed/{f}.jsonl"):
-                sinks.record(at.spark, run, f"{at.path}/parsed/{f}.jsonl", "outputs")
+                name = next(n for n, file in FILES.items() if file == f)
+                sinks.record(at.spark, run, f"{at.path}/parsed/{f}.jsonl", "outputs", at.figures.get(name))
         sinks.finish_run(at.spark, run, at.path)
 
 

@@ -26,7 +26,8 @@ def parse_summary(clauses: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def extract_summary(clauses: DataFrame, definitions: DataFrame | None = None, quantities: DataFrame | None = None, references: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
-    """Counts of what extractors found; an extractor that was off leaves its columns out."""
+    """Counts of what extractors found, from their tables; an extractor that was off leaves its columns out. A run
+    that writes these tables has the same from :func:`extraction.tables`, without reading them."""
     rows = [clauses.agg(F.count("*").alias("clauses_loaded"))]
     if definitions is not None:
         rows.append(definitions.agg(F.count("*").alias("definitions_extracted")))
@@ -50,6 +51,11 @@ def pipeline_rollup(summaries: dict[str, DataFrame]) -> DataFrame:
     return wide.select(*[F.col(name) if name in wide.columns else F.lit(None).cast("bigint").alias(name) for _, _, name in ROLLUP])
 
 
+def rollup_figures(figures: dict[str, dict]) -> dict[str, int | None]:
+    """The same of figures that were counted while the stages were written, by stage."""
+    return {name: figures.get(stage, {}).get(c) for stage, c, name in ROLLUP}
+
+
 def status_rollup(rewrites: DataFrame) -> DataFrame:
     """Accepted rewrites with their mean attempts (two places) and mean cosine (three)."""
     ok = F.col("status") == "ACCEPTED"

@@ -25,10 +25,14 @@ def eligible(clauses: DataFrame, skip_tables: bool = True, min_chars: int = 40,
     return rows if most is None else rows.orderBy("doc_id", "ord").limit(most)
 
 
-def eligibility_counts(clauses: DataFrame, skip_tables: bool = True, min_chars: int = 40) -> DataFrame:
+def eligibility_figures(skip_tables: bool = True, min_chars: int = 40) -> list[Column]:
     table = F.lit(skip_tables) & F.coalesce("table_origin", F.lit(False))
     tiny = F.col("char_count") < min_chars
-    return clauses.agg(F.count("*").alias("clauses_loaded"), F.count_if(table).alias("skipped_tables"), F.count_if(~table & tiny).alias("skipped_tiny"), F.count_if(~table & ~tiny).alias("eligible"))
+    return [F.count(F.lit(1)).alias("clauses_loaded"), F.count_if(table).alias("skipped_tables"), F.count_if(~table & tiny).alias("skipped_tiny"), F.count_if(~table & ~tiny).alias("eligible")]
+
+
+def eligibility_counts(clauses: DataFrame, skip_tables: bool = True, min_chars: int = 40) -> DataFrame:
+    return clauses.agg(*eligibility_figures(skip_tables, min_chars))
 
 
 def obligations(rows: DataFrame, checks: DataFrame | None) -> DataFrame:
@@ -53,8 +57,12 @@ def candidate_flags(asked: DataFrame, replies: DataFrame) -> DataFrame:
     )
 
 
+def stage1_figures() -> list[Column]:
+    return [F.count(F.lit(1)).alias("records"), F.count_if("is_obligation").alias("bct_calls"), F.count_if("flagged").alias("flagged"), F.count_if(F.expr("is_obligation and not flagged")).alias("not_flagged"), F.count_if(F.expr("not is_obligation")).alias("non_obligation_records")]
+
+
 def stage1_summary(flags: DataFrame) -> DataFrame:
-    return flags.agg(F.count("*").alias("records"), F.count_if("is_obligation").alias("bct_calls"), F.count_if("flagged").alias("flagged"), F.count_if(F.expr("is_obligation and not flagged")).alias("not_flagged"), F.count_if(F.expr("not is_obligation")).alias("non_obligation_records"))
+    return flags.agg(*stage1_figures())
 
 
 # Stage 2
@@ -68,8 +76,12 @@ def verdicts(flags: DataFrame, replies: DataFrame) -> DataFrame:
     return rows.select("flag_id", "clause_id", rules.coerce(F.col("__v"), VERDICTS, "REAL").alias("verdict"), "resolving_clause_id", F.coalesce("rationale", F.lit("")).alias("rationale"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), error.alias("error"), "ord")
 
 
+def verdict_figures() -> list[Column]:
+    return [F.count(F.lit(1)).alias("flags"), *[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in VERDICTS], F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors")]
+
+
 def verdict_counts(found: DataFrame) -> DataFrame:
-    return found.agg(F.count("*").alias("flags"), *[F.count_if(F.col("verdict") == v).alias(v.lower()) for v in VERDICTS], F.count_if(F.coalesce("error", F.lit("")) != "").alias("errors"))
+    return found.agg(*verdict_figures())
 
 
 def real(found: DataFrame) -> DataFrame:
@@ -96,12 +108,16 @@ def confirmed(found: DataFrame, flags: DataFrame, critiques: DataFrame, severiti
     )
 
 
-def stage3_summary(rows: DataFrame) -> DataFrame:
+def stage3_figures() -> list[Column]:
     asked = F.count("critique_verdict")
     counts = [F.count_if(F.col("critique_verdict") == v).alias(v.lower()) for v in CRITIQUES]
     tiers = [F.count_if((F.col("critique_verdict") == "CONFIRMED") & (F.col("severity_tier") == t)).alias(f"tier_{t.replace('/', '')}") for t in TIERS]
     rate = F.bround(F.count_if(F.col("critique_verdict") == "REJECTED") / F.greatest(asked, F.lit(1)), 3)
-    return rows.agg(asked.alias("critiqued"), *counts, *tiers, rate.alias("rejection_rate"))
+    return [asked.alias("critiqued"), *counts, *tiers, rate.alias("rejection_rate")]
+
+
+def stage3_summary(rows: DataFrame) -> DataFrame:
+    return rows.agg(*stage3_figures())
 
 
 # Stage 4

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clausewright.functions import rules
-from clausewright.operators import citations, definitions, lexicon, quantities, references, retrieve, segment, stages
-from clausewright.plans import prompts, providers
+from clausewright.operators import citations, lexicon, retrieve, segment, stages
+from clausewright.plans import extraction, prompts, providers
+from clausewright.sources.observed import observed
 from clausewright.sources.staging import stage
 
 
@@ -55,30 +56,34 @@ def code_context(flags: DataFrame, codes: DataFrame, embed: providers.Provider,
     return held.agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["chunk"]).alias("chunks"))
 
 
-def run(pages: DataFrame, table_rows: DataFrame | None = None, given: Providers | None = None, options: Options | None = None, codes: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Tables by name. ``codes``: chunks of the code library, for rewrites.
+def run(pages: DataFrame, table_rows: DataFrame | None = None, given: Providers | None = None, options: Options | None = None, codes: DataFrame | None = None, figures: dict[str, dict] | None = None) -> dict[str, DataFrame]:
+    """Tables by name. ``codes``: chunks of the code library, for rewrites. ``figures`` is filled with what
+    was counted while the tables were written, by stage: the input of :func:`rollups.rollup_figures`.
 
     Tables that later ones read, the models' replies among them, are written to the shared
     folder as the run reaches them: a model is asked once, a lost executor costs no
     call, and no plan holds more than one stage. The others are lazy.
     """
     given, options = given or Providers(), options or Options()
+    figures = {} if figures is None else figures
+
+    def keep(name: str, rows: DataFrame, at: str, *asked: Column) -> DataFrame:
+        held, figures[at] = observed(rows, name, *asked)
+        return held
+
     out: dict[str, DataFrame] = {"clauses": segment.clauses(pages)}
     if options.tables and table_rows is not None:
         first = out["clauses"].groupBy("doc_id").agg(F.count("*").cast("int").alias("first_index"))
         out["clauses"] = out["clauses"].unionByName(segment.table_clauses(table_rows, first))
-    clauses = out["clauses"] = stage(out["clauses"], "clauses")
+    origin = F.count_if(F.coalesce("table_origin", F.lit(False))).alias("table_clauses")
+    clauses = out["clauses"] = keep("clauses", out["clauses"], "parse", F.count(F.lit(1)).alias("total_clauses"), origin, *stages.eligibility_figures())
     out["lexicon_flags"] = lexicon.flags(clauses)
-    if options.extract_definitions:
-        out["definitions"] = stage(definitions.extract(clauses), "definitions")
-    if options.extract_quantities:
-        out["quantities"] = stage(quantities.extract(clauses), "quantities")
-    if options.extract_references:
-        out["references"] = stage(references.resolve(references.extract(clauses), clauses), "references")
-        out["nodes"], out["edges"] = references.nodes(out["references"], clauses), references.edges(out["references"])
+    found, figures["extract"] = extraction.tables(clauses, with_definitions=options.extract_definitions, with_quantities=options.extract_quantities, with_references=options.extract_references)
+    out |= found
     chosen = stages.eligible(clauses, most=options.max_clauses)
     asked = stage(stages.obligations(chosen, None if options.skip_obligation_filter else given.obligations(chosen)), "asked")
-    out["candidate_flags"] = stage(stages.candidate_flags(asked, given.commitments(asked.filter("is_obligation"))), "candidate-flags")
+    out["candidate_flags"] = keep("candidate-flags", stages.candidate_flags(asked, given.commitments(asked.filter("is_obligation"))), "score", *stages.stage1_figures())
+    figures["score"]["eligible"] = figures["parse"]["eligible"]
     flagged = out["candidate_flags"].filter("flagged")
     text = flagged.select("flag_id", retrieve.query_text(F.col("clause_text"), F.col("commitments")).alias("text"))
     routes = {"R1_dense": retrieve.dense(flagged, given.embed(text).select("flag_id", "vector"), given.embed(clauses.select("clause_id", "tender_id", "text")).select("clause_id", "tender_id", "vector"), options.top_k_route)}
@@ -90,14 +95,13 @@ def run(pages: DataFrame, table_rows: DataFrame | None = None, given: Providers
     if given.verdicts is None:
         return out
     evidence = stage(prompts.with_evidence(flagged, out["hybrid_hits"]), "evidence")
-    out["verdicts"] = stage(stages.verdicts(out["candidate_flags"], given.verdicts(evidence)), "verdicts")
+    out["verdicts"] = keep("verdicts", stages.verdicts(out["candidate_flags"], given.verdicts(evidence)), "critique", *stages.verdict_figures())
     if given.critiques is None or given.severities is None:
         return out
     real = evidence.join(stages.real(out["verdicts"]).select("flag_id", "rationale"), "flag_id")
     critiques = stage(given.critiques(real), "critiques")
     confirmed = evidence.join(critiques.filter(rules.coerce(F.col("verdict"), stages.CRITIQUES, "CONFIRMED") == "CONFIRMED").select("flag_id"), "flag_id", "left_semi")
-    out["confirmed"] = stages.confirmed(out["verdicts"], out["candidate_flags"], critiques, given.severities(confirmed))
-    out["confirmed"] = stage(out["confirmed"], "confirmed")
+    out["confirmed"] = keep("confirmed", stages.confirmed(out["verdicts"], out["candidate_flags"], critiques, given.severities(confirmed)), "confirm", *stages.stage3_figures())
     out["rewrite_candidates"] = stages.rewrite_candidates(out["confirmed"], out["candidate_flags"], most=options.max_rewrites)
     if options.rewrite and given.rewrites is not None and codes is not None:
         from clausewright.plans import rewrite

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import naming, rules, text
 from clausewright.operators import citations, definitions, lexicon, metrics, quantities, references, retrieve, rollups, segment, stages
-from clausewright.plans import corpus
+from clausewright.plans import corpus, extraction
 from clausewright.sources import artefacts, sinks
+from clausewright.sources.observed import observed, one_row
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -230,8 +231,8 @@ _RULED = f"""(SELECT *, {_TRIG} AS trig, CAST((q = 'CANNOT_DETERMINE')::INT + (m
 _FLAGS = f"""(SELECT *, doc_id || '::flag::' || split_part(clause_id, '::', 2) AS flag_id, duty AND k % 10 <> 7 AS scored FROM {_RULED} AS r WHERE ok)"""
 
 
-def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus.committed(spark, sf_dir)
+def _flags(spark: SparkSession, sf_dir: str, c: DataFrame | None = None) -> DataFrame:
+    c = corpus.committed(spark, sf_dir) if c is None else c
     chosen = stages.eligible(c, min_chars=110)
     checks = c.filter("k % 5 <> 2").selectExpr("clause_id", "k % 5 <> 1 as is_obligation", "cast(null as string) as rationale")
     asked = stages.obligations(chosen, checks)
@@ -269,10 +270,14 @@ def _verdicts(flags: DataFrame, c: DataFrame) -> DataFrame:
 
 def _confirmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, flags = corpus.committed(spark, sf_dir), _flags(spark, sf_dir)
+    return _confirmed_of(c, flags, _verdicts(flags, c))
+
+
+def _confirmed_of(c: DataFrame, flags: DataFrame, found: DataFrame) -> DataFrame:
     by_flag = c.select(naming.flag_id(F.col("doc_id"), F.col("clause_id")).alias("flag_id"), "k", "l_suppkey")
     critiques = by_flag.select("flag_id", F.expr("case k % 4 when 0 then 'CONFIRMED' when 1 then 'REJECTED' when 2 then 'WEAK' else 'CONFIRMED' end").alias("verdict"), F.lit("because").alias("refutation"), F.lit("").alias("resolving_clause_id"))
     severities = by_flag.select("flag_id", F.expr("cast(k % 5 + 1 as int)").alias("commercial_exposure"), F.expr("cast(l_suppkey % 5 + 1 as int)").alias("dispute_likelihood"), F.lit(1).alias("reviewer_cost"), F.lit("").alias("rationale"))
-    return stages.confirmed(_verdicts(flags, c), flags, critiques, severities)
+    return stages.confirmed(found, flags, critiques, severities)
 
 
 _CONFIRMED = f"""(SELECT *, CASE WHEN tier_of IS NULL THEN 'n/a' WHEN tier_of >= 8 THEN 'high' WHEN tier_of >= 5 THEN 'medium' WHEN tier_of >= 2 THEN 'low' ELSE 'n/a' END AS severity_tier, CAST(coalesce(tier_of, 0) AS BIGINT) AS composite_severity
@@ -337,26 +342,31 @@ def parse_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.parse_summary(corpus.clauses(spark, sf_dir), corpus.pages(spark, sf_dir))
 
 
-def _extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus.clauses(spark, sf_dir)
-    found = references.resolve(references.extract(c), c)
-    return rollups.extract_summary(c, definitions.extract(c), quantities.extract(c), found, None, references.edges(found))
+_NODES = f"(SELECT count(*) FROM (SELECT DISTINCT target_kind, target_label FROM {_RESOLVED} AS r WHERE target_id IS NULL) AS x)"
 
 
-@query(f"SELECT (SELECT count(*) FROM {_CLAUSES} AS c) AS clauses_loaded, (SELECT count(*) FROM ({ORACLES['definitions_extracted']}) AS d) AS definitions_extracted, (SELECT count(*) FROM ({_quantity_sql()}) AS q) AS quantities_extracted, CAST(0 AS BIGINT) AS quantities_referent_classified, count(*) AS references_extracted, count(*) FILTER (WHERE target_id IS NOT NULL) AS references_resolved_internal, (SELECT count(*) FROM ({ORACLES['reference_edges']}) AS e) AS graph_edges FROM {_RESOLVED} AS r")
+@query(f"""SELECT (SELECT count(*) FROM {_CLAUSES} AS c) AS clauses_loaded, (SELECT count(*) FROM ({ORACLES['definitions_extracted']}) AS d) AS definitions_extracted, q.quantities_extracted, q.quantities_referent_classified, r.references_extracted, r.references_resolved_internal,
+ (SELECT count(*) FROM {_CLAUSES} AS c) + {_NODES} AS graph_nodes, (SELECT count(*) FROM ({ORACLES['reference_edges']}) AS e) AS graph_edges
+FROM (SELECT count(*) AS quantities_extracted, count(*) FILTER (WHERE kind = 'frequency') AS quantities_referent_classified FROM ({_quantity_sql()}) AS q) AS q, (SELECT count(*) AS references_extracted, count(*) FILTER (WHERE target_id IS NOT NULL) AS references_resolved_internal FROM {_RESOLVED} AS r) AS r""")
 def extract_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _extracts(spark, sf_dir)
+    """Every extractor runs once; a recorded classifier knows the frequencies."""
+    clauses, loaded = observed(corpus.clauses(spark, sf_dir), "query-clauses")
+    known = lambda q: q.filter("kind = 'frequency'").select("quantity_id", F.lit("cube test frequency").alias("referent"), F.lit(0.9).alias("confidence"))
+    _, figures = extraction.tables(clauses, referents=known)
+    return one_row(spark, {"clauses_loaded": loaded["rows"]} | figures)
 
 
 @query(f"""SELECT (SELECT count(*) FROM {_CLAUSES} AS c) AS parse_clauses, (SELECT count(*) FILTER (WHERE table_origin) FROM {_CLAUSES} AS c) AS parse_table_clauses, CAST(NULL AS BIGINT) AS extract_definitions, CAST(NULL AS BIGINT) AS extract_quantities, CAST(NULL AS BIGINT) AS extract_references,
  (SELECT count(*) FILTER (WHERE ok) FROM {_RULED} AS r) AS score_eligible, (SELECT count(*) FILTER (WHERE scored AND trig IS NOT NULL) FROM {_FLAGS} AS f) AS score_flagged, (SELECT count(*) FILTER (WHERE verdict = 'REAL') FROM {_VERDICTS} AS v) AS critique_real, (SELECT count(*) FILTER (WHERE verdict = 'APPARENT') FROM {_VERDICTS} AS v) AS critique_apparent,
  (SELECT count(*) FILTER (WHERE verdict = 'WEAK') FROM {_VERDICTS} AS v) AS critique_weak, count(*) FILTER (WHERE critique_verdict = 'CONFIRMED') AS confirm_confirmed, count(*) FILTER (WHERE critique_verdict = 'REJECTED') AS confirm_rejected, count(*) FILTER (WHERE critique_verdict = 'WEAK') AS confirm_weak FROM {_CONFIRMED} AS c""")
 def pipeline_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The main figures of a run whose extractors were off."""
-    c, flags = corpus.committed(spark, sf_dir), _flags(spark, sf_dir)
-    score = rollups._one_row([stages.eligibility_counts(c, min_chars=110).select("eligible"), stages.stage1_summary(flags).select("flagged")])
-    parsed = rollups.parse_summary(corpus.clauses(spark, sf_dir), corpus.pages(spark, sf_dir))
-    return rollups.pipeline_rollup({"parse": parsed, "score": score, "critique": stages.verdict_counts(_verdicts(flags, c)), "confirm": stages.stage3_summary(_confirmed(spark, sf_dir))})
+    """The main figures of a run whose extractors were off, each counted while its stage is written."""
+    table = F.count_if(F.coalesce("table_origin", F.lit(False))).alias("table_clauses")
+    c, parsed = observed(corpus.committed(spark, sf_dir), "query-clauses", F.count(F.lit(1)).alias("total_clauses"), table, *stages.eligibility_figures(min_chars=110))
+    flags, scored = observed(_flags(spark, sf_dir, c), "query-flags", *stages.stage1_figures())
+    found, critique = observed(_verdicts(flags, c), "query-verdicts", *stages.verdict_figures())
+    _, confirm = observed(_confirmed_of(c, flags, found), "query-confirmed", *stages.stage3_figures())
+    return one_row(spark, rollups.rollup_figures({"parse": parsed, "score": scored | {"eligible": parsed["eligible"]}, "critique": critique, "confirm": confirm}))
 
 
 @query(f"""SELECT (SELECT count(*) FROM {_COMMITTED} AS c WHERE page BETWEEN 1 AND 2) AS clauses, (SELECT count(*) FILTER (WHERE scored AND trig IS NOT NULL) FROM {_FLAGS} AS f WHERE page BETWEEN 1 AND 2) AS flagged, (SELECT count(*) FILTER (WHERE scored) FROM {_FLAGS} AS f WHERE page BETWEEN 1 AND 2) AS obligations,

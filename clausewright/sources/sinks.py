@@ -110,14 +110,33 @@ def start_run(tender_id: str, stage: str, version: str = "1.0", **parameters: ob
     return {"run_id": str(uuid.uuid4()), "tender_id": tender_id, "stage": stage, "stage_version": version, "started_at": datetime.now(UTC).isoformat(timespec="seconds"), "parameters": parameters, "environment": environment(), "inputs": [], "outputs": [], "api_calls": 0, "cache_hits": 0, "cost_usd": 0.0, "cost_inr": 0.0}
 
 
-def record(spark: SparkSession, run: dict, path: str, end: str = "inputs") -> None:
-    """Size, hash and lines of a file that a run read or wrote."""
+#: Bytes up to which a file is hashed whole; a larger one line by line.
+HASHED_WHOLE = 1 << 30
+
+
+def record(spark: SparkSession, run: dict, path: str, end: str = "inputs", figures: dict | None = None) -> None:
+    """Size and fingerprint of a file or folder that a run read or wrote, in any number of files.
+
+    ``figures``: what :mod:`observed` counted while it was written; then rows and fingerprint come
+    from there and no content is read again. Otherwise the fingerprint is the sum of hashes of the
+    files' SHA-256, or, of files over HASHED_WHOLE, of their lines, so it
+    does not depend on names, order or partitions; one file up to that size has its SHA-256 as well.
+    """
     entry: dict = {"path": path}
     if exists(spark, path):
-        rows = spark.read.format("binaryFile").load(path).select("length", F.sha2("content", 256)).collect()
-        entry |= {"size_bytes": sum(r[0] for r in rows), "sha256": rows[0][1] if len(rows) == 1 else None}
-        if path.endswith(".jsonl"):
-            entry["line_count"] = spark.read.text(path).count()
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+        entry["files"], entry["size_bytes"] = files.select("length").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        if figures is not None:
+            entry |= {"line_count": figures["rows"], "fingerprint": figures["fingerprint"]}
+        else:
+            whole, total = F.sha2("content", 256), lambda *of: F.sum(F.xxhash64(*of).cast("decimal(20,0)"))
+            small = files.filter(F.col("length") <= HASHED_WHOLE).agg(total(whole), F.max(whole)).first()
+            large = [r["path"] for r in files.filter(F.col("length") > HASHED_WHOLE).select("path").collect()]
+            lines = spark.read.text(large).agg(total("value")).first()[0] if large else 0
+            entry["fingerprint"] = f"{(int(small[0] or 0) + int(lines or 0)) % (1 << 64):016x}"
+            entry["sha256"] = small[1] if entry["files"] == 1 and not large else None
+            if path.endswith(".jsonl"):
+                entry["line_count"] = spark.read.text(path).count()
     run[end].append(entry)
 
 
