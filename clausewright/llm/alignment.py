@@ -5,8 +5,9 @@ merge of both sides' cumulative token ends gives groups, cut where a token of ei
 tokens that end there. Spark counts linked id pairs over all texts and joins the counts, and whether a count is the highest of
 its A or B id, back to each text.
 
-When neither vocabulary can join a space to what stands before it (checked when they are loaded), a text's tokens are
-those of its chunks, which begin at a space behind a character that is no white space; each task then cuts and merges each distinct chunk once.
+No merge joins two neighbouring characters that stand together in no piece. When the vocabularies are plain enough (checked when
+they are loaded), a text's tokens are therefore those of its chunks, cut before white space behind other characters and between a letter or
+digit and a mark; each task then cuts and merges each distinct chunk once, and remembers those that several texts have.
 Texts travel in blocks of about BLOCK_BYTES: a block holds its distinct pairs once and, for each text, how often it
 has which chunk, so a pair is shuffled once a block however often it occurs.
 
@@ -20,7 +21,6 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate
 from pathlib import Path
 from typing import NamedTuple
 
@@ -34,25 +34,32 @@ from .stage import stage
 
 #: Bytes of text whose pairs are gathered before they are handed to Spark.
 BLOCK_BYTES = 8 << 20
-#: Chunks that a task remembers from block to block.
+#: Chunks beyond which a task forgets, at the end of a block, those that one text alone had.
 TABLE_ENTRIES = 400_000
-#: From a space to the next that follows no white space.
-_CHUNK = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
+#: Letters and digits that every version of Unicode has as such, and marks that may follow them in a chunk of their own.
+_WORD, _MARKS = "0-9A-Za-zÀ-ÖØ-öø-ÿ", "!\"#$%&()*+,./:;<=>?@[\\]^`{|}~-"
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 _MASK = (1 << 32) - 1
 
 
-def merge(a_ends: list[int], b_ends: list[int]) -> list[tuple[int, int]]:
-    """Tokens of either side before each common end."""
-    i, j, cuts = 0, 0, []
-    while i < len(a_ends) and j < len(b_ends):
-        if a_ends[i] == b_ends[j]:
+def merge(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int]]:
+    """Tokens of either side before each common end, by the tokens' sizes."""
+    cuts, i, j, n, m = [], 0, 0, len(a_sizes), len(b_sizes)
+    a_end, b_end = a_sizes[0] if n else 0, b_sizes[0] if m else 0
+    while i < n and j < m:
+        if a_end == b_end:
             i, j = i + 1, j + 1
             cuts.append((i, j))
-        elif a_ends[i] < b_ends[j]:
+            if i < n and j < m:
+                a_end, b_end = a_end + a_sizes[i], b_end + b_sizes[j]
+        elif a_end < b_end:
             i += 1
+            if i < n:
+                a_end += a_sizes[i]
         else:
             j += 1
+            if j < m:
+                b_end += b_sizes[j]
     return cuts
 
 
@@ -97,39 +104,50 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
         shown = shown_bytes()
         entry = lambda t: bytes(shown[c] for c in t) if all(c in shown for c in t) else t.encode()
-        self.a_bytes = {i: entry(t) for t, i in self.a.get_vocab().items()}
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = [b"?"] * (max(vocabulary.values()) + 1)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = entry(t)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE_PIECE.fullmatch(p)) else p.replace(MARK, " ").encode() for p in pieces]
-        if not all(self.a_bytes.values()) or not all(self.b_bytes):
+        self.name = [str(i) for i in range(max(len(self.a_bytes), len(pieces)))]
+        if not all(self.a_bytes) or not all(self.b_bytes):
             raise ValueError("a vocabulary has a token without bytes")
-        self.space = self.b.piece_to_id(MARK)
-        proto = sentencepiece_model_pb2.ModelProto.FromString(b_model).normalizer_spec
-        plain = proto.add_dummy_prefix and not proto.remove_extra_whitespaces and proto.escape_whitespaces and not proto.precompiled_charsmap
-        cuts = [x.strip() for x in (b'"type":"ByteLevel","add_prefix_space":false', b'"use_regex":true')]
-        packed = re.sub(rb"\s", b"", a_file[:4096])
-        self.by_chunk = plain and all(c in packed for c in cuts) and not any(MARK in p.lstrip(MARK) for p in pieces) and self.space != self.b.unk_id()
+        proto = sentencepiece_model_pb2.ModelProto.FromString(b_model)
+        spec, normal = proto.normalizer_spec, [p.piece for p in proto.pieces if p.type == p.NORMAL]
+        plain = spec.add_dummy_prefix and not spec.remove_extra_whitespaces and spec.escape_whitespaces and not spec.precompiled_charsmap and proto.trainer_spec.model_type == proto.trainer_spec.BPE
+        alone = not any(p.type == p.USER_DEFINED for p in proto.pieces) and not any(MARK in p.lstrip(MARK) or "\n" in p for p in normal)
+        cuts = b'"type":"ByteLevel","add_prefix_space":false' in (packed := re.sub(rb"\s", b"", a_file[:4096])) and b'"use_regex":true' in packed
+        self.by_chunk = plain and alone and cuts
+        joined = {y for p in normal for x, y in zip(p, p[1:], strict=False) if re.match(f"[{_WORD}]", x)}
+        marks = re.escape("".join(m for m in _MARKS if m not in joined))
+        # a word with the white space before it up to a cut, or else whatever stands before the next cut
+        self.chunk = re.compile(rf"\s*[{_WORD}]++(?=[{marks} \n])|.+?(?:(?<=\S)(?=[ \n])|(?<=[{_WORD}])(?=[{marks}])|\Z)", re.S)
+        spec.add_dummy_prefix = False  # a chunk has its own white space
+        self.raw = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
 
     def _merged(self, source: str, a: list[int], b: list[int]) -> Groups | None:
         """None if either side's bytes are not those of ``source``."""
-        raw, x, y = source.encode(), [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+        raw, left, right = source.encode(), self.a_bytes, self.b_bytes
+        x, y = [left[t] for t in a], [right[t] for t in b]
         if b"".join(x) != raw or b"".join(y) != raw:
             return None
-        cuts = merge([*accumulate(map(len, x))], [*accumulate(map(len, y))])
-        words, i, j = [], 0, 0
-        for u, v in cuts:
-            words.append(f"{a[i]}|{b[j]}" if u - i == v - j == 1 else f"{','.join(map(str, a[i:u]))}|{','.join(map(str, b[j:v]))}")
+        name, words, links, i, j = self.name, [], [], 0, 0
+        for u, v in merge([len(t) for t in x], [len(t) for t in y]):
+            one = u - i == v - j == 1
+            words.append(name[a[i]] + "|" + name[b[j]] if one else ",".join([name[t] for t in a[i:u]]) + "|" + ",".join([name[t] for t in b[j:v]]))
+            links.append(a[u - 1] << 32 | b[v - 1])
             i, j = u, v
-        return Groups(len(a), len(b), [a[u - 1] << 32 | b[v - 1] for u, v in cuts], ";".join(words))
+        return Groups(len(a), len(b), links, ";".join(words))
 
     def whole(self, text: str) -> Groups | None:
         """The groups of a text without chunks."""
         return self._merged(" " + text, self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text))
 
     def chunks(self, chunks: list[str]) -> list[Groups | None]:
-        """The groups of chunks, each with its space before it."""
-        a = [e.ids for e in self.a.encode_batch_fast(chunks, add_special_tokens=False)]
-        b = self.b.encode([c[1:] for c in chunks], num_threads=1)
-        return [self._merged(c, x, y if len(c) > 1 else [self.space]) for c, x, y in zip(chunks, a, b, strict=True)]
+        """The groups of chunks."""
+        a = self.a.encode_batch_fast(chunks, add_special_tokens=False)
+        return [self._merged(c, x.ids, y) for c, x, y in zip(chunks, a, map(self.raw.encode, chunks), strict=True)]
 
 
 class Table:
@@ -140,21 +158,22 @@ class Table:
         self.written: list[str] = []
         self.links = array("q")
         self.ends = [0]
-        self.sizes = np.zeros((1 << 12, 3), np.int64)  # tokens of A and B, links
+        self.sizes = np.zeros((1 << 12, 4), np.int64)  # tokens of A and B, links; texts
         self.bad: set[int] = set()
 
-    def _add(self, keys: list[str], groups: list[Groups | None]) -> None:
-        while len(self.number) + len(keys) > len(self.sizes):
+    def _add(self, keys: list, groups: list[Groups | None]) -> None:
+        first = len(self.written)
+        while first + len(keys) > len(self.sizes):
             self.sizes = np.concatenate((self.sizes, np.zeros_like(self.sizes)))
-        for key, g in zip(keys, groups, strict=True):
-            k = self.number[key] = len(self.written)
-            if g is None:
-                self.bad.add(k)
-            g = g or Groups(0, 0, [], "")
-            self.written.append(g.written)
+        self.number.update(zip(keys, range(first, first + len(keys)), strict=True))
+        held = [g or Groups(0, 0, [], "") for g in groups]
+        self.bad.update(first + k for k, g in enumerate(groups) if g is None)
+        self.written += [g.written for g in held]
+        for g in held:
             self.links.extend(g.links)
             self.ends.append(len(self.links))
-            self.sizes[k] = g.n_a, g.n_b, len(g.links)
+        if held:
+            self.sizes[first : first + len(held)] = [(g.n_a, g.n_b, len(g.links), 0) for g in held]
 
     def links_of(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many links each part has, and these one after the other."""
@@ -168,7 +187,7 @@ class Table:
         if not text:
             return []
         if self.aligner.by_chunk:
-            chunks = _CHUNK.findall(" " + text)
+            chunks = self.aligner.chunk.findall(" " + text)
             number = self.number
             try:
                 found = [number[c] for c in chunks]
@@ -178,12 +197,23 @@ class Table:
                 found = [number[c] for c in chunks]
             if not self.bad or self.bad.isdisjoint(found):
                 return found
-        key = "\0" + text  # chunks begin with a space
+        key = (text,)  # unlike any chunk
         if key not in self.number:
             self._add([key], [self.aligner.whole(text)])
         k = self.number[key]
         return [] if k in self.bad else [k]
 
+    def shrunk(self) -> "Table":
+        """A table of what several texts had, at most half of TABLE_ENTRIES."""
+        texts = self.sizes[: len(self.written), 3]
+        keep = np.nonzero(texts > 1)[0]
+        keep = set(keep[np.argsort(-texts[keep], kind="stable")[: TABLE_ENTRIES // 2]].tolist())
+        out = Table(self.aligner)
+        some = [(key, k) for key, k in self.number.items() if k in keep]
+        groups = [None if k in self.bad else Groups(*self.sizes[k, :2].tolist(), self.links[self.ends[k] : self.ends[k + 1]].tolist(), self.written[k]) for _, k in some]
+        out._add([key for key, _ in some], groups)
+        return out
+
 
 def _narrow(values: np.ndarray) -> bytes:
     """Whole numbers in as few bytes each as they need; the first byte tells how many."""
@@ -239,13 +269,14 @@ def blocks(docs: DataFrame, a_path: str | None = None, b_path: str | None = None
                 digest = hashlib.sha256(";".join([table.written[p] for p in parts]).encode()).hexdigest() if parts else ""
                 ids.append(batch.column(0).slice(k, 1))
                 bags.append(np.unique(at, return_counts=True))
-                stats.append((*table.sizes[at].sum(0).tolist(), digest))
+                stats.append((*table.sizes[at, :3].sum(0).tolist(), digest))
+                table.sizes[bags[-1][0], 3] += 1
                 size += len(text or "") + 64
                 if size > BLOCK_BYTES:
                     yield _block(number, ids, bags, stats, table)
                     ids, bags, stats, size, number = [], [], [], 0, number + 1
                     if len(table.number) > TABLE_ENTRIES:
-                        table = Table(aligner)
+                        table = table.shrunk()
         if ids:
             yield _block(number, ids, bags, stats, table)
 

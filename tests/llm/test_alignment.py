@@ -1,6 +1,7 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -53,7 +54,7 @@ def brute(texts):
 TEXTS = st.text(st.sampled_from("ab  \n\t▁éß漢🙂\x00\x1c\xa0 .1's<|>") | st.characters(codec="utf-8"), max_size=40)
 
 
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=1500, deadline=None)
 @given(TEXTS)
 def test_chunks_give_what_whole_texts_give(text):
     assert ";".join(TABLE.written[k] for k in TABLE.parts(text)) == written(plain_groups(text))
@@ -64,7 +65,7 @@ def test_chunks_give_what_whole_texts_give(text):
 @given(st.lists(st.integers(1, 4), max_size=12), st.lists(st.integers(1, 4), max_size=12))
 def test_merge(a, b):
     x, y = ([sum(v[: k + 1]) for k in range(len(v))] for v in (a, b))
-    assert alignment.merge(x, y) == [(x.index(e) + 1, y.index(e) + 1) for e in sorted(set(x) & set(y))]
+    assert alignment.merge(a, b) == [(x.index(e) + 1, y.index(e) + 1) for e in sorted(set(x) & set(y))]
 
 
 def test_special_strings_are_plain_text():
@@ -94,6 +95,26 @@ def test_table_that_is_cleared(spark, docs, monkeypatch, prose):
         assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups_sha256"]) == e
 
 
+def test_chunks_of_a_text():
+    found = ALIGNER.chunk.findall(" The party's  road,\nbuilt (1.5 m). é漢x \t end ")
+    assert "".join(found) == " The party's  road,\nbuilt (1.5 m). é漢x \t end "
+    assert found == [" The", " party's", "  road", ",", "\nbuilt", " (1", ".5", " m", ").", " é漢x", " \t end", " "]
+
+
+def test_a_shrunk_table_gives_the_same(prose):
+    table = alignment.Table(ALIGNER)
+    for k in range(30):
+        text = prose(k) + " ▁" * (k % 2)
+        table.sizes[np.unique(np.array(table.parts(text), int)), 3] += 1
+    small = table.shrunk()
+    assert 0 < len(small.number) < len(table.number)
+    for k in range(35):
+        assert ";".join(small.written[i] for i in small.parts(prose(k))) == written(plain_groups(prose(k)))
+        at = np.array(small.parts(prose(k)))
+        sizes, links = small.links_of(at)
+        assert sizes.sum() == len(links) == len(plain_groups(prose(k))) and small.parts("a ▁ b") == []
+
+
 def test_pair_counts_and_groups(spark, docs):
     held = alignment.blocks(docs(ROWS))
     links = Counter((a[-1], b[-1]) for _, t in ROWS for a, b in plain_groups(t))
