@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from clausewright.functions.rules import distance, similarity
+from clausewright.operators import terms
 
 ROUTES = ("R1_dense", "R2_defined_term", "R3_referent")
 #: Reciprocal ranks are 1 / (RRF_K + rank).
@@ -113,31 +114,42 @@ def dense(flags: DataFrame, flag_vectors: DataFrame, clause_vectors: DataFrame,
 
 
 def terms_in_clauses(clauses: DataFrame, definitions: DataFrame) -> DataFrame:
-    """``(clause_id, term)``: clauses that contain a defined term of their tender anywhere, whatever its case.
+    """``(clause_id, term)``: clauses that contain a defined term of their tender anywhere, whatever its case."""
+    rows = clauses.select(F.col("clause_id").alias("key"), "text", scope(clauses, definitions).alias("scope"))
+    words = definitions.select(F.col("canonical_form").alias("term"), scope(definitions, clauses).alias("scope"))
+    return terms.contained(rows, words).select(F.col("key").alias("clause_id"), "term")
 
-    Containment is no equality: the distinct terms of a tender (a package defines
-    tens) are one row, which its clauses join, and each clause is searched for each of them.
-    """
-    terms = definitions.filter("canonical_form <> ''").groupBy(scope(definitions, clauses).alias("scope")).agg(F.collect_set("canonical_form").alias("terms"))
-    rows = clauses.select("clause_id", F.lower("text").alias("text"), scope(clauses, definitions).alias("scope")).join(terms, "scope")
-    held = F.transform(F.array("text"), lambda text: F.filter("terms", lambda t: F.contains(text, F.lower(t))))[0]
-    return rows.select("clause_id", F.explode(held).alias("term"))
+
+#: Profiles that a key may have before it is dealt to several.
+HOT = 10_000
 
 
 def _by_profile(flags: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """Clauses of a flag's tender by the weight of the keys they share with the flag's clause, its own left out.
 
-    ``items``: (clause_id, key, weight, scope), one row each. Flags whose clauses
-    have the same set of keys have the same ranking but for their own clauses, so
-    each different set of a tender is ranked once and k + 1 of its clauses meet the flags.
+    ``items``: (clause_id, key, weight, scope), one row each. Clauses with the same keys and weights are one profile: they tie in
+    every ranking, so its k + 1 smallest ids are all that can matter. Flags whose clauses have the same set of keys have the
+    same ranking but for their own clauses, so each different set of a tender is ranked once. A set's k + 1 best clauses
+    are of its k + 1 best profiles, by score and smallest id. A key that more than HOT profiles have is dealt out.
     """
-    sets = items.groupBy(F.col("clause_id").alias("own"), "scope").agg(F.array_sort(F.collect_set("key")).alias("keys"))
-    asked = flags.select("flag_id", F.col("clause_id").alias("own")).join(sets, "own")
-    keys = asked.select("scope", "keys").distinct().select("scope", "keys", F.explode("keys").alias("key"))
-    scored = keys.join(items, ["scope", "key"]).groupBy("scope", "keys", "clause_id").agg(F.sum("weight").cast("double").alias("score"))
-    first = Window.partitionBy("scope", "keys").orderBy(F.col("score").desc(), "clause_id")
-    best = scored.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k + 1).drop("rank")
-    return _top(asked.join(best, ["scope", "keys"]).filter("clause_id <> own").select("flag_id", "clause_id", "score"), k)
+    held = items.groupBy("scope", "clause_id").agg(F.array_sort(F.collect_list(F.struct("key", "weight"))).alias("profile"))
+    place = Window.partitionBy("scope", "profile").orderBy("clause_id")
+    members = held.withColumn("n", F.row_number().over(place)).filter(F.col("n") <= k + 1)
+    first = members.groupBy("scope", "profile").agg(F.min("clause_id").alias("first"), F.array_sort(F.collect_list("clause_id")).alias("members"))
+    asked = flags.select("flag_id", F.col("clause_id").alias("own")).join(held.withColumnRenamed("clause_id", "own"), "own").select("flag_id", "own", "scope", F.transform("profile", lambda p: p["key"]).alias("keys"))
+    sets = asked.groupBy("scope", "keys").agg(F.min("own").alias("set"))
+    keys = first.select("scope", "first", F.explode("profile").alias("p")).select("scope", "first", "p.key", "p.weight")
+    salts = keys.groupBy("scope", "key").agg(F.ceil(F.count("*") / HOT).cast("int").alias("salts")).filter("salts > 1")
+    many = F.coalesce("salts", F.lit(1))
+    left = sets.select("scope", "set", F.explode("keys").alias("key")).join(salts, ["scope", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), many - 1))).drop("salts")
+    right = keys.join(salts, ["scope", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("first"), many).cast("int")).drop("salts")
+    scored = left.join(right, ["scope", "key", "salt"]).groupBy("scope", "set", "first").agg(F.sum("weight").cast("double").alias("score"))
+    order = Window.partitionBy("scope", "set").orderBy(F.col("score").desc(), "first")
+    near = scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1).join(first.select("scope", "first", "members"), ["scope", "first"]).select("scope", "set", "score", F.explode("members").alias("clause_id"))
+    best = Window.partitionBy("scope", "set").orderBy(F.col("score").desc(), "clause_id")
+    ranked = near.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k + 1).drop("n")
+    told = asked.join(sets, ["scope", "keys"]).select("flag_id", "own", "scope", "set")
+    return _top(told.join(ranked, ["scope", "set"]).filter("clause_id <> own").select("flag_id", "clause_id", "score"), k)
 
 
 def shared_terms(flags: DataFrame, clauses: DataFrame, definitions: DataFrame, k: int = 8) -> DataFrame:

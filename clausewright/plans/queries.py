@@ -469,19 +469,38 @@ def shared_referents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("flag_id", "clause_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
-_R1 = "(SELECT 'f' || CAST(a.s_suppkey AS VARCHAR) AS flag_id, 'c' || CAST(b.s_suppkey AS VARCHAR) AS clause_id, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), 'c' || CAST(b.s_suppkey AS VARCHAR)) AS rank FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey AND a.s_nationkey = b.s_nationkey WHERE a.s_suppkey % 20 = 0 QUALIFY rank <= 8)"
+# the three routes over suppliers: their vectors, the words of the part of the same key, and their line items
+_R1 = """(SELECT flag_id, clause_id, row_number() OVER (PARTITION BY flag_id ORDER BY place) AS rank FROM (
+ SELECT 'f' || CAST(a.id AS VARCHAR) AS flag_id, 'c' || CAST(a.id AS VARCHAR) AS own, 'c' || CAST(b.id AS VARCHAR) AS clause_id, row_number() OVER (PARTITION BY a.id ORDER BY 1 / (1 + sqrt(list_sum(list_transform(list_zip(a.e, b.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))))) DESC, 'c' || CAST(b.id AS VARCHAR)) AS place
+ FROM (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, s_nationkey % 4 AS t FROM embeddings JOIN supplier ON s_suppkey = vec_id) AS a JOIN (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, s_nationkey % 4 AS t FROM embeddings JOIN supplier ON s_suppkey = vec_id) AS b ON a.t = b.t WHERE a.id % 20 = 0 QUALIFY place <= 8) AS n WHERE clause_id <> own)"""
+_WORDS = "(SELECT DISTINCT w, t FROM (SELECT unnest(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS w FROM part) AS p, (VALUES (0), (1), (2), (3)) AS d(t) WHERE (len(w) + t) % 3 <> 0)"
+_HELD = f"(SELECT DISTINCT 'c' || CAST(s_suppkey AS VARCHAR) AS clause_id, s_suppkey, s_nationkey % 4 AS t, w FROM supplier JOIN part ON p_partkey = s_suppkey JOIN {_WORDS} AS x ON x.t = s_nationkey % 4 AND contains(lower(p_name || ' ' || p_type || ' ' || p_brand), lower(w)))"
+_R2 = f"(SELECT 'f' || CAST(a.s_suppkey AS VARCHAR) AS flag_id, b.clause_id, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY count(*) DESC, b.clause_id) AS rank FROM {_HELD} AS a JOIN {_HELD} AS b ON a.w = b.w AND a.t = b.t AND a.clause_id <> b.clause_id WHERE a.s_suppkey % 20 = 0 GROUP BY a.s_suppkey, b.clause_id QUALIFY rank <= 8)"
 
 
 @query(f"""SELECT flag_id, clause_id, round_even(rrf, 6) AS rrf_score, row_number() OVER (PARTITION BY flag_id ORDER BY rrf DESC, route, place) AS rank, sources FROM (
- SELECT flag_id, clause_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(route) AS route, min_by(rank, route) AS place, string_agg(name, ',' ORDER BY route) AS sources FROM (SELECT flag_id, clause_id, rank, 0 AS route, 'R1_dense' AS name FROM {_R1} AS a UNION ALL SELECT flag_id, clause_id, rank, 2, 'R3_referent' FROM {_R3} AS b) AS u GROUP BY flag_id, clause_id) AS f QUALIFY rank <= 12""")
+ SELECT flag_id, clause_id, sum(1.0::DOUBLE / (60 + rank) ORDER BY route) AS rrf, min(route) AS route, min_by(rank, route) AS place, string_agg(name, ',' ORDER BY route) AS sources FROM (SELECT flag_id, clause_id, rank, 0 AS route, 'R1_dense' AS name FROM {_R1} AS a UNION ALL SELECT flag_id, clause_id, rank, 1, 'R2_defined_term' FROM {_R2} AS b UNION ALL SELECT flag_id, clause_id, rank, 2, 'R3_referent' FROM {_R3} AS c) AS u GROUP BY flag_id, clause_id) AS f QUALIFY rank <= 12""")
 def fused_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _table(spark, sf_dir, "supplier")
-    a, b = s.filter("s_suppkey % 20 = 0").selectExpr("concat('f', s_suppkey) as flag_id", "s_suppkey as ak", "s_nationkey", "s_acctbal as ax"), s.selectExpr("concat('c', s_suppkey) as clause_id", "s_suppkey as bk", "s_nationkey", "s_acctbal as bx")
-    r1 = a.join(b, "s_nationkey").filter("ak <> bk").selectExpr("flag_id", "clause_id", "-abs(ax - bx) as score")
-    found = retrieve.fuse({"R1_dense": retrieve._top(r1, 8), "R3_referent": retrieve.shared_referents(*_referents(spark, sf_dir))})
+    """All three routes as a run has them, fused; flags are the suppliers whose key is divisible by 20."""
+    flags, q, c = _referents(spark, sf_dir)
+    vectors = _table(spark, sf_dir, "embeddings").select(F.concat(F.lit("c"), F.col("vec_id").cast("string")).alias("clause_id"), F.col("embedding").alias("vector")).join(c, "clause_id")
+    asked = flags.join(vectors.select("clause_id", "vector"), "clause_id").select("flag_id", "vector")
+    part = _table(spark, sf_dir, "part").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("clause_id"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text"))
+    words = part.select(F.explode(F.split("text", " ")).alias("canonical_form")).distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(3)))).filter("(length(canonical_form) + t) % 3 <> 0").select("canonical_form", F.col("t").cast("string").alias("tender_id"))
+    routes = {"R1_dense": retrieve.dense(flags, asked, vectors), "R2_defined_term": retrieve.shared_terms(flags, c.join(part, "clause_id"), words), "R3_referent": retrieve.shared_referents(flags, q, c)}
+    found = retrieve.fuse(routes)
     return found.select("flag_id", "clause_id", "rrf_score", F.col("rank").cast("bigint").alias("rank"), F.array_join("sources", ",").alias("sources"))
 
 
+@query("SELECT DISTINCT doc_id, w AS term FROM documents JOIN (SELECT DISTINCT w FROM (SELECT unnest(string_split(p_name || ' ' || p_type || ' ' || p_brand, ' ')) AS w FROM part UNION ALL SELECT unnest(string_split(n_name, '_')) FROM nation) AS x WHERE w <> '') AS t ON contains(lower(text), lower(w))")
+def terms_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the parts' and nations' names in every whole document, without tenders."""
+    part, nation = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "nation")
+    words = part.select(F.explode(F.split(F.concat_ws(" ", "p_name", "p_type", "p_brand"), " ")).alias("canonical_form")).unionByName(nation.select(F.explode(F.split("n_name", "_")).alias("canonical_form")))
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("clause_id"), "text")
+    return retrieve.terms_in_clauses(docs, words).select(F.col("clause_id").alias("doc_id"), "term")
+
+
 # Evaluation
 
 _UNIV = "(SELECT CAST(doc_id AS VARCHAR) AS id, quality, toxic, doc_id FROM documents LEFT JOIN labels USING (doc_id))"
