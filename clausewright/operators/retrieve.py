@@ -47,7 +47,7 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _cell(k: int, schema: pa.Schema):
+def nearest_in_block(k: int, schema: pa.Schema):
     """The k best of a block of vectors for each of a block of queries, ties by id."""
 
     def run(held: pa.Table, rows: pa.Table) -> pa.Table:
@@ -97,7 +97,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
     ids = [f"{n} {d.schema[n].dataType.simpleString()}" for n, d in (("query_id", queries), ("id", vectors))]
     types = [to_arrow_type(d.schema[n].dataType) for n, d in (("query_id", queries), ("id", vectors))]
     schema = pa.schema([("query_id", types[0]), ("id", types[1]), ("distance", pa.float64())])
-    met = held.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(_cell(k, schema), f"{ids[0]}, {ids[1]}, distance double")
+    met = held.groupBy(*cell).cogroup(rows.groupBy(*cell)).applyInArrow(nearest_in_block(k, schema), f"{ids[0]}, {ids[1]}, distance double")
     near = met.withColumn("score", similarity(F.col("distance")))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "id", "score", "rank")

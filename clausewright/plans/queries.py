@@ -5,16 +5,18 @@ Every query reads whole tables. A query without SQL says in its docstring what t
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import naming, rules, text
-from clausewright.operators import citations, definitions, lexicon, metrics, quantities, references, retrieve, rollups, segment, stages
+from clausewright.operators import citations, definitions, lexicon, metrics, quantities, references, retrieve, rollups, segment, stages, vector_index
 from clausewright.plans import corpus, extraction
 from clausewright.sources import artefacts, sinks
 from clausewright.sources.observed import observed, one_row
+from clausewright.sources.staging import leave_nothing, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -402,6 +404,18 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(f"SELECT query_id, id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS rank FROM ({_NEAR}) AS n QUALIFY rank <= 8")
+def indexed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stored index that was built without every seventh vector and then got all of them appended."""
+    v = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    path = f"{shared_dir(spark)}/clausewright/query-index-{uuid.uuid4().hex}"
+    vector_index.build(v.filter("id % 7 <> 0"), path)
+    leave_nothing(spark, path)
+    vector_index.append(v, path)
+    found, _ = vector_index.search(v.filter("id % 20 = 0").select(F.col("id").alias("query_id"), "vector"), path, 8)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @query("SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _table(spark, sf_dir, "embeddings")
