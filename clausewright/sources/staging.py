@@ -33,7 +33,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     The files outlive executors, so later stages never recompute what is above.
     """
     path = f"{shared_dir(df.sparkSession)}/clausewright/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)  # in the session's compression: the native buffers of zstd stay with an executor's threads
     leave_nothing(df.sparkSession, path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._staged_path = path
