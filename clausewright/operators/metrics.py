@@ -19,20 +19,36 @@ def scores(tp: Column, fp: Column, fn: Column, tn: Column) -> list[Column]:
     return [F.bround(x, 4).alias(name) for name, x in (("precision", p), ("recall", r), ("f1", _ratio(2 * p * r, p + r)), ("accuracy", (tp + tn) / F.greatest(n, F.lit(1))))]
 
 
+def _marked(universe: DataFrame, sets: list[tuple[str, DataFrame]]) -> DataFrame:
+    """``(clause_id, bits)`` of the universe: bit k is 1 if set k holds the id. One pass over all sets, merged by id and without a join."""
+    bit = lambda df, k: df.select("clause_id", F.lit(1 << k).alias("bit"))
+    rows = bit(universe, 0)
+    for k, (_, df) in enumerate(sets):
+        rows = rows.unionByName(bit(df.filter("clause_id is not null"), k + 1))
+    return rows.groupBy("clause_id").agg(F.bit_or("bit").alias("bits")).filter(F.col("bits") % 2 == 1).select("clause_id", F.shiftright("bits", 1).alias("bits"))
+
+
 def confusion(universe: DataFrame, truth: DataFrame, predicted: DataFrame, rungs: tuple[str, ...] | None = None) -> DataFrame:
     """Cells and scores by rung. ``universe`` and ``truth``: (clause_id); ``predicted``: (rung, clause_id).
 
-    One aggregation over the predictions inside the universe: what they miss
-    follows from the totals. With ``rungs``, rungs without predictions appear too.
+    All sets are merged by id in one pass; what predictions miss follows from the totals. With ``rungs``, rungs
+    without predictions appear too.
     """
-    ids = universe.select("clause_id").distinct()
-    known = ids.join(truth.select("clause_id").distinct().withColumn("t", F.lit(1)), "clause_id", "left").select("clause_id", F.coalesce("t", F.lit(0)).alias("t"))
-    totals = known.agg(F.count("*").alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("positives"))
-    found = predicted.select("rung", "clause_id").distinct().join(known, "clause_id").groupBy("rung").agg(F.sum("t").alias("tp"), F.count("*").alias("pred"))
+    none = F.lit(None).cast("string")
+    rows = universe.select("clause_id", F.lit(True).alias("u"), F.lit(False).alias("t"), none.alias("rung"))
+    rows = rows.unionByName(truth.filter("clause_id is not null").select("clause_id", F.lit(False).alias("u"), F.lit(True).alias("t"), none.alias("rung")))
+    rows = rows.unionByName(predicted.filter("clause_id is not null").select("clause_id", F.lit(False).alias("u"), F.lit(False).alias("t"), "rung"))
+    known = rows.groupBy("clause_id").agg(F.bool_or("u").alias("u"), F.bool_or("t").alias("t"), F.collect_set("rung").alias("rungs")).filter("u")
+    # a rung that is null counts the universe
+    counted = known.select("t", F.explode(F.concat(F.array(none), "rungs")).alias("rung")).groupBy("rung").agg(F.count("*").alias("n"), F.count_if("t").alias("t"))
+    wide = counted.agg(F.max(F.when(F.col("rung").isNull(), F.struct("n", "t"))).alias("all"), F.collect_list(F.when(F.col("rung").isNotNull(), F.struct("rung", "n", "t"))).alias("each"))  # a row for each rung
     if rungs is not None:
-        found = universe.sparkSession.createDataFrame([(r,) for r in rungs], "rung string").join(found, "rung", "left").fillna(0, ["tp", "pred"])
-    tp, fp = F.col("tp"), F.col("pred") - F.col("tp")
-    cells = found.join(F.broadcast(totals)).select("rung", F.col("pred").alias("predicted_positive"), tp.alias("tp"), fp.alias("fp"), (F.col("positives") - tp).alias("fn"), (F.col("n") - F.col("positives") - fp).alias("tn"))  # totals: one row
+        of = lambda name: F.coalesce(F.get(F.filter("each", lambda e: e["rung"] == name), F.lit(0)), F.struct(F.lit(name).alias("rung"), F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("t")))
+        wide = wide.withColumn("each", F.array(*map(of, rungs)))
+    total = lambda f: F.coalesce(F.col(f"all.{f}"), F.lit(0))
+    found = wide.select(total("n").alias("size"), total("t").alias("positives"), F.explode("each").alias("e"))
+    tp, fp = F.col("e.t"), F.col("e.n") - F.col("e.t")
+    cells = found.select(F.col("e.rung").alias("rung"), F.col("e.n").alias("predicted_positive"), tp.alias("tp"), fp.alias("fp"), (F.col("positives") - tp).alias("fn"), (F.col("size") - F.col("positives") - fp).alias("tn"))
     return cells.select("*", *scores(*map(F.col, ("tp", "fp", "fn", "tn"))))
 
 
@@ -45,12 +61,17 @@ def kappa(both: Column, only_a: Column, only_b: Column, neither: Column) -> Colu
 
 def agreement(universe: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: both, only_a, only_b, neither and Cohen's kappa of two sets of clause ids."""
-    mark = lambda df, name: df.select("clause_id").distinct().withColumn(name, F.lit(True))
-    rows = universe.select("clause_id").distinct().join(mark(a, "a"), "clause_id", "left").join(mark(b, "b"), "clause_id", "left").fillna(False, ["a", "b"])
-    cells = rows.agg(F.count_if(F.expr("a and b")).alias("both"), F.count_if(F.expr("a and not b")).alias("only_a"), F.count_if(F.expr("b and not a")).alias("only_b"), F.count_if(F.expr("not a and not b")).alias("neither"))
+    rows = _marked(universe, [("a", a), ("b", b)])
+    cells = rows.agg(*[F.count_if(F.col("bits") == k).alias(n) for k, n in ((3, "both"), (1, "only_a"), (2, "only_b"), (0, "neither"))])
     return cells.select("*", F.bround(kappa(*map(F.col, ("both", "only_a", "only_b", "neither"))), 4).alias("cohen_kappa"))
 
 
+def set_sizes(universe: DataFrame, **sets: DataFrame) -> DataFrame:
+    """``(bits, clauses)``: how many ids of the universe each combination of these sets has; bit k is the k-th set. Sizes,
+    intersections, differences and complements of any of them are sums of these few rows."""
+    return _marked(universe, list(sets.items())).groupBy("bits").agg(F.count("*").alias("clauses"))
+
+
 def ablation(universe: DataFrame, truth: DataFrame, lexicon: DataFrame, flags: DataFrame, verdicts: DataFrame, confirmed: DataFrame) -> DataFrame:
     """The five rungs; each predicate is applied here: flagged, REAL, CONFIRMED."""
     sets = (universe, lexicon.filter("coalesce(flagged, false)"), flags.filter("coalesce(flagged, false)"), verdicts.filter("verdict = 'REAL'"), confirmed.filter("critique_verdict = 'CONFIRMED'"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.operators import metrics
+from clausewright.operators import metrics, ordinal
 
 
 def _one_row(tables: list[DataFrame]) -> DataFrame:
@@ -115,8 +115,8 @@ def inspect(rows: DataFrame, **wanted: object) -> DataFrame:
 
 
 def corrigenda(manifest: DataFrame) -> DataFrame:
-    """Corrigenda in order of their sequence, then by name."""
-    return manifest.filter("role = 'corrigendum'").orderBy("tender_id", F.col("sequence").asc_nulls_last(), "filename")
+    """Corrigenda in order of their tender, sequence and name, with their ``place`` in it from 1."""
+    return ordinal.with_ordinal(manifest.filter("role = 'corrigendum'"), "tender_id", F.col("sequence").asc_nulls_last(), "filename", name="place").orderBy("place")
 
 
 def document_named(manifest: DataFrame, names: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import naming, rules
+from clausewright.operators import ordinal
 
 VERDICTS = ("REAL", "APPARENT", "WEAK")
 CRITIQUES = ("CONFIRMED", "REJECTED", "WEAK")
@@ -22,7 +23,7 @@ STATUSES = ("ACCEPTED", "PASSED_GUARDRAILS_FAILED", "RETRY_LIMIT_REACHED", "ERRO
 def eligible(clauses: DataFrame, skip_tables: bool = True, min_chars: int = 40, most: int | None = None) -> DataFrame:
     """Clauses worth asking about; ``most`` keeps the first in document order (before any obligation filter)."""
     rows = clauses.filter(~(F.lit(skip_tables) & F.coalesce("table_origin", F.lit(False))) & (F.col("char_count") >= min_chars))
-    return rows if most is None else rows.orderBy("doc_id", "ord").limit(most)
+    return rows if most is None else ordinal.first_rows(rows, most, "doc_id", "ord")
 
 
 def eligibility_figures(skip_tables: bool = True, min_chars: int = 40) -> list[Column]:
@@ -127,7 +128,7 @@ def rewrite_candidates(rows: DataFrame, flags: DataFrame, tier: str | None = Non
     """Confirmed flags (of one tier) whose flag exists, the first ``most`` of them."""
     kept = rows.filter("critique_verdict = 'CONFIRMED'").join(flags.select("flag_id"), "flag_id", "left_semi")
     kept = kept if tier is None else kept.filter(F.col("severity_tier") == tier)
-    return kept if most is None else kept.orderBy("ord").limit(most)
+    return kept if most is None else ordinal.first_rows(kept, most, "ord")
 
 
 def guardrails(attempts: DataFrame, threshold: float = 0.6) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.functions import naming, rules, text
-from clausewright.operators import citations, definitions, lexicon, metrics, quantities, references, retrieve, rollups, segment, stages, vector_index
+from clausewright.operators import citations, definitions, lexicon, metrics, ordinal, quantities, references, retrieve, rollups, segment, stages, vector_index
 from clausewright.plans import corpus, extraction
 from clausewright.sources import artefacts, sinks
 from clausewright.sources.observed import observed, one_row
@@ -382,8 +382,19 @@ def scope_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'n' || CAST(c_nationkey AS VARCHAR) AS tender_id, c_name AS filename, c_custkey % 4 AS sequence, row_number() OVER (ORDER BY 'n' || CAST(c_nationkey AS VARCHAR), c_custkey % 4, c_name) AS place FROM customer WHERE c_mktsegment = 'BUILDING'")
 def corrigenda_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _table(spark, sf_dir, "customer").selectExpr("concat('n', c_nationkey) as tender_id", "c_name as filename", "case c_mktsegment when 'BUILDING' then 'corrigendum' else 'other' end as role", "c_custkey % 4 as sequence")
-    held = rollups.corrigenda(m).agg(F.collect_list(F.struct("tender_id", "filename", "sequence")).alias("d"))  # one tender list: the order itself is compared
-    return held.select(F.posexplode("d").alias("at", "d")).select("d.tender_id", "d.filename", "d.sequence", (F.col("at") + 1).cast("bigint").alias("place"))
+    return rollups.corrigenda(m).select("tender_id", "filename", "sequence", "place")
+
+
+@query()
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampling operator: what Python's generator takes of the ordered list of all clauses; tests hold it against Python's."""
+    return ordinal.sample(corpus.clauses(spark, sf_dir).select("clause_id"), 100, 7, "clause_id")
+
+
+@query(f"SELECT clause_id, row_number() OVER (ORDER BY doc_id, ord) AS ordinal FROM {_CLAUSES} AS c")
+def clause_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every clause's position in the order of all documents."""
+    return ordinal.with_ordinal(corpus.clauses(spark, sf_dir).select("clause_id", "doc_id", "ord"), "doc_id", "ord").select("clause_id", "ordinal")
 
 
 @query(f"SELECT flag_id FROM {_CONFIRMED} AS c WHERE critique_verdict = 'CONFIRMED' AND severity_tier = 'high'")
@@ -552,6 +563,14 @@ def agreement_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.agreement(u, u.filter("toxic = 1"), u.filter("quality = 0"))
 
 
+@query(f"""SELECT CAST(coalesce(toxic = 1, false) AS BIGINT) + 2 * CAST(coalesce(quality = 0, false) AS BIGINT) + 4 * CAST(doc_id % 2 = 0 AS BIGINT) AS bits, count(*) AS clauses FROM {_UNIV} AS u GROUP BY 1""")
+def set_combinations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of all combinations of three sets of documents."""
+    u = _universe(spark, sf_dir)
+    found = metrics.set_sizes(u, toxic=u.filter("toxic = 1"), poor=u.filter("quality = 0"), even=u.filter("doc_id % 2 = 0"))
+    return found.select(F.col("bits").cast("bigint").alias("bits"), "clauses")
+
+
 @query(f"SELECT lang AS category, count(*) AS clauses FROM documents JOIN labels USING (doc_id) WHERE quality = 0 GROUP BY lang")
 def labels_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
