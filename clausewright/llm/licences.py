@@ -108,6 +108,31 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(_TOKEN), F.lit(0))
 
 
+#: Least share of a text's weight, that of words in the templates' vocabulary, that makes it a licence file.
+MOSTLY = 0.5
+
+
+def mostly_licence(text: Column) -> Column:
+    """Whether a text is in the main a licence or a notice of one: at least half of its TF-IDF weight is of words that
+    templates have. False for null."""
+    templates, idf = _weights()
+    rare = math.log(1 + len(templates))
+    groups: dict[float, list[str]] = {}
+    for word, weight in idf.items():
+        groups.setdefault(weight, []).append(word)
+
+    def share(words: Column) -> Column:
+        among = lambda group: F.size(F.filter(words, lambda w: w.isin(*group)))
+        of = [among(g) for g in groups.values()]
+        known, count = of[0] * list(groups)[0], of[0]
+        for n, weight in zip(of[1:], list(groups)[1:], strict=True):
+            known, count = known + n * weight, count + n
+        return known / (known + (F.size(words) - count) * rare)
+
+    found = F.transform(F.array(_words(text)), share)[0]
+    return F.coalesce(F.when(text.rlike(KEYWORD), found >= MOSTLY), F.lit(False))
+
+
 def _headers(words: Column) -> Column:
     """Stretches of AROUND words about every licence word."""
     hits = F.filter(F.transform(words, lambda w, k: F.when(w.rlike(_LICENCE_WORD), k + 1)), lambda k: k.isNotNull())

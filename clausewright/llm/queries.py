@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from . import alignment, decontaminate, language, licences, quality, secrets, sentencepieces, simhash, suffixes, toxicity, transport, vectors, whitening
 from .stage import held_out, stage, table
 
-#: Characters up to which a document with a licence word is taken for a licence file.
-NOTICE = 120
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -23,8 +21,8 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), lang_col="lang")
-    scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held_out(), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+    scored = toxicity.score(docs, model, lang_col="lang")  # the language chooses the threshold only
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "threshold", "toxic")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,8 +41,8 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the table has no file names: a short text that names a licence stands for the licence file of its directory
-    notice = (F.length("text") <= NOTICE) & F.col("text").rlike(licences.KEYWORD)
+    # the table has no file names: a text that is in the main a licence stands for the licence file of its source's directory
+    notice = licences.mostly_licence(F.col("text"))
     name = F.when(notice, F.concat(F.lit("LICENSE-"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
     folder = F.when(notice, F.lit(None)).otherwise(F.floor(F.col("doc_id") / 1000).cast("string"))
     return licences.scan(table(spark, sf_dir, "documents"), path=F.concat_ws("/", "source", folder, name))

@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by a distinct-chunk table.
 
 A chunk is a run of whitespace markers with the characters up to the next
-marker. When no piece of the vocabulary holds a marker behind another character
-(checked when the model is loaded), no merge crosses a chunk's start, so the
-segmentation of a text is the concatenation of those of its chunks. Each task
+marker. When no piece of the vocabulary holds a marker behind another character and the
+normaliser only puts a marker first and for each space (both checked when the model is loaded), no merge crosses a
+chunk's start, so the segmentation of a text is the concatenation of those of its chunks; any other model encodes whole texts. Each task
 segments every distinct chunk once, keeps ids and decoded text in a table of
 bounded size, and joins them back by position.
 
@@ -38,9 +38,13 @@ class ChunkCodec:
 
     def __init__(self, model: bytes, entries: int = TABLE_ENTRIES):
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.by_chunk = not any(MARK in self.sp.id_to_piece(i).lstrip(MARK) for i in range(self.sp.vocab_size()))
+        proto = sentencepiece_model_pb2.ModelProto.FromString(model)
+        spec = proto.normalizer_spec
+        plain = spec.add_dummy_prefix and spec.escape_whitespaces and not spec.remove_extra_whitespaces and not spec.precompiled_charsmap and proto.trainer_spec.model_type == proto.trainer_spec.BPE and not any(p.type == p.USER_DEFINED for p in proto.pieces)
+        self.by_chunk = plain and not any(MARK in self.sp.id_to_piece(i).lstrip(MARK) for i in range(self.sp.vocab_size()))
         self.space = self.sp.piece_to_id(MARK)
         self.bos, self.eos = (np.array([i], "<u4").tobytes() for i in (self.sp.bos_id(), self.sp.eos_id()))
         self.entries = entries

@@ -19,6 +19,7 @@ fingerprint; a bit set in exactly half the hashes is 0; a null id keeps its
 fingerprint and takes no part in links (its component is null); an empty table
 gives an empty table; other columns are ignored by :func:`near_duplicates` and
 kept by :func:`keep_one`.
+Ids are whole numbers of up to 64 bits; map others to such first.
 """
 
 from __future__ import annotations

@@ -23,6 +23,7 @@ Defined results: null and short texts lose nothing; very long texts are read in
 overlapping segments; a null id neither removes nor is compared; rows that repeat
 an id do not remove from each other, so of equal strings those of the smallest id
 stay, ties included; an empty table gives an empty table; other columns are ignored.
+Ids are whole numbers of up to 64 bits; map others to such first.
 """
 
 from __future__ import annotations
@@ -425,6 +426,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     packed.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", where).saveAsTable(name)
     leave_nothing(spark, where)
     chunks = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and the frame knows them and their buckets
 
     def answered(sent: DataFrame, how, name: str, level: int) -> DataFrame:
         return stage(sent.groupBy("part").applyInArrow(how, "chunk bigint, part int, bits binary"), name).withColumn("level", F.lit(level))

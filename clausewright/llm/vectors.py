@@ -12,7 +12,7 @@ Defined results: a null label, a null, empty or zero vector and one with a null
 or non-finite component link with nothing; vectors of different lengths never
 link; vectors are scaled by their largest component first, so very large and very small
 ones neither over- nor underflow; a cosine of exactly the threshold links; repeated rows
-count as vectors of their own; an empty table gives an empty table; other columns are ignored.
+count as vectors of their own, and so do different vectors of one id, which has to be a whole number; an empty table gives an empty table; other columns are ignored.
 A cell reports, for each vector, its links and one edge to the smallest vector it
 reaches there, so a dense group never sends its pairs anywhere.
 """
@@ -178,7 +178,9 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, id_col: str = "v
     src = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     usable = F.col("label").isNotNull() & F.col("v").isNotNull() & F.col("id").isNotNull() & F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)) & F.exists("v", lambda c: c != 0)
     src = src.withColumn("ok", F.coalesce(usable, F.lit(False)))
-    classes = stage(src.filter("ok").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("size")), "vector-classes")
+    # an id may have several vectors, so classes have numbers of their own
+    classes = src.filter("ok").groupBy("label", "v").agg(F.min("id").alias("low"), F.count("*").alias("size"))
+    classes = stage(classes.withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
     label = src.schema["label"].dataType.simpleString()
     coded = classes.select("rep", "size", "v", "label").mapInArrow(_coded, f"label {label}, rep bigint, size bigint, dim int, code binary, scale double, norm double, rest double")
     tiles = classes.groupBy("label", F.size("v").alias("dim")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
@@ -194,7 +196,11 @@ def near_duplicates(vectors: DataFrame, *, least: float = 0.93, id_col: str = "v
     found = first.unionByName(second).filter("links > 0").select("rep", "links", "root")
     roots = components(found.select("rep", "root"))
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = classes.join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
+    placed = classes.join(linked, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("label", "v", "low", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "rep").alias("root"))
+    placed = stage(placed, "vector-placed")
+    # classes that are alone need no look at others
+    lows = placed.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    named = placed.join(lows, "root", "left").select("label", "v", "n_links", F.coalesce("component_id", "low").alias("component_id"))
     good = src.filter("ok").join(named, ["label", "v"]).select("id", "n_links", "component_id")
     rest = src.filter("not ok").select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
     return good.unionByName(rest).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -2,6 +2,8 @@ from pathlib import Path
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from clausewright.llm import licences
 from clausewright.llm.queries import queries
 
@@ -72,3 +74,11 @@ def test_notices_after_another_licence_word(docs, prose, gap):
     df = docs(rows)
     got = {r["doc_id"]: r["licence"] for r in licences.scan(df, path=df["source"]).collect()}
     assert got == want
+
+
+def test_licence_files_are_told_by_content(spark):
+    """Whole licences of any length are, prose that names one is not, however short."""
+    long = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 150)
+    rows = [(1, long), (2, "Released under the MIT License"), (3, "SPDX-License-Identifier: MIT"), (4, "My garden has a licence for tulips, roses and birds."), (5, "MIT License. " + "zebra quagga okapi " * 9), (6, None), (7, ""), (8, long + " " + long)]
+    got = {r["k"]: r["m"] for r in spark.createDataFrame(rows, "k int, t string").select("k", licences.mostly_licence(F.col("t")).alias("m")).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: False, 6: False, 7: False, 8: True}

@@ -52,3 +52,19 @@ def test_query_digests(spark, docs, odd, tmp_path, name):
 
 def test_empty_table(docs):
     assert sentencepieces.encode(docs([])).collect() == []
+
+
+@pytest.mark.parametrize("change", [{"remove_extra_whitespaces": True}, {"add_dummy_prefix": False}, {"escape_whitespaces": False}])
+def test_other_normalisers_encode_whole_texts(change):
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto.FromString(MODEL)
+    for name, value in change.items():
+        setattr(proto.normalizer_spec, name, value)
+    model = proto.SerializeToString()
+    codec, sp = sentencepieces.ChunkCodec(model), sentencepiece.SentencePieceProcessor(model_proto=model)
+    assert not codec.by_chunk
+    for text in ("ab ", "  two  words", "one", "a\nb "):
+        packed, decoded = codec.encode(text)
+        ids = sp.encode(text, add_bos=True, add_eos=True)
+        assert np.frombuffer(packed, "<u4").tolist() == ids and decoded == sp.decode(ids)

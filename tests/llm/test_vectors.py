@@ -84,3 +84,10 @@ def test_tiles_of_one_row_and_none(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).collect() == []
+
+
+def test_several_vectors_of_one_id(spark):
+    """Each is a vector of its own; what one of them links with says nothing of the others."""
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (5, [-1.0, 0.0], 0), (4, [-1.0, 0.01], 0), (4, [-1.0, 0.01], 0)]
+    got = vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 2, 4), (4, 2, 4), (5, 2, 4)]
