@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from clausewright.functions import naming
 from clausewright.functions.text import splitlines, strip, word_count
+from clausewright.sources.staging import stage
 
 _LINES = "(?dmU)"
 _LINES_ANY_CASE = "(?dimU)"
@@ -112,26 +113,90 @@ def _slices(bounds: DataFrame, least: int) -> DataFrame:
     return bounds.withColumn("body", body).filter(F.length("body") >= least)
 
 
+#: Pages of a run, on average at most twice as many.
+RUN = 64
+#: What a page may end with if a heading or clause number goes on behind its end: the beginnings of SECTIONS and CLAUSES up to white space.
+_GOES_ON = (
+    r"(?dimU)\A\s*\z|^[ \t]*(?:(?:SECTION|PART)[-:\s]*|(?:ANNEXURE|APPENDIX|SCHEDULE)\s*[-–:]?\s*|CHAPTER\s*|Clause(?:\s+\d+(?:\.\d+)*[A-Z]?)?(?:\s*\([a-zivx]+\))?\s*"
+    r"|\d+(?:\.\d+)+[A-Z]?(?:\s*\([a-zivx]+\))?\s*|\d+[A-Z]\.?\s*|\d+\.\s*|\((?:[a-zA-Z]|[ivxIVX]+)\)\s*|[A-Z]\.\s*)\z"
+)
+
+
+def page_runs(pages: DataFrame) -> DataFrame:
+    """``(doc, run, text, starts, ocr, pages_before)``: neighbouring pages that are searched together. A run ends behind the first page of a
+    block of RUN page numbers that ends in the middle of nothing, so no heading or number lies across two runs; a
+    document (``doc``: its id and tender) has any number of runs and is never one row."""
+    text = F.coalesce("text", F.lit(""))
+    marked = pages.select(F.struct("doc_id", "tender_id").alias("doc"), "page_number", text.alias("text"), F.coalesce("ocr_was_used", F.lit(False)).alias("ocr"), F.floor(F.col("page_number") / RUN).alias("block"), (~text.rlike(_GOES_ON)).alias("whole"))
+    earlier = Window.partitionBy("doc").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each block
+    cuts = marked.groupBy("doc", "block").agg(F.min(F.when(F.col("whole"), F.col("page_number"))).alias("cut"))
+    cuts = cuts.withColumn("before", F.last(F.when(F.col("cut").isNotNull(), F.col("block")), ignorenulls=True).over(earlier))
+    run = F.when(F.col("page_number") > F.col("cut"), F.col("block")).otherwise(F.coalesce("before", F.lit(-1)))
+    placed = marked.join(cuts, ["doc", "block"]).select("doc", run.alias("run"), F.struct("page_number", "text", "ocr").alias("page"))
+    held = placed.groupBy("doc", "run").agg(F.array_sort(F.collect_list("page")).alias("p"))
+    sizes = F.transform("p", lambda x: F.length(x["text"]) + 1)
+    starts = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)), lambda acc: F.slice(acc, 1, F.size(acc) - 1))
+    before = Window.partitionBy("doc").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    joined = F.concat_ws("", F.transform("p", lambda x: F.concat(x["text"], F.lit("\n"))))
+    return held.select("doc", "run", joined.alias("text"), starts.alias("starts"), F.col("p.ocr").alias("ocr"), F.coalesce(F.sum(F.size("p")).over(before), F.lit(0)).alias("pages_before"))
+
+
 def clauses(pages: DataFrame, min_chars: int = 30) -> DataFrame:
-    """Clauses of every document in order; ids count the clauses that are long enough."""
-    docs = concat_pages(pages)
-    parts = sections(docs).join(docs, "doc_id").select("doc_id", "tender_id", "section", "label", F.col("start").alias("base"), F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "starts", "ocr")
-    key = ["doc_id", "section"]
-    found = hits(parts.select(*key, "text"), key, CLAUSES)
-    longest = Window.partitionBy(*key, "start").orderBy(F.length("raw").desc(), "pattern")
-    starts = found.withColumn("__n", F.row_number().over(longest)).filter("__n = 1").select(*key, F.col("start").alias("from"), strip(F.col("number")).alias("clause_number"))
-    # what precedes the first number, or all of a section without numbers
-    heads = parts.select(*key).join(starts.groupBy(*key).agg(F.min("from").alias("first")), key, "left").filter("first is null or first > 0")
-    bounds = starts.unionByName(heads.select(*key, F.lit(0).alias("from"), F.lit(None).cast("string").alias("clause_number")))
-    following = Window.partitionBy(*key).orderBy("from")
-    rows = bounds.withColumn("to", F.lead("from").over(following)).join(parts, key).withColumn("to", F.coalesce("to", F.length("text")))
-    kept = _slices(rows, min_chars)
-    index = F.row_number().over(Window.partitionBy("doc_id").orderBy("section", "from")) - 1
-    page = page_of(F.col("base") + F.col("from"), F.col("starts"))
-    return kept.select(
-        F.concat("doc_id", F.lit("::"), F.lpad(index.cast("string"), 5, "0")).alias("clause_id"), "doc_id", "tender_id", page.alias("page"), page_of(F.col("base") + F.col("to") - 1, F.col("starts")).alias("page_end"),
-        F.array("label").alias("section_path"), "clause_number", F.col("body").alias("text"), F.length("body").alias("char_count"), word_count(F.col("body")).alias("word_count"),
-        F.lit(False).alias("table_origin"), F.coalesce(F.try_element_at("ocr", page), F.lit(False)).alias("ocr_was_used"), F.lit("").alias("notes"), index.alias("ord"),
+    """Clauses of every document in order; ids count the clauses that are long enough.
+
+    Runs of pages are searched on their own. What they carry on from those before (pages, the open section's heading, the
+    open clause, clauses so far) is summed up over rows that hold a run's figures alone. A clause that
+    goes over several runs is put together from its pieces.
+    """
+    runs = stage(page_runs(pages), "segment-runs")
+    key = ["doc", "run"]
+    found = hits(runs.select(*key, "text"), key, [_LINES_ANY_CASE + p for p, _ in SECTIONS])
+    names = F.array(*[F.lit(label) for _, label in SECTIONS])
+    inside = Window.partitionBy(*key).orderBy("start", "pattern", "hit")
+    marked = found.select(*key, F.concat(names[F.col("pattern")], F.lit(" "), "number").alias("label"), "start", F.row_number().over(inside).alias("section"))
+    size = runs.select(*key, F.length("text").alias("size"))
+    firsts = size.join(marked.filter("section = 1").select(*key, F.col("start").alias("first")), key, "left")
+    opening = firsts.filter("first is null or first > 0").select(*key, F.lit(None).cast("string").alias("label"), F.lit(0).alias("start"), F.lit(0).alias("section"))
+    after = Window.partitionBy(*key).orderBy("section")
+    spans = marked.unionByName(opening).join(size, key).withColumn("end", F.coalesce(F.lead("start").over(after), F.col("size")))
+    parts = spans.join(runs, key).select(*key, "section", "label", F.col("start").alias("base"), F.substring(F.col("text"), F.col("start") + 1, F.col("end") - F.col("start")).alias("text"), "starts", "ocr", "pages_before")
+    parts = stage(parts, "segment-parts")
+    part = [*key, "section"]
+    numbers = hits(parts.select(*part, "text"), part, CLAUSES)
+    longest = Window.partitionBy(*part, "start").orderBy(F.length("raw").desc(), "pattern")
+    numbered = numbers.withColumn("__n", F.row_number().over(longest)).filter("__n = 1").select(*part, F.col("start").alias("from"), strip(F.col("number")).alias("clause_number"))
+    # what precedes the first number, or all of a part without numbers
+    heads = parts.select(*part).join(numbered.groupBy(*part).agg(F.min("from").alias("first")), part, "left").filter("first is null or first > 0").select(*part, F.lit(0).alias("from"), F.lit(None).cast("string").alias("clause_number"), F.lit(True).alias("head"))
+    following = Window.partitionBy(*part).orderBy("from")
+    bounds = numbered.withColumn("head", F.lit(False)).unionByName(heads).withColumn("to", F.lead("from").over(following))
+    # what a run hands on: its last heading, its last clause begun; a head without heading goes on with what is open
+    begun = bounds.filter("not head or section > 0").groupBy(*key).agg(F.max(F.struct("run", "section", "from")).alias("last"))
+    headed = marked.groupBy(*key).agg(F.max_by("label", F.struct("section")).alias("heading"))
+    earlier = Window.partitionBy("doc").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("doc")
+    first = F.struct(F.first("run").over(Window.partitionBy("doc").orderBy("run")).alias("run"), F.lit(0).alias("section"), F.lit(0).alias("from"))
+    front = F.when(F.max(F.col("heading").isNotNull()).over(whole), "Front Matter").otherwise("(unsectioned)")
+    carried = size.join(begun, key, "left").join(headed, key, "left")
+    carried = carried.select(*key, F.coalesce(F.last("last", ignorenulls=True).over(earlier), first).alias("open"), F.coalesce(F.last("heading", ignorenulls=True).over(earlier), front).alias("open_label"))
+    at = F.when(F.col("head") & (F.col("section") == 0), F.col("open")).otherwise(F.struct("run", "section", "from"))
+    start = page_of(F.col("base") + F.col("from"), F.col("starts"))
+    until = F.coalesce("to", F.length("text"))
+    pieces = bounds.join(parts, part).join(carried, key).select(
+        "doc", at.alias("at"), "run", "from", (start + F.col("pages_before")).cast("int").alias("page"), (page_of(F.col("base") + until - 1, F.col("starts")) + F.col("pages_before")).cast("int").alias("page_end"),
+        F.coalesce("label", "open_label").alias("label"), "clause_number", F.coalesce(F.try_element_at("ocr", start), F.lit(False)).alias("ocr"), F.substring(F.col("text"), F.col("from") + 1, until - F.col("from")).alias("text"),
+    )
+    opens = ("page", "label", "clause_number", "ocr")
+    joined = pieces.groupBy("doc", "at").agg(*[F.min_by(F.struct(F.col(c)), F.struct("run", "from"))[c].alias(c) for c in opens], F.max("page_end").alias("page_end"), F.array_sort(F.collect_list(F.struct("run", "from", "text"))).alias("pieces"))
+    rows = joined.withColumn("body", strip(F.concat_ws("", F.col("pieces.text")))).filter(F.length("body") >= min_chars).drop("pieces")
+    kept = stage(rows, "segment-clauses")
+    counts = kept.groupBy("doc", F.col("at.run").alias("run")).count().withColumn("clauses_before", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
+    place = F.row_number().over(Window.partitionBy("doc", "at.run").orderBy("at")) - 1
+    out = kept.withColumn("place", place).withColumn("run", F.col("at.run")).join(counts, ["doc", "run"])
+    index = (F.col("place") + F.col("clauses_before")).cast("int")
+    return out.select(
+        F.concat("doc.doc_id", F.lit("::"), F.lpad(index.cast("string"), 5, "0")).alias("clause_id"), "doc.doc_id", "doc.tender_id", "page", "page_end", F.array("label").alias("section_path"), "clause_number", F.col("body").alias("text"),
+        F.length("body").alias("char_count"), word_count(F.col("body")).alias("word_count"), F.lit(False).alias("table_origin"), F.col("ocr").alias("ocr_was_used"), F.lit("").alias("notes"), index.alias("ord"),
     )
 
 

@@ -1,3 +1,5 @@
+import itertools
+import random
 import re
 
 import pytest
@@ -207,3 +209,40 @@ def test_code_names(spark, name, code, family):
 def test_collections_and_ids(spark):
     assert found(spark, "_Te nder/1.", naming.collection) == "tender_Te_nder_1" and found(spark, "///", naming.collection) == "tender_tender"
     assert found(spark, "a::b::00012", naming.short_id) == "00012" and found(spark, "abcdefghijklmnop", naming.short_id) == "abcdefghijkl"
+
+
+LINES = ["1.2", "1.2 ", "  1.3", "3.", "4A.", "(a)", "A.", "Clause", "Clause 7", "5", "SECTION", "SECTION-2", "SECTION 3: More", "PART", "Annexure", "Annexure B", "", "  ", "1.1 The party shall deliver all of it without delay.", "2. Another clause that is long enough to stay", "plain prose that goes on for a while, and then some more", "Title of what follows", "(b) lower letter clause of some length in it"]
+
+
+def scattered_pages(seed, n=40):
+    rng = random.Random(seed)
+    return ["\n".join(rng.choice(LINES) for _ in range(rng.choice([0, 1, 1, 2, 3, 6]))) + rng.choice(["", "\n", "\n\n"]) for _ in range(n)]
+
+
+def test_runs_of_pages_give_the_same_clauses(spark, monkeypatch):
+    """Numbers, headings and clauses over the ends of pages, blank pages, clauses of many pages; whatever the runs."""
+    texts = {f"d{k}": scattered_pages(k) for k in range(6)}
+    rows = [(d, None if d == "d1" else f"T{len(d)}", 3 * n + 1, t or None if n % 2 else t, n % 3 == 0) for d, held in texts.items() for n, t in enumerate(held)]
+    df = spark.createDataFrame(rows, "doc_id string, tender_id string, page_number int, text string, ocr_was_used boolean")
+    every = []
+    for run in (1, 4, 10_000):
+        monkeypatch.setattr(segment, "RUN", run)
+        found = segment.clauses(df).orderBy("doc_id", "ord").collect()
+        every.append(sorted(tuple(r) for r in found))
+        assert [r["ord"] for r in found if r["doc_id"] == "d2"] == list(range(sum(r["doc_id"] == "d2" for r in found)))
+        for d, held in texts.items():
+            full = "".join(t + "\n" for t in held)
+            ends = list(itertools.accumulate(len(t) + 1 for t in held))
+            for r in (r for r in found if r["doc_id"] == d):
+                assert r["text"] in full and r["page"] <= r["page_end"] <= len(ends) and r["ocr_was_used"] == ((r["page"] - 1) % 3 == 0)
+    assert every[0] == every[1] == every[2] and len(every[0]) > 60
+    monkeypatch.setattr(segment, "RUN", 4)
+    assert segment.page_runs(df).groupBy("doc").count().agg(F.min("count")).first()[0] > 1
+
+
+def test_a_long_document_has_no_large_row(spark):
+    """Thousands of pages, one clause over most of them."""
+    pages_ = spark.range(4000).select(F.lit("d").alias("doc_id"), F.lit("T").alias("tender_id"), (F.col("id") + 1).cast("int").alias("page_number"), F.concat(F.when(F.col("id").isin(0, 3990), F.concat(F.lit("1."), F.col("id") + 1, F.lit(" "))).otherwise(""), F.lit("words that go on and on")).alias("text"), F.lit(False).alias("ocr_was_used"))
+    assert segment.page_runs(pages_).agg(F.max(F.length("text"))).first()[0] < 200 * 30
+    got = segment.clauses(pages_).orderBy("ord").collect()
+    assert [(r["clause_number"], r["page"], r["page_end"]) for r in got] == [("1.1", 1, 3990), ("1.3991", 3991, 4000)]
