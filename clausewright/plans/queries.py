@@ -218,6 +218,18 @@ def page_lines_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(segment.strip_page_lines(F.col("text"))).alias("text_md5"), segment.has_text_layer(F.col("text")).alias("has_layer"))
 
 
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+@query(f"""SELECT doc_id, CAST(place - 1 AS BIGINT) AS piece, md5(pieces[place]) AS text_md5, len(pieces[place]) AS chars FROM (SELECT doc_id, CASE WHEN trim(a.now, {_WHITE}) = '' THEN a.done ELSE list_append(a.done, trim(a.now, {_WHITE})) END AS pieces FROM (
+ SELECT doc_id, list_reduce(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda p: {{'done': CAST([] AS VARCHAR[]), 'now': p}}), lambda a, x: CASE WHEN len(a.now) + len(x.now) + 2 > 4000 AND a.now <> '' THEN {{'done': list_append(a.done, trim(a.now, {_WHITE})), 'now': x.now}} WHEN a.now = '' THEN {{'done': a.done, 'now': x.now}} ELSE {{'done': a.done, 'now': a.now || chr(10) || chr(10) || x.now}} END) AS a FROM documents WHERE text <> '') AS r) AS s, unnest(range(1, len(pieces) + 1)) AS u(place)""")
+def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, their lines taken for paragraphs, split at 4000 characters."""
+    docs = _table(spark, sf_dir, "documents").filter("text <> ''")
+    pieces = docs.select("doc_id", F.posexplode(segment.hard_split(F.replace("text", F.lit("\n"), F.lit("\n\n")), 4000)).alias("piece", "text"))
+    return pieces.select("doc_id", F.col("piece").cast("bigint").alias("piece"), F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"))
+
+
 @query("SELECT p_partkey, 'Part: ' || p_name || CASE WHEN p_size % 2 = 0 THEN '; Col2: ' || CAST(p_size AS VARCHAR) ELSE '' END || '; Type: ' || p_type AS text FROM part WHERE len('Part: ' || p_name || CASE WHEN p_size % 2 = 0 THEN '; Col2: ' || CAST(p_size AS VARCHAR) ELSE '' END || '; Type: ' || p_type) >= 30")
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string"))
@@ -332,6 +344,23 @@ def rewrite_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stages.status_counts(stages.rewrite_status(stages.guardrails(rows))).select("status", "rewrites", "g1_passed", "g2_passed")
 
 
+_INTENT = "sqrt(1 + (k % 4 * attempt % 3) * (k % 4 * attempt % 3))"
+
+
+@query(f"""SELECT status, attempts, g3, intent_cosine, count(*) AS rewrites FROM (SELECT flag_id, attempts, g3, intent_cosine, CASE WHEN passed THEN 'ACCEPTED' WHEN attempts >= 3 THEN 'RETRY_LIMIT_REACHED' ELSE 'PASSED_GUARDRAILS_FAILED' END AS status FROM (
+ SELECT flag_id, attempt AS attempts, CASE WHEN k % 7 <> 0 THEN 1 / {_INTENT} >= 0.6 END AS g3, CASE WHEN k % 7 <> 0 THEN round_even(1 / {_INTENT}, 4) ELSE 0 END AS intent_cosine, k % 7 = 0 OR 1 / {_INTENT} >= 0.6 AS passed FROM {_FLAGS} AS f, (VALUES (1), (2), (3)) AS a(attempt)) AS x
+ QUALIFY row_number() OVER (PARTITION BY flag_id ORDER BY CASE WHEN passed THEN 0 ELSE 1 END, CASE WHEN passed THEN attempts ELSE -attempts END) = 1) AS y GROUP BY ALL""")
+def intent_guardrail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cosine guardrail decides here: vectors turn away from the clause's with its number and the attempt; every seventh has no vector."""
+    c = corpus.committed(spark, sf_dir)
+    attempts = _flags(spark, sf_dir, c).select("flag_id", "clause_id").join(c.select("clause_id", "k"), "clause_id").withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    none = F.array().cast("array<struct<obligation: string, quantity: string, method: string, standard: string>>")
+    away = (F.col("k") % 4 * F.col("attempt") % 3).cast("double")
+    rows = attempts.select("flag_id", "attempt", F.lit(1).alias("resolved_count"), F.lit(0).alias("unresolved_count"), none.alias("commitments"), none.alias("rewrite_commitments"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"), F.when(F.col("k") % 7 != 0, F.array(F.lit(1.0), away)).alias("rewrite_vector"))
+    done = stages.rewrite_status(stages.guardrails(rows))
+    return done.groupBy("status", F.col("attempts").cast("bigint").alias("attempts"), "g3", "intent_cosine").agg(F.count("*").alias("rewrites"))
+
+
 @query("""SELECT count(*) FILTER (WHERE status = 'ACCEPTED') AS accepted, round_even(avg(attempts) FILTER (WHERE status = 'ACCEPTED'), 2) AS avg_attempts, round_even(avg(intent_cosine) FILTER (WHERE status = 'ACCEPTED'), 3) AS avg_intent_cosine FROM (SELECT CASE WHEN event_type = 'view' THEN 'ACCEPTED' ELSE 'ERROR' END AS status, user_id % 3 + 1 AS attempts, CASE WHEN user_id % 5 = 0 THEN 0.0::DOUBLE ELSE (user_id % 8) / 8 END AS intent_cosine FROM events) AS e""")
 def accepted_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
@@ -644,6 +673,14 @@ def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", F.md5(text.html_escape(h)).alias("escaped_md5"), artefacts.page_title(h).alias("title"), artefacts.issuing_authority(h).alias("authority"))
 
 
+@query("SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'Dept ' || CAST(page_id % 7 AS VARCHAR) WHEN 1 THEN 'Office ' || CAST(page_id % 5 AS VARCHAR) ELSE 'UNKNOWN' END AS authority, CASE WHEN page_id % 2 = 0 THEN 'Tender ' || CAST(page_id AS VARCHAR) ELSE left(trim(regexp_extract(html, '<title[^>]*>([^<]+)</title>', 1, 'i')), 200) END AS title FROM pages")
+def web_authorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the fields that a portal's pages have, put before the given ones: every pattern of title and authority is met."""
+    head = F.expr("concat(case page_id % 3 when 0 then concat('Organisation Chain: <td> Dept ', page_id % 7, ' </td>') when 1 then concat('issuing  authority <b>Office ', page_id % 5, '<') else '' end, case when page_id % 2 = 0 then concat('Tender Title:<p>Tender ', page_id, '</p>') else '' end)")
+    html = F.concat(head, "html")
+    return _table(spark, sf_dir, "pages").select("page_id", artefacts.issuing_authority(html).alias("authority"), artefacts.page_title(html).alias("title"))
+
+
 @query("SELECT DISTINCT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(replace(html, '</a></li>', '.pdf</a></li>'), '<a\\s[^>]*?href\\s*=\\s*[\"'']([^\"'']*)[\"'']', 1, 'i')) AS href FROM (SELECT page_id, regexp_replace(html, '(href=\"/[a-m][^\"]*)\"', '\\1.pdf\"', 'g') AS html FROM pages) AS p) AS x WHERE lower(href) LIKE '%.pdf'")
 def web_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that start with a to m are taken for documents here, as the pages name no files."""
