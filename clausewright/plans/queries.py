@@ -17,6 +17,7 @@ from clausewright.plans import corpus, extraction
 from clausewright.sources import artefacts, sinks
 from clausewright.sources.observed import observed, one_row
 from clausewright.sources.staging import leave_nothing, shared_dir
+from clausewright.streaming import runs as streamed
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -708,6 +709,18 @@ def run_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollups.last_runs(runs, per="stage").select("stage", "runs", F.round("cost_inr", 2).alias("cost"), "latest")
 
 
+@query("SELECT event_type AS stage, event_id AS run_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS place FROM events QUALIFY place <= 3")
+def streamed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last three runs of every stage from a stream that reads the events file by file, in order of time."""
+    base = f"{shared_dir(spark)}/clausewright/streamed-{uuid.uuid4().hex}"
+    runs = _table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"))
+    runs.repartitionByRange(4, "started_at").write.parquet(f"{base}/in")
+    leave_nothing(spark, base)
+    stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    streamed.keep_latest(stream, f"{base}/out", f"{base}/checkpoint", late="1000 days").awaitTermination()
+    return streamed.current(spark, f"{base}/out").select("stage", "run_id", F.col("place").cast("bigint").alias("place"))
+
+
 @query("SELECT event_id AS run_id, event_type AS stage FROM events ORDER BY ts DESC, event_id DESC LIMIT 10")
 def last_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten latest runs: a limit that is the feature."""
