@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from clausewright.sources.staging import drop_stage, leave_nothing, shared_dir, stage
 
-__all__ = ["drop_stage", "fold", "map_arrow", "quoted", "held_out", "leave_nothing", "shared_dir", "stage", "table"]
+__all__ = ["bounded", "drop_stage", "fold", "map_arrow", "quoted", "held_out", "leave_nothing", "shared_dir", "stage", "table"]
+
+
+#: Bytes of the batches that tasks and their Python workers exchange. Buffers of the usual 64 MB stay with the threads of an executor that have held one.
+_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Small batches for whole texts, unless the session names a size."""
+    if _BATCH not in spark.conf.getAll:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -55,3 +55,18 @@ def test_odd_rows_and_empty_tables(spark, prose, tmp_path):
 def test_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "simhash_dedup", "decontaminate", "secrets", "sentencepiece"]
     assert corpus_pipeline.ORACLE_SQL is None and simhash.MAX_BITS == 2
+
+
+def test_small_batches_unless_the_session_names_a_size(spark, docs):
+    from clausewright.llm import stage
+
+    key, held = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.unset(key)
+        corpus_pipeline.hide_secrets(spark, docs([(1, "x")]), "")
+        assert spark.conf.get(key) == stage.BATCH_BYTES
+        spark.conf.set(key, "9m")
+        corpus_pipeline.tokenize(spark, docs([(1, "x")]), "")
+        assert spark.conf.get(key) == "9m"
+    finally:
+        spark.conf.set(key, held)
