@@ -223,7 +223,7 @@ _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
 @query(f"""SELECT doc_id, CAST(place - 1 AS BIGINT) AS piece, md5(pieces[place]) AS text_md5, len(pieces[place]) AS chars FROM (SELECT doc_id, CASE WHEN trim(a.now, {_WHITE}) = '' THEN a.done ELSE list_append(a.done, trim(a.now, {_WHITE})) END AS pieces FROM (
- SELECT doc_id, list_reduce(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda p: {{'done': CAST([] AS VARCHAR[]), 'now': p}}), lambda a, x: CASE WHEN len(a.now) + len(x.now) + 2 > 4000 AND a.now <> '' THEN {{'done': list_append(a.done, trim(a.now, {_WHITE})), 'now': x.now}} WHEN a.now = '' THEN {{'done': a.done, 'now': x.now}} ELSE {{'done': a.done, 'now': a.now || chr(10) || chr(10) || x.now}} END) AS a FROM documents WHERE text <> '') AS r) AS s, unnest(range(1, len(pieces) + 1)) AS u(place)""")
+ SELECT doc_id, list_reduce(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\\n\\s*\\n'), lambda p: {{'done': CAST([] AS VARCHAR[]), 'now': p}}), lambda a, x: CASE WHEN len(a.now) + len(x.now) + 2 > 4000 AND a.now <> '' THEN {{'done': list_append(a.done, trim(a.now, {_WHITE})), 'now': x.now}} WHEN a.now = '' THEN {{'done': a.done, 'now': x.now}} ELSE {{'done': a.done, 'now': a.now || chr(10) || chr(10) || x.now}} END) AS a FROM documents WHERE text <> '') AS r) AS s, unnest(range(1, len(pieces) + 1)) AS u(place)""")
 def document_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents, their lines taken for paragraphs, split at 4000 characters."""
     docs = _table(spark, sf_dir, "documents").filter("text <> ''")
