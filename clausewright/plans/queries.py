@@ -737,6 +737,7 @@ def call_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT filename, issue FROM (SELECT coalesce(m.f, d.f) AS filename, unnest([CASE WHEN d.f IS NULL THEN 'missing' END, CASE WHEN m.f IS NULL THEN 'extra' END, CASE WHEN m.f IS NOT NULL AND d.f IS NOT NULL AND m.size > 0 AND m.size <> d.size THEN 'size_mismatch' END, CASE WHEN m.f IS NOT NULL AND d.f IS NOT NULL AND m.sha <> '' AND m.sha <> d.sha THEN 'sha_mismatch' END]) AS issue
  FROM (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS f, o_custkey % 3 AS size, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE o_orderstatus END AS sha FROM orders WHERE o_orderkey % 5 <> 0) AS m FULL JOIN (SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS f, o_custkey % 2 AS size, CASE WHEN o_orderkey % 7 = 0 THEN 'Z' ELSE o_orderstatus END AS sha FROM orders WHERE o_orderkey % 6 <> 0) AS d ON m.f = d.f) AS x WHERE issue IS NOT NULL""")
 def manifest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole tables; the two filters only make sides that differ."""
     o = _table(spark, sf_dir, "orders")
     m = o.filter("o_orderkey % 5 <> 0").selectExpr("concat('o', o_orderkey) as filename", "o_custkey % 3 as file_size_bytes", "case when o_orderkey % 4 = 0 then '' else o_orderstatus end as sha256")
     d = o.filter("o_orderkey % 6 <> 0").selectExpr("concat('o', o_orderkey) as filename", "o_custkey % 2 as file_size_bytes", "case when o_orderkey % 7 = 0 then 'Z' else o_orderstatus end as sha256")
