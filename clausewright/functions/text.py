@@ -20,7 +20,22 @@ def ascii_only(text: Column) -> Column:
 
 def plain(pattern: str) -> str:
     """The pattern without Unicode classes, which match the same in ASCII texts and are much slower."""
-    return pattern.replace(IGNORE_CASE, "(?i)").replace(UNICODE, "")
+    return pattern.replace(IGNORE_CASE, "(?i)").replace("(?isU)", "(?is)").replace(UNICODE, "")
+
+
+def extracted(text: Column, pattern: str, group: int = 0) -> Column:
+    """A group of every match, as ``regexp_extract_all`` has it; ASCII texts are searched with plain classes."""
+    found = lambda p: F.regexp_extract_all(text, F.lit(p), F.lit(group))
+    return F.when(ascii_only(text), found(plain(pattern))).otherwise(found(pattern))
+
+
+def group_of(raw: Column, pattern: str, group: int) -> Column:
+    """A group of a match, of which nothing but the match is looked at."""
+    return F.when(ascii_only(raw), F.regexp_extract(raw, plain(pattern), group)).otherwise(F.regexp_extract(raw, pattern, group))
+
+
+#: All that Unicode has as white space.
+_SPACES = " " + "".join(map(chr, [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def collapse(text: Column) -> Column:
@@ -30,7 +45,7 @@ def collapse(text: Column) -> Column:
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
-    return F.regexp_replace(text, UNICODE + r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def word_count(text: Column) -> Column:

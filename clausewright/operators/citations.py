@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import naming
+from clausewright.functions.text import ascii_only, extracted, folded, group_of, let
 
 _SECTION = r"(?:\s*(?:Section|Sec\.?|Clause|Cl\.?|§|\(Cl\.?\s*)\s*(\d+(?:\.\d+){0,5})\)?)?"
 #: Number, part, year and section; title, year, volume and section.
@@ -15,16 +16,26 @@ WORKS = r"(?U)\bCPWD[\s–—-]+((?!(?:Section|Sec|Clause|Cl|Vol)\b)[A-Z][A-Za-z
 
 def parse(text: Column) -> Column:
     """``array<struct<code, version, section, raw_text>>``: standards, then works, each in order."""
-    groups = lambda p: F.arrays_zip(*[F.regexp_extract_all(text, F.lit(p), F.lit(g)).alias(f"g{g}") for g in range(5)])
+    none = F.array().cast("array<struct<code: string, version: string, section: string, raw_text: string>>")
     some = lambda c: F.nullif(c, F.lit(""))
     row = lambda code, version, h: F.struct(code.alias("code"), some(version).alias("version"), some(h["g4"]).alias("section"), h["g0"].alias("raw_text"))
-    standards = F.transform(groups(STANDARD), lambda h: row(F.concat(F.lit("IS "), h["g1"], F.coalesce(F.concat(F.lit(" (Part "), some(h["g2"]), F.lit(")")), F.lit(""))), h["g3"], h))
-    works = F.transform(groups(WORKS), lambda h: row(F.concat(F.lit("CPWD "), h["g1"], F.coalesce(F.concat(F.lit(" Vol"), some(h["g3"])), F.lit(""))), h["g2"], h))
-    return F.concat(standards, works)
-
-
-def extract(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(id, ord, code, version, section, raw_text)``: the first of each code, version and section."""
+    # a standard's match looks at nothing outside, so its groups are those of the match alone; what follows works may decide
+    named = F.transform(extracted(text, STANDARD), lambda raw: F.struct(raw.alias("g0"), *[group_of(raw, STANDARD, g).alias(f"g{g}") for g in range(1, 5)]))
+    standards = F.transform(named, lambda h: row(F.concat(F.lit("IS "), h["g1"], F.coalesce(F.concat(F.lit(" (Part "), some(h["g2"]), F.lit(")")), F.lit(""))), h["g3"], h))
+    groups = F.arrays_zip(*[extracted(text, WORKS, g).alias(f"g{g}") for g in range(5)])
+    works = F.transform(groups, lambda h: row(F.concat(F.lit("CPWD "), h["g1"], F.coalesce(F.concat(F.lit(" Vol"), some(h["g3"])), F.lit(""))), h["g2"], h))
+    some_is = ~ascii_only(text) | folded(text).contains("is")
+    return F.concat(F.when(some_is, standards).otherwise(F.when(text.isNotNull(), none)), F.when(text.contains("CPWD"), works).otherwise(F.when(text.isNotNull(), none)))
+
+
+def extract(texts: DataFrame, id_col: str = "id", text_col: str = "text", unique: bool = False) -> DataFrame:
+    """``(id, ord, code, version, section, raw_text)``: the first of each code, version and section. ``unique``: no
+    id has two texts, so each text is decided on its own and nothing is shuffled."""
+    if unique:
+        key = lambda c: F.struct(c["code"], F.coalesce(c["version"], F.lit("")), F.coalesce(c["section"], F.lit("")))
+        first = lambda found: F.filter(F.transform(found, lambda c, i: F.struct(i.alias("ord"), c.alias("c"))), lambda p: F.array_position(F.transform(found, key), key(p["c"])) == p["ord"] + 1)
+        rows = texts.select(F.col(id_col).alias("id"), F.explode(let(parse(F.col(text_col)), first)).alias("p"))
+        return rows.select("id", "p.ord", "p.c.*")
     rows = texts.select(F.col(id_col).alias("id"), F.posexplode(parse(F.col(text_col))).alias("ord", "c")).select("id", "ord", "c.*")
     return dedupe(rows)
 

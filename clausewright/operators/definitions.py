@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import in_definitions
+from clausewright.functions.text import extracted, in_definitions
 
 _EDGE = " .,:;\"'`“”‘’"
 #: Term and definition are groups 1 and 2; the body ends before the first stop.
@@ -30,11 +30,11 @@ def _usable(d: Column) -> Column:
 
 def candidates(clauses: DataFrame) -> DataFrame:
     """Usable definitions, in order of clause (``ord``), pattern and place (``hit``)."""
-    found = []
+    found, text = [], F.col("text")
     for p in PATTERNS:
-        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("t"), F.regexp_extract_all("text", F.lit(p), F.lit(2)).alias("b"))
+        pairs = F.arrays_zip(extracted(text, p, 1).alias("t"), extracted(text, p, 2).alias("b"))
         found.append(F.transform(pairs, lambda h: F.struct(clean_term(h["t"]).alias("canonical_form"), clean_body(h["b"]).alias("definition_text"))))
-    rows = clauses.filter(F.col("text").rlike(r"(?iU)\b(?:mean|means|refers\s+to|is\s+defined\s+as)\b")).select("clause_id", "doc_id", "tender_id", "ord", F.posexplode(F.filter(F.concat(*found), _usable)).alias("hit", "d"))
+    rows = clauses.filter(text.rlike(r"(?iU)\b(?:mean|means|refers\s+to|is\s+defined\s+as)\b")).select("clause_id", "doc_id", "tender_id", "ord", F.posexplode(F.filter(F.concat(*found), _usable)).alias("hit", "d"))
     return rows.select("clause_id", "doc_id", "tender_id", "ord", "hit", "d.*")
 
 

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import folded, guarded, joined, let
+from clausewright.functions.text import IGNORE_CASE, extracted, folded, guarded, joined, let
 
 #: The markers of each category.
 LEXICON = {
@@ -30,7 +30,7 @@ def needle(pattern: str) -> tuple[str, ...]:
 def markers(text: Column) -> Column:
     """``array<struct<category, marker>>`` in order of category, marker and place."""
     named = lambda c: lambda m: F.struct(F.lit(c).alias("category"), m.alias("marker"))
-    return let(folded(text), lambda low: joined(*[guarded(low, needle(p), F.transform(F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(0)), named(c))) for c, patterns in LEXICON.items() for p in patterns]))
+    return let(folded(text), lambda low: joined(*[guarded(low, needle(p), F.transform(extracted(text, IGNORE_CASE + p), named(c))) for c, patterns in LEXICON.items() for p in patterns]))
 
 
 def flags(clauses: DataFrame) -> DataFrame:
@@ -57,4 +57,5 @@ def summary(flagged: DataFrame, min_markers: int = 1) -> DataFrame:
 
 def by_category(flagged: DataFrame) -> DataFrame:
     """Clauses in which each category has a marker."""
-    return flagged.select(F.explode("marker_categories").alias("category")).groupBy("category").agg(F.count("*").alias("clauses"))
+    # exploding the bare column would have Spark ask for its size below, and so look for all markers twice
+    return flagged.select(F.explode(F.array_distinct("marker_categories")).alias("category")).groupBy("category").agg(F.count("*").alias("clauses"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import IGNORE_CASE, UNICODE, folded, guarded, joined, let, spans, strip, window_around
+from clausewright.functions.text import IGNORE_CASE, UNICODE, strip
 
 #: Patterns with value and unit groups (0: none), and their kinds.
 PATTERNS = [
@@ -36,7 +38,7 @@ def normalise(value: Column, unit: Column, kind: Column, strict: bool = False) -
     bare dollars as rupees; ``strict`` converts both by 84 rupees a dollar."""
     u = unit
     pick = lambda *cases, other: reduce(lambda acc, c: F.when(c[0], c[1]).otherwise(acc), reversed(cases), other)
-    starts = lambda *p: u.rlike("^(" + "|".join(p) + ")")
+    starts = lambda *p: reduce(lambda a, b: a | b, [u.startswith(x) for x in p])
     days = pick((starts("hour") | u.isin("hr", "hrs"), value / 24), (starts("min"), value / (24 * 60)), (starts("day"), value), (starts("wk", "week"), value * 7), (starts("mo"), value * 30), (starts("yr", "year"), value * 365), other=value)
     dollars = 840.0 if strict else 84.0
     lakhs = pick((u.contains("crore") | starts("cr"), value * 100), (u.contains("lakh") | starts("lac"), value), (u.contains("million") | (u == "m"), value * dollars), (u.contains("billion") | (u == "bn"), value * dollars * 1000), other=value / 100_000)
@@ -47,38 +49,64 @@ def normalise(value: Column, unit: Column, kind: Column, strict: bool = False) -
     return F.struct(number.alias("value_norm"), named.alias("unit_norm"))
 
 
-def _candidates(text: Column) -> Column:
-    """Matches of all patterns, in order of pattern and place."""
-    def shaped(kind: str, has_unit: int):
-        return lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), h["raw"].alias("raw"), F.lit(kind).alias("kind"), h["g0"].alias("a"), (h["g1"] if has_unit else F.lit("")).alias("b"))
-
-    return let(folded(text), lambda low: joined(*[guarded(low, words, F.transform(spans(text, p, 1, unit or 1), shaped(kind, unit))) for (p, unit, kind), words in zip(PATTERNS, NEEDLES, strict=True)]))
-
-
-def _without_overlaps(hits: Column) -> Column:
-    """Earlier matches reserve their span, even those that turn out not to be numbers."""
-    none = F.array().cast("array<struct<start: int, end: int, raw: string, kind: string, a: string, b: string>>")
-    clear = lambda kept, h: F.when(F.exists(kept, lambda k: ~((h["end"] <= k["start"]) | (h["start"] >= k["end"]))), kept).otherwise(F.concat(kept, F.array(h)))
-    return F.aggregate(hits, none, clear)
+#: Characters shown on either side of a quantity; what Unicode has as white space.
+REACH = 80
+_WHITE = re.compile(r"[^\S\x1c-\x1f]+")
+_FOUND = "array<struct<start: int, end: int, raw: string, kind: string, a: string, b: string, around: string>>"
+_BARE = [p.replace(IGNORE_CASE, "").replace(UNICODE, "") for p, *_ in PATTERNS]
+#: For any text, and for ASCII texts in lower case, which need no folding.
+_ANY, _LOW = [re.compile(p, re.I) for p in _BARE], [re.compile(p.lower(), re.A) for p in _BARE]
+
+
+def found_in(text: str) -> list[tuple[int, int, str, str, str, str, str]]:
+    """Start, end, match, kind, value, unit and surroundings of the matches of all patterns, in order of pattern
+    and place. Earlier matches reserve their span, even those that turn out not to be numbers."""
+    kept: list[tuple[int, int, str, str, str, str, str]] = []
+    ascii_text = text.isascii()
+    low = text.lower() if ascii_text else text
+    printable = ascii_text and text.isprintable()
+    for pattern, (_, unit, kind), words in zip(_LOW if ascii_text else _ANY, PATTERNS, NEEDLES, strict=True):
+        if ascii_text and not any(w in low for w in words):
+            continue
+        for m in pattern.finditer(low):
+            start, end = m.span()
+            if all(end <= k[0] or start >= k[1] for k in kept):
+                near = text[max(start - REACH, 0) : end + REACH]
+                near = " ".join(near.split()) if printable else _WHITE.sub(" ", near).strip(" ")
+                named = text[m.start(unit) : m.end(unit)] if unit and m[unit] else ""
+                kept.append((start, end, text[start:end], kind, text[m.start(1) : m.end(1)], named, near))
+    return kept
+
+
+def _found(column: pa.Array) -> pa.Array:
+    names, types = ("start", "end", "raw", "kind", "a", "b", "around"), (pa.int32(), pa.int32(), *[pa.string()] * 5)
+    texts = [t or "" for t in column.to_pylist()]
+    rows = [found_in(t) for t in texts]
+    ends = [0]
+    for r in rows:
+        ends.append(ends[-1] + len(r))
+    flat = list(zip(*[h for r in rows for h in r], strict=True)) or [()] * len(names)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, types, strict=True)], names))
 
 
 def extract(clauses: DataFrame, strict: bool = False) -> DataFrame:
-    """Quantities of every clause; narrow, as all is decided within the clause."""
+    """Quantities of every clause; narrow, as all is decided within the clause: a small function finds the spans, the rest are expressions."""
     number = lambda s: F.replace(s, F.lit(","), F.lit("")).try_cast("double")
 
     def measured(h: Column) -> Column:
         a, b = number(h["a"]), number(h["b"])
         ratio = h["kind"] == "ratio"
         value = F.when(ratio, F.when(b != 0, a / b).otherwise(a)).otherwise(a)
-        return F.struct(*[h[f].alias(f) for f in ("start", "end", "raw", "kind")], value.alias("value"), F.when(ratio, "ratio").otherwise(h["b"]).alias("unit"))
+        return F.struct(*[h[f].alias(f) for f in ("raw", "kind", "around")], value.alias("value"), F.when(ratio, "ratio").otherwise(h["b"]).alias("unit"))
 
-    kept = F.filter(F.transform(_without_overlaps(_candidates(F.col("text"))), measured), lambda q: q["value"].isNotNull())
-    rows = clauses.select("clause_id", "doc_id", "tender_id", "page", "text", F.posexplode(kept).alias("ord", "q"))
+    kept = F.filter(F.transform("__found", measured), lambda q: q["value"].isNotNull())
+    rows = clauses.select("clause_id", "doc_id", "tender_id", "page", "text", F.arrow_udf(_found, _FOUND)("text").alias("__found"))
+    rows = rows.select("clause_id", "doc_id", "tender_id", "page", F.posexplode(kept).alias("ord", "q"))
     rows = rows.withColumn("folded", folded_unit(F.col("q.unit")))  # once, for all the cases that look at it
     norm = normalise(F.col("q.value"), F.col("folded"), F.col("q.kind"), strict)
     return rows.select(
         F.concat("clause_id", F.lit("::q"), F.lpad(F.col("ord").cast("string"), 3, "0")).alias("quantity_id"), "clause_id", "doc_id", "tender_id", strip(F.col("q.raw")).alias("raw_text"),
-        window_around(F.col("text"), F.col("q.start"), F.col("q.end")).alias("surrounding_text"), "q.kind", "q.value", "q.unit", norm["value_norm"].alias("value_norm"), norm["unit_norm"].alias("unit_norm"),
+        F.col("q.around").alias("surrounding_text"), "q.kind", "q.value", "q.unit", norm["value_norm"].alias("value_norm"), norm["unit_norm"].alias("unit_norm"),
         F.lit("UNCLASSIFIED").alias("referent"), F.lit(0.0).alias("referent_confidence"), F.lit("none").alias("referent_method"), "page",
     )
 

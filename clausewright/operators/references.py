@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import IGNORE_CASE, collapse, folded, guarded, joined, let, strip
+from clausewright.functions.text import IGNORE_CASE, collapse, extracted, folded, group_of, guarded, joined, let, strip
 
 #: Patterns with the group of the label (0: the match itself), and their kinds.
 PATTERNS = [
@@ -31,25 +31,25 @@ def _label(kind: str, label: Column, raw: Column) -> Column:
 
 
 def _shaped(pattern: str, group: int, kind: str):
-    label = lambda h: F.regexp_extract(h, IGNORE_CASE + pattern, group)
+    label = lambda h: group_of(h, IGNORE_CASE + pattern, group)
     return lambda h: F.struct(F.lit(kind).alias("target_kind"), _label(kind, label(h), strip(h)).alias("target_label"), strip(h).alias("raw_text"))
 
 
-def extract(clauses: DataFrame) -> DataFrame:
-    """Every reference of every clause, overlapping ones too; ``ord`` keeps their order in the clause."""
+def extract(clauses: DataFrame, placed: bool = False) -> DataFrame:
+    """Every reference of every clause, overlapping ones too; ``ord`` keeps their order in the clause. ``placed`` adds the clause's ``doc_id``."""
     text = F.col("text")
-    of = lambda low: joined(*[guarded(low, (word,), F.transform(F.regexp_extract_all(text, F.lit(IGNORE_CASE + p), F.lit(0)), _shaped(p, group, kind))) for (p, group, kind), word in zip(PATTERNS, NEEDLES, strict=True)])
-    rows = clauses.select("clause_id", F.posexplode(let(folded(text), of)).alias("ord", "r"))
-    return rows.select(F.col("clause_id").alias("from_clause"), "ord", "r.*", F.lit(0.9).alias("confidence"))
+    of = lambda low: joined(*[guarded(low, (word,), F.transform(extracted(text, IGNORE_CASE + p), _shaped(p, group, kind))) for (p, group, kind), word in zip(PATTERNS, NEEDLES, strict=True)])
+    rows = clauses.select("clause_id", *(["doc_id"] if placed else []), F.posexplode(let(folded(text), of)).alias("ord", "r"))
+    return rows.select(F.col("clause_id").alias("from_clause"), "ord", "r.*", F.lit(0.9).alias("confidence"), *(["doc_id"] if placed else []))
 
 
 def resolve(references: DataFrame, clauses: DataFrame) -> DataFrame:
     """Adds ``target_id`` and ``resolved``: clause references point to the last
-    clause of that number in their own document."""
+    clause of that number in their own document. References without ``doc_id`` get it from their clause first."""
     own = clauses.select(F.col("clause_id").alias("from_clause"), "doc_id")
     last = clauses.filter("clause_number <> ''").groupBy("doc_id", F.col("clause_number").alias("__n")).agg(F.max_by("clause_id", "ord").alias("target_id"))
     number = F.when(F.col("target_kind") == "clause", strip(F.replace("target_label", F.lit("Clause "), F.lit(""))))
-    placed = references.join(own, "from_clause", "left").withColumn("__n", number)
+    placed = (references if "doc_id" in references.columns else references.join(own, "from_clause", "left")).withColumn("__n", number)
     return placed.join(last, ["doc_id", "__n"], "left").drop("__n").withColumn("resolved", F.col("target_id").isNotNull())
 
 
