@@ -123,15 +123,17 @@ def _descend(x: np.ndarray, y: np.ndarray, classes: int, rng: np.random.Generato
 
 
 def _train(x: np.ndarray, y: np.ndarray, languages: list[str], held: np.ndarray, whole: np.ndarray, noise: np.ndarray) -> LanguageModel:
-    """``held`` rows calibrate; among them are pieces of texts, which are not ``whole``, and ``noise`` of no language."""
+    """``held`` rows calibrate; among them are pieces of texts, which are not ``whole``, and ``noise`` of no language. The counts ``x``, of floats, become unit rows."""
     rng = np.random.default_rng(2)
-    x = _unit(x)
+    for k in range(0, len(x), _ROWS):  # in place, as the sample is the driver's largest table
+        x[k : k + _ROWS] = _unit(x[k : k + _ROWS])
     if held[whole].all() or not held.any():
         held = np.zeros(len(x), bool)
     use = np.nonzero(whole & ~held)[0]
     table, bias = _descend(x[use], y[use], len(languages), rng)
-    rest = held if held.any() else np.ones(len(x), bool)
-    logits, truth = x[rest] @ table + bias, np.where(noise[rest], -1, y[rest])
+    rest = np.nonzero(held if held.any() else np.ones(len(x), bool))[0]
+    logits = np.concatenate([x[rest[k : k + _ROWS]] @ table for k in range(0, len(rest), _ROWS)]) + bias
+    truth = np.where(noise[rest], -1, y[rest])
     known = truth >= 0
     temperature = min((float(t) for t in np.geomspace(0.02, 10, 61)), key=lambda t: -np.log(_softmax(logits[known] / t)[np.arange(known.sum()), truth[known]] + 1e-12).sum())
     best = _softmax(logits / temperature)
@@ -180,16 +182,18 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
                     rows = [(lang, digest - (1 << 63), i, n, held, *p) for i, ((_, n), p) in enumerate(zip(some, packed, strict=True))]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "text", "piece", "noise", "held", "at", "n"])
 
-    rows = sample.mapInArrow(run, "lang string, text bigint, piece bigint, noise boolean, held boolean, at binary, n binary").collect()
-    if not rows:
+    rows = sample.mapInArrow(run, "lang string, text bigint, piece bigint, noise boolean, held boolean, at binary, n binary").toArrow()
+    if not rows.num_rows:
         return None
-    rows.sort(key=lambda r: (r["text"], r["lang"], r["piece"]))  # the same model whatever the order of the tasks
-    languages = sorted({r["lang"] for r in rows})
-    x = np.zeros((len(rows), BUCKETS), np.float32)
-    for k, r in enumerate(rows):
-        x[k, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
-    flags = [np.array([r[c] for r in rows], bool) for c in ("held", "noise")]
-    return _train(x, np.array([languages.index(r["lang"]) for r in rows]), languages, flags[0], np.array([not r["piece"] for r in rows]), flags[1])
+    text, lang, piece, noise, held, at, n = (rows.column(c).combine_chunks() for c in ("text", "lang", "piece", "noise", "held", "at", "n"))
+    keys = list(zip(text.to_pylist(), lang.to_pylist(), piece.to_pylist(), strict=True))
+    order = sorted(range(len(keys)), key=keys.__getitem__)  # the same model whatever the order of the tasks
+    languages = sorted({k[1] for k in keys})
+    x = np.zeros((len(keys), BUCKETS), np.float32)
+    for row, k in enumerate(order):
+        x[row, np.frombuffer(at[k].as_buffer(), "<u2")] = np.frombuffer(n[k].as_buffer(), "<f4")
+    flags = [np.array([c[k].as_py() for k in order], bool) for c in (held, noise)]
+    return _train(x, np.array([languages.index(keys[k][1]) for k in order]), languages, flags[0], np.array([not keys[k][2] for k in order]), flags[1])
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,6 @@
 """Training of the language model stays finite and right on samples of any size, and rejection means something."""
 
+import tracemalloc
 import zlib
 
 import duckdb
@@ -62,3 +63,15 @@ def test_letters_are_unicode_letters(docs):
     odd = ["½ ² ① 12", "ª", "漢", "_ 9", "é"]
     got = [r["lang_pred"] for r in language.predict(docs(list(enumerate(odd))), model).orderBy("doc_id").collect()]
     assert got == ["und", "de", "de", "und", "de"]
+
+
+def test_training_holds_one_table_of_counts(monkeypatch):
+    monkeypatch.setattr(language, "EPOCHS", 1)
+    rng, n = np.random.default_rng(4), 4096
+    counts = rng.integers(0, 2, (n, language.BUCKETS)).astype(np.float32)
+    held = np.arange(n) % 2 == 0
+    tracemalloc.start()
+    model = language._train(counts, rng.integers(0, 3, n), ["a", "b", "c"], held, ~held, np.zeros(n, bool))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.isfinite(model.table).all() and most < 64 << 20  # the table itself has 64 MB
