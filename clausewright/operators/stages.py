@@ -44,16 +44,22 @@ def obligations(rows: DataFrame, checks: DataFrame | None) -> DataFrame:
     return rows.join(told, "clause_id", "left").select(*[rows[c] for c in rows.columns], F.coalesce("__o", F.lit(True)).alias("is_obligation"), F.col("__r").alias("rationale"))
 
 
+#: What flags tell of their clause, and confirmations of their flag; columns that the rows lack are left out.
+_OF_CLAUSE = ("clause_id", "doc_id", "tender_id", "page", "clause_text", "section_path", "clause_number")
+
+
 def candidate_flags(asked: DataFrame, replies: DataFrame) -> DataFrame:
     """A row for every eligible clause: the rule's decision for those with a reply
     (clause_id, commitments), an unflagged audit row for all others, failed calls among them."""
     answer = replies.select("clause_id", rules.normalise_commitments(F.col("commitments")).alias("commitments"))
-    rows = asked.drop("commitments").join(answer, "clause_id", "left")
-    scored = F.col("is_obligation") & F.col("commitments").isNotNull()
+    # decided beside the reply, so that figures move a few flags to the clauses and no commitments
     rule = rules.evaluate_flag(F.col("commitments"))
+    answer = answer.select("*", F.col("commitments").isNotNull().alias("__told"), rule["flagged"].alias("__flagged"), rule["reason"].alias("__reason"))
+    rows = asked.drop("commitments").withColumnsRenamed({"text": "clause_text"}).join(answer, "clause_id", "left")
+    scored = F.col("is_obligation") & F.coalesce("__told", F.lit(False))
     return rows.select(
-        naming.flag_id(F.col("doc_id"), F.col("clause_id")).alias("flag_id"), "clause_id", "doc_id", "tender_id", "page", F.col("text").alias("clause_text"), "section_path", "clause_number",
-        F.when(scored, F.col("commitments")).alias("commitments"), F.when(scored, rule["flagged"]).otherwise(False).alias("flagged"), F.when(scored, rule["reason"]).otherwise("not an obligation").alias("flag_reason"),
+        naming.flag_id(F.col("doc_id"), F.col("clause_id")).alias("flag_id"), *[c for c in _OF_CLAUSE if c in rows.columns],
+        F.when(scored, F.col("commitments")).alias("commitments"), F.when(scored, F.col("__flagged")).otherwise(False).alias("flagged"), F.when(scored, F.col("__reason")).otherwise("not an obligation").alias("flag_reason"),
         scored.alias("is_obligation"), F.when(~scored, F.coalesce(F.nullif("rationale", F.lit("")), F.lit("obligation filter said no"))).alias("skipped_reason"), "ord",
     )
 
@@ -103,7 +109,7 @@ def confirmed(found: DataFrame, flags: DataFrame, critiques: DataFrame, severiti
     rated = F.when(critique == "CONFIRMED", F.col("__s"))
     composite = F.coalesce(rules.composite_severity(rated["commercial_exposure"], rated["dispute_likelihood"]), F.lit(0))
     return rows.select(
-        "flag_id", "clause_id", "doc_id", "tender_id", "page", "clause_text", "section_path", "clause_number", "stage2_verdict", "stage2_rationale", F.when(went_on, F.coalesce(F.nullif("__r", F.lit("")), "resolving_clause_id")).otherwise(F.col("resolving_clause_id")).alias("resolving_clause_id"),
+        "flag_id", *[c for c in _OF_CLAUSE if c in flags.columns], "stage2_verdict", "stage2_rationale", F.when(went_on, F.coalesce(F.nullif("__r", F.lit("")), "resolving_clause_id")).otherwise(F.col("resolving_clause_id")).alias("resolving_clause_id"),
         critique.alias("critique_verdict"), F.coalesce(F.when(went_on, F.col("__f")), F.lit("")).alias("critique_refutation"), rated.alias("severity"), composite.cast("int").alias("composite_severity"),
         F.when(rated.isNotNull(), rules.severity_tier(composite)).otherwise("n/a").alias("severity_tier"), "ord",
     )
@@ -213,7 +219,9 @@ def report_rows(flags: DataFrame, found: DataFrame, rows: DataFrame) -> DataFram
 
 def questions(flags: DataFrame, rows: DataFrame) -> DataFrame:
     """Distinct questions of confirmed flags, the most severe first; a repeated one keeps its first place."""
-    asked = rows.filter("critique_verdict = 'CONFIRMED'").select("flag_id", "composite_severity", "severity_tier", F.col("ord").alias("place")).join(flags.select("flag_id", "clause_id", "section_path", "commitments"), "flag_id")
+    # a flag without a question has no row below
+    curious = flags.select("flag_id", "clause_id", "section_path", "commitments").filter(F.exists("commitments", lambda c: F.size(c["missing_info"]) > 0))
+    asked = rows.filter("critique_verdict = 'CONFIRMED'").select("flag_id", "composite_severity", "severity_tier", F.col("ord").alias("place")).join(curious, "flag_id")
     each = asked.select("*", F.posexplode("commitments").alias("c_ord", "c")).select("*", F.posexplode("c.missing_info").alias("q_ord", "question"))
     rank = F.struct(-F.col("composite_severity"), "place", "c_ord", "q_ord")
     first = each.withColumn("rank", rank).groupBy(F.lower(F.btrim("question")).alias("key")).agg(F.min_by(F.struct("clause_id", "section_path", "question", "composite_severity", "severity_tier"), "rank").alias("q"), F.min("rank").alias("rank"))

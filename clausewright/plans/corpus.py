@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clausewright.schemas import COMMITMENTS
+from clausewright.sources.staging import stage
 
+NUMBERED = """SELECT *, l_partkey % 50 AS k, CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey % 9 + 1 AS STRING) AS n,
+             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS o FROM {lineitem}"""
 CLAUSES = """
 SELECT 'ord_' || CAST(l_orderkey AS STRING) || '::' || lpad(CAST(o - 1 AS STRING), 5, '0') AS clause_id,
        'ord_' || CAST(l_orderkey AS STRING) AS doc_id, 'T' || CAST(l_orderkey % 7 AS STRING) AS tender_id,
@@ -25,9 +28,8 @@ SELECT 'ord_' || CAST(l_orderkey AS STRING) || '::' || lpad(CAST(o - 1 AS STRING
                              WHEN 4 THEN ' tested ' || CAST(k AS STRING) || ' times per week' WHEN 5 THEN ' for Rs. ' || CAST(k AS STRING) || ',500 and 2 years'
                              ELSE ' under Annexure-B and Schedule ' || CAST(k % 5 AS STRING) END
        || '.' || CASE WHEN l_linenumber = 1 THEN ' The Works ' || chr(CAST(65 + k % 20 AS INT)) || ' means the construction of item ' || CAST(k AS STRING) || ' by the party.' ELSE '' END AS text
-FROM (SELECT *, l_partkey % 50 AS k, CAST(l_linenumber AS STRING) || '.' || CAST(l_partkey % 9 + 1 AS STRING) AS n,
-             row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS o FROM {lineitem}) AS numbered
-"""
+FROM ({numbered}) AS numbered
+""".replace("{numbered}", NUMBERED)
 #: Each clause's reply: a commitment for its quantity, and a second one for every third part.
 COMMITTED = """
 SELECT clause_id, doc_id, tender_id, page, ord, clause_number, section, table_origin, text, k, l_suppkey,
@@ -47,9 +49,13 @@ FROM {orders}
 """
 
 
-def frame(spark: SparkSession, sql: str, sf_dir: str) -> DataFrame:
-    """A derived input; ``{name}`` in the SQL is a table of the folder."""
+def frame(spark: SparkSession, sql: str, sf_dir: str, often: bool = False) -> DataFrame:
+    """A derived input; ``{name}`` in the SQL is a table of the folder. ``often``: it is read several times,
+    so the line items are numbered once and the columns that clauses are made of staged; texts are made where they are read."""
     sql = sql.replace("{clauses}", CLAUSES)
+    if often:
+        numbered = frame(spark, NUMBERED, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "k", "n", "o")
+        return spark.sql(sql.replace(f"({NUMBERED})", "{numbered}"), numbered=stage(numbered, "query-numbered"))
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders") if f"{{{t}}}" in sql}
     return spark.sql(sql, **used)
 
@@ -62,12 +68,12 @@ def clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame(spark, CLAUSES, sf_dir).withColumn("section_path", F.array("section")).withColumn("char_count", F.length("text"))
 
 
-def committed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def committed(spark: SparkSession, sf_dir: str, often: bool = False) -> DataFrame:
     """Clauses with ``commitments``: one of the columns' fields, and for every third part a complete one behind it."""
     first = F.struct(F.concat(F.lit("place item "), F.col("k").cast("string")).alias("obligation"), "quantity", "method", "standard", F.array("question").alias("missing_info"))
     second = F.struct(F.lit("report weekly").alias("obligation"), F.lit("7 days").alias("quantity"), F.lit("form").alias("method"), F.lit("IS 1").alias("standard"), F.array().cast("array<string>").alias("missing_info"))
     both = F.when(F.col("k") % 3 == 0, F.array(first.cast(COMMITMENTS[6:-1]), second.cast(COMMITMENTS[6:-1]))).otherwise(F.array(first.cast(COMMITMENTS[6:-1])))
-    return frame(spark, COMMITTED, sf_dir).withColumn("section_path", F.array("section")).withColumn("char_count", F.length("text")).withColumn("commitments", both)
+    return frame(spark, COMMITTED, sf_dir, often).withColumn("section_path", F.array("section")).withColumn("char_count", F.length("text")).withColumn("commitments", both)
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
