@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import in_definitions
+from clausewright.functions.text import folded, in_definitions, joined
 
 _EDGE = " .,:;\"'`“”‘’"
 #: Term and definition are groups 1 and 2; the body ends before the first stop.
@@ -28,13 +28,22 @@ def _usable(d: Column) -> Column:
     return (term != "") & (F.length(body) >= 10) & (F.length(term) <= 80) & (F.length(term) - F.length(F.replace(term, F.lit(" "), F.lit(""))) <= 6)
 
 
+def _parted(p: str):
+    return lambda h: F.struct(clean_term(F.regexp_extract(h, p, 1)).alias("canonical_form"), clean_body(F.regexp_extract(h, p, 2)).alias("definition_text"))
+
+
 def candidates(clauses: DataFrame) -> DataFrame:
     """Usable definitions, in order of clause (``ord``), pattern and place (``hit``)."""
     found = []
     for p in PATTERNS:
-        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("t"), F.regexp_extract_all("text", F.lit(p), F.lit(2)).alias("b"))
-        found.append(F.transform(pairs, lambda h: F.struct(clean_term(h["t"]).alias("canonical_form"), clean_body(h["b"]).alias("definition_text"))))
-    rows = clauses.filter(F.col("text").rlike(r"(?iU)\b(?:mean|means|refers\s+to|is\s+defined\s+as)\b")).select("clause_id", "doc_id", "tender_id", "ord", F.posexplode(F.filter(F.concat(*found), _usable)).alias("hit", "d"))
+        # one search; a match starts and ends alike on its own, but for white space at its end, which is trimmed
+        matches = F.regexp_extract_all("text", F.lit(p), F.lit(0))
+        matches = F.when(F.col("text").contains("("), matches) if p.startswith(r"(?isU)\(") else matches
+        found.append(F.transform(matches, _parted(p)))
+    # plain searches first, for letters that have no other form than ``ſ``, and ``def`` for ``defined``
+    low = folded(F.col("text"))
+    may = clauses.filter(low.contains("mean") | low.contains("refers") | low.contains("def"))
+    rows = may.filter(F.col("text").rlike(r"(?iU)\b(?:mean|means|refers\s+to|is\s+defined\s+as)\b")).select("clause_id", "doc_id", "tender_id", "ord", F.posexplode(F.filter(joined(*found), _usable)).alias("hit", "d"))
     return rows.select("clause_id", "doc_id", "tender_id", "ord", "hit", "d.*")
 
 

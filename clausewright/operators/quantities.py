@@ -52,10 +52,12 @@ def normalise(value: Column, unit: Column, kind: Column, strict: bool = False) -
 #: Characters shown on either side of a quantity; what Unicode has as white space.
 REACH = 80
 _WHITE = re.compile(r"[^\S\x1c-\x1f]+")
-_FOUND = "array<struct<start: int, end: int, raw: string, kind: string, a: string, b: string, around: string>>"
+_FOUND = "array<struct<raw: string, kind: string, a: string, b: string, around: string>>"
 _BARE = [p.replace(IGNORE_CASE, "").replace(UNICODE, "") for p, *_ in PATTERNS]
 #: For any text, and for ASCII texts in lower case, which need no folding.
 _ANY, _LOW = [re.compile(p, re.I) for p in _BARE], [re.compile(p.lower(), re.A) for p in _BARE]
+#: Closer than the needles, for ASCII texts in lower case: what stands in every match of the pattern at this place (``place`` holds ``lac``, but behind no number).
+_CLOSER = {1: re.compile(r"[\d,]\s*(?:lakh|crore|cr|lac)", re.A), 7: re.compile(r"\d\s*(?:times?\s+)?(?:per|/)", re.A), 8: re.compile(r"\d\s*:", re.A)}
 
 
 def found_in(text: str) -> list[tuple[int, int, str, str, str, str, str]]:
@@ -65,13 +67,22 @@ def found_in(text: str) -> list[tuple[int, int, str, str, str, str, str]]:
     ascii_text = text.isascii()
     low = text.lower() if ascii_text else text
     printable = ascii_text and text.isprintable()
-    for pattern, (_, unit, kind), words in zip(_LOW if ascii_text else _ANY, PATTERNS, NEEDLES, strict=True):
-        if ascii_text and not any(w in low for w in words):
-            continue
+    for place, (pattern, (_, unit, kind), words) in enumerate(zip(_LOW if ascii_text else _ANY, PATTERNS, NEEDLES, strict=True)):
+        if ascii_text:
+            for w in words:
+                if w in low:
+                    break
+            else:
+                continue
+            if place in _CLOSER and not _CLOSER[place].search(low):
+                continue
         for m in pattern.finditer(low):
             start, end = m.span()
-            if all(end <= k[0] or start >= k[1] for k in kept):
-                near = text[max(start - REACH, 0) : end + REACH]
+            for k in kept:
+                if start < k[1] and k[0] < end:
+                    break
+            else:
+                near = text[start - REACH if start > REACH else 0 : end + REACH]
                 near = " ".join(near.split()) if printable else _WHITE.sub(" ", near).strip(" ")
                 named = text[m.start(unit) : m.end(unit)] if unit and m[unit] else ""
                 kept.append((start, end, text[start:end], kind, text[m.start(1) : m.end(1)], named, near))
@@ -79,14 +90,15 @@ def found_in(text: str) -> list[tuple[int, int, str, str, str, str, str]]:
 
 
 def _found(column: pa.Array) -> pa.Array:
-    names, types = ("start", "end", "raw", "kind", "a", "b", "around"), (pa.int32(), pa.int32(), *[pa.string()] * 5)
-    texts = [t or "" for t in column.to_pylist()]
-    rows = [found_in(t) for t in texts]
-    ends = [0]
-    for r in rows:
-        ends.append(ends[-1] + len(r))
-    flat = list(zip(*[h for r in rows for h in r], strict=True)) or [()] * len(names)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, types, strict=True)], names))
+    names = ("raw", "kind", "a", "b", "around")
+    held: tuple[list[str], ...] = tuple([] for _ in names)  # columns, so that no row outlives its text
+    add, ends = tuple(c.append for c in held), [0]
+    for text in column.to_pylist():
+        for _, _, *told in found_in(text or ""):
+            for put, value in zip(add, told):
+                put(value)
+        ends.append(len(held[0]))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in held], names))
 
 
 def extract(clauses: DataFrame, strict: bool = False) -> DataFrame:
