@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clausewright.functions import naming
-from clausewright.functions.text import splitlines, strip, word_count
+from clausewright.functions.text import ascii_only, joined, let, splitlines, strip, word_count
 from clausewright.sources.staging import stage
 
 _LINES = "(?dmU)"
@@ -81,16 +81,25 @@ def _shaped(k: int):
     return lambda h, i: F.struct(F.lit(k).alias("pattern"), i.alias("hit"), h["raw"].alias("raw"), h["number"].alias("number"), h["gap"].alias("gap"))
 
 
+def _found(text: Column, k: int, p: str) -> Column:
+    """Matches of a pattern with the lengths of the stretches before them; null without one, which most texts have of most patterns."""
+    def with_gaps(raw: Column) -> Column:
+        gaps = F.transform(F.split(text, p, -1), lambda s: F.length(s))
+        zipped = F.arrays_zip(raw.alias("raw"), F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("number"), F.slice(gaps, F.lit(1), F.size(raw)).alias("gap"))
+        return F.when(F.size(raw) > 0, F.transform(zipped, _shaped(k)))
+
+    return let(F.regexp_extract_all(text, F.lit(p), F.lit(0)), with_gaps)
+
+
 def hits(rows: DataFrame, keys: list[str], patterns: list[str]) -> DataFrame:
     """``keys, pattern, hit, start, raw, number`` of every match of each pattern in ``text``."""
-    found = []
-    for k, p in enumerate(patterns):
-        zipped = F.arrays_zip(F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("raw"), F.regexp_extract_all("text", F.lit(p), F.lit(1)).alias("number"), F.split("text", p, -1).alias("gap"))
-        found.append(F.transform(zipped, _shaped(k)))
-    exploded = rows.select(*keys, F.explode(F.flatten(F.array(*found))).alias("h")).select(*keys, "h.*")
+    text = F.col("text")
+    of = lambda ps: joined(*[_found(text, k, p) for k, p in enumerate(ps)])
+    # plain classes match the same in ASCII texts
+    found = F.when(ascii_only(text), of([p.replace("U)", ")", 1) for p in patterns])).otherwise(of(patterns))
+    exploded = rows.select(*keys, F.explode(found).alias("h")).select(*keys, "h.*")
     so_far = Window.partitionBy(*keys, "pattern").orderBy("hit")
-    placed = exploded.withColumn("start", (F.sum(F.length("gap") + F.coalesce(F.length("raw"), F.lit(0))).over(so_far) - F.length("raw")).cast("int"))
-    return placed.filter("raw is not null").drop("gap")
+    return exploded.withColumn("start", (F.sum(F.col("gap") + F.length("raw")).over(so_far) - F.length("raw")).cast("int")).drop("gap")
 
 
 def sections(docs: DataFrame) -> DataFrame:
@@ -155,6 +164,7 @@ def clauses(pages: DataFrame, min_chars: int = 30) -> DataFrame:
     names = F.array(*[F.lit(label) for _, label in SECTIONS])
     inside = Window.partitionBy(*key).orderBy("start", "pattern", "hit")
     marked = found.select(*key, F.concat(names[F.col("pattern")], F.lit(" "), "number").alias("label"), "start", F.row_number().over(inside).alias("section"))
+    marked = stage(marked, "segment-headings")  # read three times, as are the numbers below; without texts
     size = runs.select(*key, F.length("text").alias("size"))
     firsts = size.join(marked.filter("section = 1").select(*key, F.col("start").alias("first")), key, "left")
     opening = firsts.filter("first is null or first > 0").select(*key, F.lit(None).cast("string").alias("label"), F.lit(0).alias("start"), F.lit(0).alias("section"))
@@ -166,6 +176,7 @@ def clauses(pages: DataFrame, min_chars: int = 30) -> DataFrame:
     numbers = hits(parts.select(*part, "text"), part, CLAUSES)
     longest = Window.partitionBy(*part, "start").orderBy(F.length("raw").desc(), "pattern")
     numbered = numbers.withColumn("__n", F.row_number().over(longest)).filter("__n = 1").select(*part, F.col("start").alias("from"), strip(F.col("number")).alias("clause_number"))
+    numbered = stage(numbered, "segment-numbers")
     # what precedes the first number, or all of a part without numbers
     heads = parts.select(*part).join(numbered.groupBy(*part).agg(F.min("from").alias("first")), part, "left").filter("first is null or first > 0").select(*part, F.lit(0).alias("from"), F.lit(None).cast("string").alias("clause_number"), F.lit(True).alias("head"))
     following = Window.partitionBy(*part).orderBy("from")
