@@ -2,9 +2,8 @@
 
 Texts are cut into overlapping passages of PASSAGE words, TF-IDF vectors over
 hashed words with the frequencies of all words of the corpus. A randomised SVD,
-whose products with the passages are summed over partitions, gives a latent basis of a
-bounded sample of the corpus, over the items' words and those that stand with them in
-its passages. An item's vector is its own with LATENT of its projection on that basis,
+whose products with all passages of the corpus are summed over partitions, gives a latent
+basis over the items' words and those that stand with them in its passages. An item's vector is its own with LATENT of its projection on that basis,
 so a passage may come near to an item by words that the item lacks. Every passage of every text is
 compared with every item by cosine, and if an item is longer than a passage also
 with each passage of the item. Items of less than WHOLE words are also sought in
@@ -38,8 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stage import stage
-from .tokens import blocks, mix, word_hashes
+from .stage import drop_stage, stage
+from .tokens import blocks, word_hashes
 
 PASSAGE, STRIDE = 32, 16
 #: Hashed words, probes of a block, latent dimensions, blocks of a round.
@@ -54,13 +53,12 @@ LATENT = 0.5
 COSINE, LCS_ALONE, LCS, ANSWER = 0.25, 0.8, 0.6, 0.4
 #: Words that an item's end needs to serve as its answer.
 ANSWER_WORDS = 8
-#: The basis is fitted on so many documents at most and so many passages of each.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 500, 64
+#: Words, and passages, that a task of the fit works on at once.
+FIT_WORDS, FIT_PASSAGES = 1 << 17, 8192
 #: Below so many words an item must be found whole.
 SHORT = 8
 #: Shorter items are sought in passages of fitting width as well.
 WHOLE = 9
-_POWER = 2
 _SENTENCE, _CLAUSE = (re.compile(rf"[^{c}\n]*[^{c}\s][{c}\n\s]*$") for c in (".!?", ".!?,;:"))
 
 
@@ -91,9 +89,12 @@ class Block:
     owner: np.ndarray | None = None
     #: The most that a word adds to any probe of a group, for few and for more groups; the last row is of unknown words.
     bounds: list[np.ndarray] = field(init=False)
+    #: The same for every probe.
+    high: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
         high, n = np.maximum(self.folded, 0), self.folded.shape[1]
+        self.high = np.vstack([high, np.zeros((1, n))]).astype(np.float32)
         parts = [np.array_split(np.arange(n), min(g, n)) for g in GROUPS]
         self.bounds = [np.vstack([np.stack([high[:, k].max(1) for k in cols], 1), np.zeros((1, len(cols)))]).astype(np.float32) for cols in parts]
 
@@ -130,57 +131,95 @@ def _counted(bucket: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndar
     return pairs >> BITS, pairs & ((1 << BITS) - 1), n
 
 
-def _spread(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = end - start
-    return np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size), np.repeat(np.arange(len(start)), size)
+def corpus_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The hashed words of every text, one row each: all that the weights and the basis are fitted on."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in blocks(batch.column(0)):
+                hashes, counts = word_hashes(texts)
+                held = np.split(_bucket(hashes).astype(np.uint32), np.cumsum(counts)[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in held], pa.binary())], ["words"])
 
-def word_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "words binary")
+
+
+def _sample(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """All texts' words; the name is of the time when they were those of some documents."""
+    return corpus_words(docs, text_col)
+
+
+def _weights(words: DataFrame) -> np.ndarray:
     """Inverse frequencies of the hashed words over all texts; a table of fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            for _, texts in blocks(batch.column(0)):
-                total += np.bincount(_bucket(word_hashes(texts)[0]), minlength=1 << BITS)
+            for bucket, _ in _gathered(batch.column(0)):
+                total += np.bincount(bucket, minlength=1 << BITS)
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = words.mapInArrow(run, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(1 << BITS)
     n[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return np.log1p(max(1.0, n.sum()) / (n + 1)).astype(np.float64)
 
 
-def _sample(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    ids = src.filter("id is not null").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS)  # so few that they are broadcast
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, texts in blocks(batch.column(0)):
-                hashes, counts = word_hashes(texts)
-                text, start, end = passages(counts)
-                # from anywhere in a text, by hash
-                order = np.lexsort((mix(hashes[start] + np.arange(len(start), dtype=np.uint64)), text))
-                keep = order[np.arange(len(text)) - np.searchsorted(text, text) < SAMPLE_PASSAGES]
-                yield pa.RecordBatch.from_arrays([pa.array([hashes[s:e].tobytes() for s, e in zip(start[keep], end[keep], strict=True)], pa.binary())], ["words"])
-
-    return src.join(F.broadcast(ids), "id").select("text").mapInArrow(run, "words binary")
+def word_weights(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    return _weights(corpus_words(docs, text_col))
+
+
+def _gathered(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of the words of consecutive texts, about FIT_WORDS at a time, and the texts' numbers of words."""
+    held, size = [], 0
+    for k, text in enumerate(column, 1):
+        held.append(np.frombuffer(text.as_buffer(), np.uint32))
+        size += len(held[-1])
+        if size and (size >= FIT_WORDS or k == len(column)):
+            yield np.concatenate(held), np.array([len(h) for h in held])
+            held, size = [], 0
+
+
+def _halves(start: np.ndarray, end: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the first half of each of these consecutive passages, whose second half is the next one, and first word and end of the halves."""
+    last = np.append(start[1:] >= end[:-1], np.ones(min(1, len(start)), bool))
+    half = np.arange(len(start)) + np.cumsum(last) - last
+    begin, stop = np.empty((2, len(start) + last.sum()), np.int64)
+    begin[half], stop[half] = start, np.minimum(start + stride, end)
+    begin[half[last] + 1], stop[half[last] + 1] = stop[half[last]], end[last]
+    return half, begin, stop
+
+
+def _half_sums(table: np.ndarray, row: np.ndarray, begin: np.ndarray, stop: np.ndarray, stride: int) -> np.ndarray:
+    """Sums of the table's rows over the words of each half; the last of ``row`` is that of no word, whose row is zero."""
+    out = np.zeros((len(begin), table.shape[1]), table.dtype)
+    for k in range(stride):
+        out += table[row[np.where(begin + k < stop, begin + k, len(row) - 1)]]
+    return out
 
 
-def _product(row: np.ndarray, idf: np.ndarray, weight: float, x: np.ndarray):
-    """Sums A'(AX) of a partition's passages, by slices of rows that are added up apart."""
+def _runs(bucket: np.ndarray, start: np.ndarray, end: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each passage in order, filled up with 1 << BITS, and where each distinct one begins in them, with its count."""
+    at = start[:, None] + np.arange(width)
+    words = np.where(at < end[:, None], bucket[np.minimum(at, len(bucket) - 1)], 1 << BITS).astype(np.int32)
+    words.sort(axis=1)
+    flat = words.ravel()
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[1:] != flat[:-1]
+    new[::width] = True
+    at = np.nonzero(new)[0]
+    return words, at, np.diff(np.append(at, len(flat)))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(x)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                held = [np.frombuffer(w.as_py(), np.uint64) for w in batch.column(0).slice(k, 512)]
-                total += _outer(held, row, idf, x) * weight
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "sums"])
 
-    return run
+def _repeated(bucket: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passage, bucket and count of the words that a passage holds several times."""
+    words, at, n = _runs(bucket, start, end, PASSAGE)
+    many = n > 1
+    at, n = at[many], n[many]
+    b = words.ravel()[at]
+    own = b < 1 << BITS
+    return at[own] // PASSAGE, b[own], n[own]
 
 
 def _sparse(held: list[np.ndarray], row: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -194,26 +233,80 @@ def _sparse(held: list[np.ndarray], row: np.ndarray, idf: np.ndarray) -> tuple[n
     return g[ok], row[b[ok]], w[ok] / norm[g[ok]]
 
 
-def _sums(into: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
-    """Add rows to the rows of ``into`` at these places, which may repeat."""
-    if len(at):
+def _sums(into: np.ndarray, at: np.ndarray, rows: np.ndarray, of: np.ndarray) -> None:
+    """Add the rows with the numbers ``of`` to the rows of ``into`` at these places; both may repeat."""
+    if into.shape[1] <= 16:
+        for k in range(into.shape[1]):
+            into[:, k] += np.bincount(at, rows[of, k], len(into))
+    elif len(at):
+        at = at.astype(np.min_scalar_type(len(into)))
         order = np.argsort(at, kind="stable")
-        first = np.nonzero(np.diff(at[order], prepend=-1))[0]
-        into[at[order][first]] += np.add.reduceat(rows[order], first, axis=0)
+        at = at[order]
+        first = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
+        into[at[first]] += np.add.reduceat(rows[of[order]], first, axis=0)
 
 
-def _outer(held: list[np.ndarray], row: np.ndarray, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """A'(AX) of these passages."""
-    g, col, w = _sparse(held, row, idf)
-    ax, out = np.zeros((len(held), x.shape[1])), np.zeros_like(x)
-    _sums(ax, g, x[col] * w[:, None])
-    _sums(out, col, ax[g] * w[:, None])
-    return out
+def _outer(totals: list[np.ndarray], tables: list[tuple[np.ndarray, np.ndarray]], bucket: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> None:
+    """Add A'(AX) of the passages of these texts to the totals; a table is X, its rows by bucket (-1: none) before it.
 
+    Passages overlap by halves, so sums are made by half; words that a passage repeats are set right apart.
+    """
+    square = np.concatenate(([0], np.cumsum(idf[bucket] ** 2)))
+    _, start, end = passages(counts)
+    for k in range(0, len(start), FIT_PASSAGES):
+        s, e = start[k : k + FIT_PASSAGES], end[k : k + FIT_PASSAGES]
+        low, own = s[0], bucket[s[0] : e[-1]]
+        half, begin, stop = _halves(s - low, e - low, STRIDE)
+        g, b, n = _repeated(own, s - low, e - low)
+        more, inside = idf[b] * (np.sqrt(n) - n), np.repeat(np.arange(len(begin)), stop - begin)
+        norm = (square[e] - square[s])[:, None].astype(np.float32)
+        for total, (row, x) in zip(totals, tables, strict=True):
+            at, known = np.append(row[own], -1), row[b] >= 0
+            col, part, of = row[b[known]], more[known][:, None].astype(np.float32), g[known]
+            sums = _half_sums(x, at, begin, stop, STRIDE)
+            ax = sums[half] + sums[half + 1]
+            if len(of):
+                first = np.nonzero(np.diff(of, prepend=-1))[0]
+                extra = x[col]
+                extra *= part / idf[b[known]][:, None].astype(np.float32)
+                ax[of[first]] += np.add.reduceat(extra, first, axis=0)
+            ax /= norm
+            sums[:] = 0
+            sums[half] = ax
+            sums[half + 1] += ax
+            ok, out = at[:-1] >= 0, np.zeros(total.shape)
+            _sums(out, at[:-1][ok], sums, inside[ok])
+            total += out * idf[row >= 0][:, None]
+            extra = ax[of]
+            extra *= part
+            _sums(total, col, extra, np.arange(len(of)))
+
+
+def _products(words: DataFrame, idf: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """A'(AX) over all passages of the corpus for each table of ``_outer``, summed over partitions."""
+    tables = [(row, np.vstack([x * idf[row >= 0][:, None], np.zeros((1, x.shape[1]))]).astype(np.float32)) for row, x in tables]
 
-def _added(rows: pa.Table) -> pa.Table:
-    sums = rows.column("sums").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1).sum(0)
-    return pa.table({"i": rows.column("i").slice(0, 1), "sums": pa.array([sums])})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = [np.zeros((len(x) - 1, x.shape[1])) for _, x in tables]
+        for batch in batches:
+            for bucket, counts in _gathered(batch.column(0)):
+                _outer(totals, tables, bucket.astype(np.int64), counts, idf)
+        for k, total in enumerate(totals):
+            at = np.nonzero(total.any(1))[0]
+            for some in np.array_split(at, -(-len(at) // 8192)) if len(at) else []:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)), pa.array(list(total[some]), pa.list_(pa.float64()))], ["k", "i", "sums"])
+
+    most = max(x.shape[1] for _, x in tables)
+    added = words.mapInArrow(run, "k int, i int, sums array<double>").groupBy("k", "i").agg(*[F.sum(F.get("sums", F.lit(c))).alias(f"c{c}") for c in range(most)]).toArrow()
+    k, i = added.column("k").to_numpy(), added.column("i").to_numpy()
+    out = []
+    for n, (_, x) in enumerate(tables):
+        y = np.zeros((len(x) - 1, x.shape[1]))
+        mine = k == n
+        for c in range(x.shape[1]):
+            y[i[mine], c] = added.column(f"c{c}").to_numpy()[mine]
+        out.append(y)
+    return out
 
 
 def probes(items: list[Item]) -> list[tuple[Item, np.ndarray, int]]:
@@ -237,53 +330,61 @@ def probe_blocks(items: list[Item]) -> Iterator[list[tuple[Item, np.ndarray, int
         yield from (held[k : k + BLOCK_ITEMS] for k in range(0, len(held), BLOCK_ITEMS))
 
 
-def fit_probes(found: list[tuple[Item, np.ndarray, int]], sample: DataFrame, sample_rows: int, idf: np.ndarray) -> Block:
-    block = fit_block([Item(i.item_id, words, i.answer) for i, words, _ in found], sample, sample_rows, idf)
-    own = {item.number: item for item, *_ in found}
-    place = {number: k for k, number in enumerate(own)}
-    return Block(list(own.values()), block.row, block.folded, block.reach, found[0][2], np.array([place[i.number] for i, *_ in found]))
-
-
-def _neighbours(known: np.ndarray, sample: DataFrame, idf: np.ndarray) -> np.ndarray:
-    """Words that stand with known ones in the sample's passages, those with the largest sums of products of weights."""
-    mine = np.zeros(1 << BITS, bool)
-    mine[known] = True
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BITS)
-        for batch in batches:
-            held = [np.frombuffer(w.as_py(), np.uint64) for w in batch.column(0)]
-            g, b, w = _sparse(held, np.arange(1 << BITS, dtype=np.int32), idf)
-            near = np.bincount(g, w * mine[b], len(held))
-            total += np.bincount(b, w * near[g] * ~mine[b], 1 << BITS)
-        at = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "weight"])
-
-    sums = sample.mapInArrow(run, "bucket int, weight double").groupBy("bucket").agg(F.sum("weight").alias("weight"))
-    rows = sums.orderBy(F.round("weight", 9).desc(), "bucket").limit(NEIGHBOURS).toArrow()
-    return rows.column("bucket").to_numpy().astype(np.int64)
+def fit_probes(found: list[list[tuple[Item, np.ndarray, int]]], words: DataFrame, n_texts: int, idf: np.ndarray) -> list[Block]:
+    """The blocks of these lists of probes, fitted together."""
+    fitted, out = fit_blocks([[Item(i.item_id, w, i.answer) for i, w, _ in some] for some in found], words, n_texts, idf), []
+    for some, block in zip(found, fitted, strict=True):
+        own = {item.number: item for item, *_ in some}
+        place = {number: k for k, number in enumerate(own)}
+        out.append(Block(list(own.values()), block.row, block.folded, block.reach, some[0][2], np.array([place[i.number] for i, *_ in some])))
+    return out
 
 
-def fit_block(items: list[Item], sample: DataFrame, sample_rows: int, idf: np.ndarray) -> Block:
-    """Basis by randomised subspace iteration: each product with the passages is one distributed sum."""
-    known = np.unique(np.concatenate([_bucket(i.words) for i in items]))
-    known = np.unique(np.concatenate((known, _neighbours(known, sample, idf))))
+def _rows_of(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These distinct buckets, and the rows by bucket of tables about them."""
     row = np.full(1 << BITS, -1, np.int32)
-    row[known] = np.arange(len(known))
+    row[buckets] = np.arange(len(buckets))
+    return buckets, row
+
+
+def fit_block(items: list[Item], words: DataFrame, n_texts: int, idf: np.ndarray) -> Block:
+    return fit_blocks([items], words, n_texts, idf)[0]
+
+
+def fit_blocks(found: list[list[Item]], words: DataFrame, n_texts: int, idf: np.ndarray) -> list[Block]:
+    """One basis for all these blocks by a randomised SVD, whose products are distributed sums over all passages of the
+    corpus: one finds each block's neighbours (words with the largest sums of products of weights with the items'), one
+    takes random mixtures of the items to y; the basis has the leading eigenvectors of y (x'y)^-1 y'."""
+    known = [np.unique(np.concatenate([_bucket(i.words) for i in items])) for items in found]
+    mine = np.zeros((1 << BITS, len(found)))
+    for n, k in enumerate(known):
+        mine[k, n] = 1
+    near = _products(words, idf, [(np.arange(1 << BITS, dtype=np.int32), mine)])[0]
+    for n, k in enumerate(known):
+        gain = np.round(near[:, n] * (mine[:, n] == 0), 9)
+        order = np.lexsort((np.arange(1 << BITS), -gain))[:NEIGHBOURS]
+        known[n] = np.unique(np.concatenate((k, order[gain[order] > 0])))
+    wide, row = _rows_of(np.unique(np.concatenate(known)))
+    at, col, w = _sparse([i.words for items in found for i in items], row, idf)
+    mixed = np.random.default_rng(1).normal(size=(at[-1] + 1, min(len(wide), LATENT_DIMS)))
+    begun = np.zeros((len(wide), mixed.shape[1]))
+    np.add.at(begun, col, mixed[at] * w[:, None])
+    if np.linalg.matrix_rank(begun) < begun.shape[1]:  # fewer items than dimensions
+        begun += np.random.default_rng(2).normal(0, 0.01, begun.shape)
+    begun = np.linalg.qr(begun)[0]
+    y = _products(words, idf, [(row, begun)])[0] / max(1, n_texts)
+    values, turn = np.linalg.eigh((begun.T @ y + y.T @ begun) / 2)
+    ok = values > max(1e-9, 1e-9 * values.max(initial=0))
+    basis, size, _ = np.linalg.svd((y @ turn[:, ok]) / np.sqrt(values[ok]), full_matrices=False)
+    basis = basis[:, size**2 > 1e-9]
+    return [_folded(items, k, basis[np.searchsorted(wide, k)], idf) for items, k in zip(found, known, strict=True)]
+
+
+def _folded(items: list[Item], known: np.ndarray, basis: np.ndarray, idf: np.ndarray) -> Block:
+    _, row = _rows_of(known)
     own = np.zeros((len(items), len(known)))
     at, col, w = _sparse([i.words for i in items], row, idf)
     own[at, col] = w
-    x = np.linalg.qr(np.random.default_rng(1).normal(size=(len(known), min(len(known), LATENT_DIMS))))[0]
-    weight = 1 / max(1, sample_rows)
-    for step in range(_POWER + 1):
-        rows = sample.mapInArrow(_product(row, idf, weight, x), "i int, sums array<double>").groupBy("i").applyInArrow(_added, "i int, sums array<double>").toArrow()
-        y = np.zeros_like(x)
-        if rows.num_rows:
-            y[rows.column("i").to_numpy()] += rows.column("sums").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
-        if step < _POWER and y.any():
-            x = np.linalg.qr(y)[0]
-    values, turn = np.linalg.eigh((x.T @ y + y.T @ x) / 2)
-    basis = (x @ turn)[:, values > 1e-9]
     latent = own + LATENT * (own @ basis) @ basis.T
     latent /= np.maximum(np.sqrt((latent**2).sum(1)), 1e-12)[:, None]
     reach = np.zeros(1 << BITS)
@@ -294,38 +395,39 @@ def fit_block(items: list[Item], sample: DataFrame, sample_rows: int, idf: np.nd
 
 def candidates(block: Block, bucket: np.ndarray, start: np.ndarray, end: np.ndarray, idf: np.ndarray, square: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Passages, probes and cosines at ``least`` or more. ``square``: running sums of squared weights."""
-    norm, row = np.sqrt(square[end] - square[start]), block.row[bucket]
-    few, more = block.bounds
+    norm, row = np.sqrt(square[end] - square[start]), np.append(block.row[bucket], np.int32(-1))
     # three bounds, each dearer and closer than the one before; a factor for rounding
     most = np.concatenate(([0], np.cumsum(block.reach[bucket])))
     may = np.nonzero((most[end] - most[start]) * (1 + 1e-5) >= least * norm)[0]
     if len(may):
-        sums = np.zeros((len(bucket) + 1, few.shape[1]))
-        for g in range(few.shape[1]):  # column by column, so no second table of this size is made
-            np.cumsum(few[:, g][row], dtype=np.float64, out=sums[1:, g])
-        may = may[(sums[end[may]] - sums[start[may]]).max(1) * (1 + 1e-5) >= least * norm[may]]
+        stride = block.width * STRIDE // PASSAGE
+        half, begin, stop = _halves(start, end, stride)
+        for bound in block.bounds:  # sums by half passage, of the halves in question
+            use = np.zeros(len(begin), bool)
+            use[half[may]] = use[half[may] + 1] = True
+            place = np.cumsum(use) - 1
+            sums = _half_sums(bound, row, begin[use], stop[use], stride)
+            may = may[(sums[place[half[may]]] + sums[place[half[may] + 1]]).max(1) * (1 + 1e-5) >= least * norm[may]]
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    known = np.append(block.row, np.int32(-1))
     for k in range(0, len(may), 2048):
         some = may[k : k + 2048]
-        at, group = _spread(start[some], end[some])
-        sums = np.add.reduceat(more[row[at]], np.nonzero(np.diff(group, prepend=-1))[0], axis=0)
-        some = some[sums.max(1) * (1 + 1e-5) >= least * norm[some]]
-        if not len(some):
-            continue
-        at, group = _spread(start[some], end[some])
-        inside = block.row[bucket[at]] >= 0
-        g, b, n = _counted(bucket[at[inside]], group[inside])
-        if not len(g):
+        use = np.zeros(len(begin), bool)
+        use[half[some]] = use[half[some] + 1] = True
+        place = np.cumsum(use) - 1
+        sums = _half_sums(block.high, row, begin[use], stop[use], stride)
+        p, i = np.nonzero((sums[place[half[some]]] + sums[place[half[some] + 1]]) * (1 + 1e-5) >= least * norm[some, None])
+        if not len(p):
             continue
-        first = np.nonzero(np.diff(g, prepend=-1))[0]
-        rows = block.folded[block.row[b]]
-        several = np.nonzero(n > 1)[0]
-        rows[several] *= np.sqrt(n[several])[:, None].astype(np.float32)
-        cos = np.zeros((len(some), block.folded.shape[1]), np.float32)
-        cos[g[first]] = np.add.reduceat(rows, first, axis=0)
-        cos /= np.sqrt(np.maximum(square[end[some]] - square[start[some]], 1e-12))[:, None].astype(np.float32)
-        p, i = np.nonzero(cos >= least)
-        found.append((some[p], i, cos[p, i].astype(float)))
+        some, p = np.unique(some[p], return_inverse=True)
+        words, at, n = _runs(bucket, start[some], end[some], block.width)
+        tf = np.zeros(words.shape, np.float32)
+        tf.ravel()[at] = np.sqrt(n)
+        at = known[words]
+        tf[at < 0] = 0
+        cos = (block.folded[at[p], i[:, None]] * tf[p]).sum(1) / np.sqrt(np.maximum(square[end[some]] - square[start[some]], 1e-12))[p].astype(np.float32)
+        ok = cos >= least
+        found.append((some[p[ok]], i[ok], cos[ok].astype(float)))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -425,13 +527,13 @@ def _rounds(src: DataFrame, benchmark: DataFrame, item_col: str, item_text_col:
     if not held[0]:
         return
     rounds = -(-int(held[1]) // (BLOCK_ITEMS * ROUND_BLOCKS))
-    idf = word_weights(src)
-    sample = stage(_sample(src, "id", "text").coalesce(8), "decontaminate-sample")  # a few thousand passages
-    sample_rows = sample.count()
+    words = stage(corpus_words(src), "decontaminate-words")
+    idf, n_texts = _weights(words), words.count()
     for r in range(rounds):  # BLOCK_ITEMS * ROUND_BLOCKS probes a round on average
         rows = wanted.filter(F.pmod(F.xxhash64("item_id"), F.lit(rounds)) == r).orderBy("item_id", "text").collect()
         items = _items(rows, answer_col is not None)
-        yield [fit_probes(some, sample, sample_rows, idf) for some in probe_blocks(items)], idf
+        yield fit_probes(list(probe_blocks(items)), words, n_texts, idf), idf
+    drop_stage(words)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", answer_col: str | None = None, least: float = COSINE) -> DataFrame:
