@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import folded, in_definitions, joined
+from clausewright.functions.text import in_definitions, joined
 
 _EDGE = " .,:;\"'`“”‘’"
 #: Term and definition are groups 1 and 2; the body ends before the first stop.
@@ -32,22 +32,30 @@ def _parted(p: str):
     return lambda h: F.struct(clean_term(F.regexp_extract(h, p, 1)).alias("canonical_form"), clean_body(F.regexp_extract(h, p, 2)).alias("definition_text"))
 
 
-def candidates(clauses: DataFrame) -> DataFrame:
-    """Usable definitions, in order of clause (``ord``), pattern and place (``hit``)."""
+def sought(text: Column) -> Column:
+    """``array<struct<canonical_form, definition_text>>`` of a text's usable definitions, in order of pattern and place; costly, so only for texts that are :func:`announced`."""
     found = []
     for p in PATTERNS:
         # one search; a match starts and ends alike on its own, but for white space at its end, which is trimmed
-        matches = F.regexp_extract_all("text", F.lit(p), F.lit(0))
-        matches = F.when(F.col("text").contains("("), matches) if p.startswith(r"(?isU)\(") else matches
+        matches = F.regexp_extract_all(text, F.lit(p), F.lit(0))
+        matches = F.when(text.contains("("), matches) if p.startswith(r"(?isU)\(") else matches
         found.append(F.transform(matches, _parted(p)))
-    # plain searches first, for letters that have no other form than ``ſ``, and ``def`` for ``defined``
-    low = folded(F.col("text"))
-    may = clauses.filter(low.contains("mean") | low.contains("refers") | low.contains("def"))
-    rows = may.filter(F.col("text").rlike(r"(?iU)\b(?:mean|means|refers\s+to|is\s+defined\s+as)\b")).select("clause_id", "doc_id", "tender_id", "ord", F.posexplode(F.filter(joined(*found), _usable)).alias("hit", "d"))
+    return F.filter(joined(*found), _usable)
+
+
+def announced(text: Column) -> Column:
+    """Whether a definition's words stand in the text. Plain searches first, for letters that have no other form, so that lower case is all they need."""
+    low = F.lower(text)
+    return (low.contains("mean") | low.contains("refer") | low.contains("def")) & text.rlike(r"(?iU)\b(?:mean|means|refers\s+to|is\s+defined\s+as)\b")
+
+
+def candidates(clauses: DataFrame) -> DataFrame:
+    """Usable definitions, in order of clause (``ord``), pattern and place (``hit``)."""
+    rows = clauses.filter(announced(F.col("text"))).select("clause_id", "doc_id", "tender_id", "ord", F.posexplode(sought(F.col("text"))).alias("hit", "d"))
     return rows.select("clause_id", "doc_id", "tender_id", "ord", "hit", "d.*")
 
 
-def _first(rows: DataFrame) -> DataFrame:
+def first(rows: DataFrame) -> DataFrame:
     """The first definition of a term (whatever its case) in a document."""
     key = Window.partitionBy("doc_id", F.lower("canonical_form")).orderBy("pass", "ord", "hit")
     return rows.withColumn("__n", F.row_number().over(key)).filter("__n = 1").drop("__n")
@@ -61,8 +69,7 @@ def extract(clauses: DataFrame, replies: DataFrame | None = None) -> DataFrame:
         place = Window.partitionBy("clause_id").orderBy("canonical_form", "definition_text")
         told = replies.join(clauses.select("clause_id", "doc_id", "tender_id", "ord"), "clause_id").withColumn("hit", F.row_number().over(place))
         rows = rows.unionByName(told.select("clause_id", "doc_id", "tender_id", "ord", "hit", "canonical_form", "definition_text", F.lit(2).alias("pass"), F.lit("llm").alias("extraction_method"), F.lit(0.7).alias("confidence")))
-    first = _first(rows)
-    return first.select("canonical_form", "definition_text", F.col("clause_id").alias("defined_in_clause"), "doc_id", "tender_id", "extraction_method", "confidence")
+    return first(rows).select("canonical_form", "definition_text", F.col("clause_id").alias("defined_in_clause"), "doc_id", "tender_id", "extraction_method", "confidence")
 
 
 def fallback_candidates(clauses: DataFrame, found: DataFrame, sections_only: bool = True) -> DataFrame:

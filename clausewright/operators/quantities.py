@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -56,37 +57,69 @@ _FOUND = "array<struct<raw: string, kind: string, a: string, b: string, around:
 _BARE = [p.replace(IGNORE_CASE, "").replace(UNICODE, "") for p, *_ in PATTERNS]
 #: For any text, and for ASCII texts in lower case, which need no folding.
 _ANY, _LOW = [re.compile(p, re.I) for p in _BARE], [re.compile(p.lower(), re.A) for p in _BARE]
-#: Closer than the needles, for ASCII texts in lower case: what stands in every match of the pattern at this place (``place`` holds ``lac``, but behind no number).
-_CLOSER = {1: re.compile(r"[\d,]\s*(?:lakh|crore|cr|lac)", re.A), 7: re.compile(r"\d\s*(?:times?\s+)?(?:per|/)", re.A), 8: re.compile(r"\d\s*:", re.A)}
+#: In ASCII texts, patterns that begin with a number are tried only where one stands before the first letters of what they have behind it.
+_AFTER = {"la": (1,), "cr": (1,), "%": (4,), "pe": (4, 7), "da": (5,), "wk": (5,), "we": (5,), "mo": (5,), "mi": (5,), "yr": (5,), "ye": (5,), "ho": (5,), "hr": (5,), "mm": (6,), "m": (6,), "cm": (6,), "ft": (6,), "in": (6,), "ti": (7,), "/": (7,), ":": (8,)}
+_RUN = re.compile(r"([0-9.,]++)\s*+([lcpdwmyhfit][a-z]?|[%/:])", re.A)
+_TRIED = {begins: [(place, _LOW[place].match) for place in places] for begins, places in _AFTER.items()}
+_SOUGHT = [(place, NEEDLES[place], _LOW[place].finditer) for place in (0, 2, 3)]
+_VALUE = re.compile(r"[0-9]+\.?[0-9]*|\.[0-9]+")
+
+
+def is_number(value: str) -> bool:
+    """Whether :func:`number` has a value for a match's first group."""
+    return value.isascii() and (value.isdigit() or _VALUE.fullmatch(value.replace(",", "")) is not None)
+
+
+def _in_ascii(low: str) -> list[tuple[int, re.Match[str]]]:
+    """What ``finditer`` has of all patterns, by place: a number's end is the end of its whole run, as no unit begins with a character of numbers."""
+    hits: list[tuple[int, re.Match[str]]] = []
+    for place, words, matches in _SOUGHT:
+        for w in words:
+            if w in low:
+                hits += [(place, m) for m in matches(low)]
+                break
+    reached: dict[int, int] = {}
+    for run in _RUN.finditer(low):
+        begin, end = run.span(1)
+        for place, match in _TRIED.get(run[2], ()):
+            at = reached.get(place, 0)
+            at = at if at > begin else begin
+            while at < end:
+                m = match(low, at)
+                if m:
+                    hits.append((place, m))
+                    reached[place] = m.end()
+                    break
+                at += 1
+    hits.sort(key=itemgetter(0))
+    return hits
+
+
+def spans_in(text: str) -> list[tuple[int, int, int, re.Match[str]]]:
+    """Start, end, place of the pattern and match of what stays of all patterns' matches, in order of pattern and place.
+    Earlier matches reserve their span, even those that turn out not to be numbers."""
+    kept: list[tuple[int, int, int, re.Match[str]]] = []
+    for place, m in _in_ascii(text.lower()) if text.isascii() else [(place, m) for place, p in enumerate(_ANY) for m in p.finditer(text)]:
+        start, end = m.span()
+        for k in kept:
+            if start < k[1] and k[0] < end:
+                break
+        else:
+            kept.append((start, end, place, m))
+    return kept
 
 
 def found_in(text: str) -> list[tuple[int, int, str, str, str, str, str]]:
-    """Start, end, match, kind, value, unit and surroundings of the matches of all patterns, in order of pattern
-    and place. Earlier matches reserve their span, even those that turn out not to be numbers."""
-    kept: list[tuple[int, int, str, str, str, str, str]] = []
-    ascii_text = text.isascii()
-    low = text.lower() if ascii_text else text
-    printable = ascii_text and text.isprintable()
-    for place, (pattern, (_, unit, kind), words) in enumerate(zip(_LOW if ascii_text else _ANY, PATTERNS, NEEDLES, strict=True)):
-        if ascii_text:
-            for w in words:
-                if w in low:
-                    break
-            else:
-                continue
-            if place in _CLOSER and not _CLOSER[place].search(low):
-                continue
-        for m in pattern.finditer(low):
-            start, end = m.span()
-            for k in kept:
-                if start < k[1] and k[0] < end:
-                    break
-            else:
-                near = text[start - REACH if start > REACH else 0 : end + REACH]
-                near = " ".join(near.split()) if printable else _WHITE.sub(" ", near).strip(" ")
-                named = text[m.start(unit) : m.end(unit)] if unit and m[unit] else ""
-                kept.append((start, end, text[start:end], kind, text[m.start(1) : m.end(1)], named, near))
-    return kept
+    """Start, end, match, kind, value, unit and surroundings of a text's spans."""
+    out = []
+    printable = text.isascii() and text.isprintable()
+    for start, end, place, m in spans_in(text):
+        _, unit, kind = PATTERNS[place]
+        near = text[start - REACH if start > REACH else 0 : end + REACH]
+        near = " ".join(near.split()) if printable else _WHITE.sub(" ", near).strip(" ")
+        named = text[m.start(unit) : m.end(unit)] if unit and m[unit] else ""
+        out.append((start, end, text[start:end], kind, text[m.start(1) : m.end(1)], named, near))
+    return out
 
 
 def _found(column: pa.Array) -> pa.Array:
@@ -101,9 +134,23 @@ def _found(column: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in held], names))
 
 
+def number(value: Column) -> Column:
+    """A value as a double, null if it is none; a match without one is no quantity."""
+    return F.replace(value, F.lit(","), F.lit("")).try_cast("double")
+
+
+def identified(clause_id: Column, ord: Column) -> Column:
+    """The id of a clause's quantity: the clause's, and six characters that tell its place."""
+    return F.concat(clause_id, F.lit("::q"), F.lpad(ord.cast("string"), 3, "0"))
+
+
+def clause_of(quantity_id: Column) -> Column:
+    """The clause that an id of :func:`identified` names."""
+    return F.left(quantity_id, F.length(quantity_id) - 6)
+
+
 def extract(clauses: DataFrame, strict: bool = False) -> DataFrame:
     """Quantities of every clause; narrow, as all is decided within the clause: a small function finds the spans, the rest are expressions."""
-    number = lambda s: F.replace(s, F.lit(","), F.lit("")).try_cast("double")
 
     def measured(h: Column) -> Column:
         a, b = number(h["a"]), number(h["b"])
@@ -117,7 +164,7 @@ def extract(clauses: DataFrame, strict: bool = False) -> DataFrame:
     rows = rows.withColumn("folded", folded_unit(F.col("q.unit")))  # once, for all the cases that look at it
     norm = normalise(F.col("q.value"), F.col("folded"), F.col("q.kind"), strict)
     return rows.select(
-        F.concat("clause_id", F.lit("::q"), F.lpad(F.col("ord").cast("string"), 3, "0")).alias("quantity_id"), "clause_id", "doc_id", "tender_id", strip(F.col("q.raw")).alias("raw_text"),
+        identified(F.col("clause_id"), F.col("ord")).alias("quantity_id"), "clause_id", "doc_id", "tender_id", strip(F.col("q.raw")).alias("raw_text"),
         F.col("q.around").alias("surrounding_text"), "q.kind", "q.value", "q.unit", norm["value_norm"].alias("value_norm"), norm["unit_norm"].alias("unit_norm"),
         F.lit("UNCLASSIFIED").alias("referent"), F.lit(0.0).alias("referent_confidence"), F.lit("none").alias("referent_method"), "page",
     )

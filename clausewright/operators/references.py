@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +38,45 @@ def _shaped(pattern: str, group: int, kind: str):
     return lambda h: F.struct(F.lit(kind).alias("target_kind"), _label(kind, label(h), strip(h)).alias("target_label"), strip(h).alias("raw_text"))
 
 
+#: For ASCII texts in lower case; all but the first begin with their word.
+_LOW = [re.compile(p.lower(), re.A) for p, *_ in PATTERNS]
+_ASCII_SPACES = " \t\n\x0b\x0c\r"
+
+
+def _beginning(pattern: re.Pattern[str], word: str, low: str) -> Iterator[re.Match[str]]:
+    """What ``finditer`` has of a pattern that begins with this word."""
+    at = low.find(word)
+    while at >= 0:
+        m = pattern.match(low, at)
+        if m:
+            yield m
+        at = low.find(word, m.end() if m else at + 1)
+
+
+def found_in(text: str) -> list[tuple[str, str]]:
+    """Kinds and labels of an ASCII text's references, as :func:`sought` has them."""
+    out: list[tuple[str, str]] = []
+    low = text.lower()
+    for pattern, (_, group, kind), word in zip(_LOW, PATTERNS, NEEDLES, strict=True):
+        if word not in low:
+            continue
+        for m in pattern.finditer(low) if word == "clause" else _beginning(pattern, word, low):
+            if kind == "standard":
+                out.append((kind, text[m.start() : m.end()].strip(_ASCII_SPACES)))
+            else:  # no label holds white space
+                out.append((kind, f"{kind.capitalize()} {text[m.start(group) : m.end(group)]}"))
+    return out
+
+
+def sought(text: Column, low: Column) -> Column:
+    """``array<struct<target_kind, target_label, raw_text>>`` of every reference of a text; ``low`` is the folded text."""
+    return joined(*[guarded(low, (word,), F.transform(extracted(text, IGNORE_CASE + p), _shaped(p, group, kind))) for (p, group, kind), word in zip(PATTERNS, NEEDLES, strict=True)])
+
+
 def extract(clauses: DataFrame, placed: bool = False) -> DataFrame:
     """Every reference of every clause, overlapping ones too; ``ord`` keeps their order in the clause. ``placed`` adds the clause's ``doc_id``."""
     text = F.col("text")
-    of = lambda low: joined(*[guarded(low, (word,), F.transform(extracted(text, IGNORE_CASE + p), _shaped(p, group, kind))) for (p, group, kind), word in zip(PATTERNS, NEEDLES, strict=True)])
-    rows = clauses.select("clause_id", *(["doc_id"] if placed else []), F.posexplode(let(folded(text), of)).alias("ord", "r"))
+    rows = clauses.select("clause_id", *(["doc_id"] if placed else []), F.posexplode(let(folded(text), lambda low: sought(text, low))).alias("ord", "r"))
     return rows.select(F.col("clause_id").alias("from_clause"), "ord", "r.*", F.lit(0.9).alias("confidence"), *(["doc_id"] if placed else []))
 
 
