@@ -80,12 +80,17 @@ def extract(clauses: DataFrame, placed: bool = False) -> DataFrame:
     return rows.select(F.col("clause_id").alias("from_clause"), "ord", "r.*", F.lit(0.9).alias("confidence"), *(["doc_id"] if placed else []))
 
 
+def clause_number(label: Column) -> Column:
+    """The number in a clause reference's label; labels differ where their numbers do."""
+    return strip(F.replace(label, F.lit("Clause "), F.lit("")))
+
+
 def resolve(references: DataFrame, clauses: DataFrame) -> DataFrame:
     """Adds ``target_id`` and ``resolved``: clause references point to the last
     clause of that number in their own document. References without ``doc_id`` get it from their clause first."""
     own = clauses.select(F.col("clause_id").alias("from_clause"), "doc_id")
     last = clauses.filter("clause_number <> ''").groupBy("doc_id", F.col("clause_number").alias("__n")).agg(F.max_by("clause_id", "ord").alias("target_id"))
-    number = F.when(F.col("target_kind") == "clause", strip(F.replace("target_label", F.lit("Clause "), F.lit(""))))
+    number = F.when(F.col("target_kind") == "clause", clause_number(F.col("target_label")))
     placed = (references if "doc_id" in references.columns else references.join(own, "from_clause", "left")).withColumn("__n", number)
     return placed.join(last, ["doc_id", "__n"], "left").drop("__n").withColumn("resolved", F.col("target_id").isNotNull())
 

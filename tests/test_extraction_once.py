@@ -57,6 +57,8 @@ def test_figures_of_odd_clauses(spark):
     assert figures["quantities_referent_classified"] > 2 * 1000 and figures["references_resolved_internal"] > 0 and figures["definitions_extracted"] >= 6
     for name, df in narrow.items():
         assert sorted(map(str, df.collect())) == sorted(map(str, whole[name].select(*df.columns).collect())), name
+    taken = clauses.withColumn("clause_id", F.when(F.col("clause_id") == "d::2", "external::section::Section 3").otherwise(F.col("clause_id")))
+    assert extraction.figures_of_clauses(taken)[1]["graph_edges"] == extraction.tables(taken)[1]["graph_edges"] == loaded["graph_edges"] - 1
     none = clauses.filter("false")
     assert set(extraction.figures_of_clauses(none, referents=told)[1].values()) == {0} == set(extraction.tables(none, referents=told)[1].values())
     assert set(extraction.tables(clauses, with_quantities=False, with_references=False, figures_only=True)[1]) == {"definitions_extracted"}
