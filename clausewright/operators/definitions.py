@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clausewright.functions.text import in_definitions, joined
+from clausewright.functions.text import ascii_only, in_definitions, joined
 
 _EDGE = " .,:;\"'`“”‘’"
 #: Term and definition are groups 1 and 2; the body ends before the first stop.
@@ -13,6 +13,8 @@ PATTERNS = [
     r"(?isU)(?:^|[\s\.;])(?:[\"'`“‘]|the\s+(?:expression|term|word)\s+)?([A-Z][A-Za-z\-\s/]{1,80}?)(?:[\"'”’])?\s+(?:shall\s+mean|means|refers\s+to|is\s+defined\s+as|is\s+meant\s+to\s+(?:include|mean))\s+(.+?)(?=[.;]|$)",
     r"(?isU)\(\s*([A-Za-z][A-Za-z\-\s/]{1,80}?)\s*\)\s+(?:shall\s+mean|means)\s+(.+?)(?=[.;]|$)",
 ]
+#: In ASCII texts nothing but these characters stands between a match's first character and its verb, so no match begins before the last other one ahead of the first verb.
+_CUT = r"(?is)(?:^|[^A-Za-z\-\s/\"'`])[A-Za-z\-\s/\"'`]*\s(?:shall\s+mean|means|refers\s+to|is\s+(?:defined|meant))\s.*"
 
 
 def clean_body(body: Column) -> Column:
@@ -37,8 +39,9 @@ def sought(text: Column) -> Column:
     found = []
     for p in PATTERNS:
         # one search; a match starts and ends alike on its own, but for white space at its end, which is trimmed
-        matches = F.regexp_extract_all(text, F.lit(p), F.lit(0))
-        matches = F.when(text.contains("("), matches) if p.startswith(r"(?isU)\(") else matches
+        bracketed = p.startswith(r"(?isU)\(")
+        matches = F.regexp_extract_all(text if bracketed else F.when(ascii_only(text), F.regexp_extract(text, _CUT, 0)).otherwise(text), F.lit(p), F.lit(0))
+        matches = F.when(text.contains("("), matches) if bracketed else matches
         found.append(F.transform(matches, _parted(p)))
     return F.filter(joined(*found), _usable)
 

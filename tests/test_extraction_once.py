@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from clausewright.functions.text import folded
-from clausewright.operators import quantities, references
+from clausewright.operators import definitions, quantities, references
 from clausewright.plans import extraction, queries
 from clausewright.sources import observed
 
@@ -14,9 +14,12 @@ NUMBERS = "1 20 . , 1.5 1,500 1. .5 lakh Lakhs cr lacs % per cent percent PER da
 WORDS = "Clause Sub-Clause sub- clause section Section IS is IRC SP MoRTH CPWD Works Manual NBC Annex Annexure Appendix Schedule Drawing No. 1.2 1.2a 3 IV B X 456 : 2000 Part - : this , . x é ſ K".split()
 
 
-def _texts(words, seed, n):
+TERMS = "The Works Site a (the Site) Bank 'Bank' \" ` shall mean means MEANS meaning refers to is defined as is meant to include this the expression the term 5 5.1 . ; , - / é ſ land near the road".split()
+
+
+def _texts(words, seed, n, most=14):
     pick = random.Random(seed)
-    return ["".join(pick.choice(words) + pick.choice(["", " ", " ", "\n"]) for _ in range(pick.randint(0, 14))) for _ in range(n)]
+    return ["".join(pick.choice(words) + pick.choice(["", " ", " ", "\n"]) for _ in range(pick.randint(0, most))) for _ in range(n)]
 
 
 def test_spans_are_those_of_all_searches():
@@ -38,6 +41,16 @@ def test_references_of_ascii_texts_are_those_of_the_expressions(spark):
         assert references.found_in(text) == [(r["target_kind"], r["target_label"]) for r in found], text
 
 
+def test_definitions_of_ascii_texts_are_sought_near_their_verbs(spark):
+    """A letter behind a stop at the end keeps a text from being cut and changes no match."""
+    texts = [t for t in _texts(TERMS, 3, 12_000, 40) if t.isascii()] + ["5 Works means the construction of it", "Works. means the construction", "a'b means the great road", "\nThe expression Site\tmeans  all the land", "x (y) Works shall\nmean the bridge; Site is defined as the land"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("other", F.concat("text", F.lit(";é")))
+    cut, whole = (F.transform(definitions.sought(F.col(c)), lambda d: F.struct(d["canonical_form"], d["definition_text"])) for c in ("text", "other"))
+    found = rows.select("text", cut.alias("a"), whole.alias("b")).collect()
+    assert sum(len(r["a"]) for r in found) > 500
+    assert [(r["text"], r["a"], r["b"]) for r in found if r["a"] != r["b"]] == []
+
+
 def test_figures_of_odd_clauses(spark):
     """Nulls, letters beyond ASCII, repeated numbers, targets beside references to clauses, more quantities than ids tell apart, several and unknown replies."""
     texts = [
